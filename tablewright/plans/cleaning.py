@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import standardize_date
-from tablewright.functions.numbers import clip_logical, parse_number
+from tablewright.functions.numbers import clip_logical, parse_numbers
 from tablewright.functions.patterns import clean_email, clean_phone
 from tablewright.functions.tokens import CLEANER_TOKENS
 from tablewright.operators.dedup import drop_duplicates_ignoring_ids
@@ -92,9 +92,8 @@ def execute(df: DataFrame, row_id: str, plan: CleaningPlan, policy: Policy | Non
         df = drop_duplicates_ignoring_ids(df, row_id)
     parse = [c for c, a in plan.actions.items() if a in NUMERIC_ACTIONS and allowed[c] and c in df.columns]
     texts = [c for c in parse if isinstance(field_type(df, c), T.StringType)]
-    parsed = df.agg(*[F.count(parse_number(F.col(c))).alias(c) for c in texts]).first() if texts else {}
-    numbers = {c: parse_number(F.col(c)) for c in texts if parsed[c]}
-    df = df.withColumns(numbers) if numbers else df
+    parsed = parse_numbers(df.select(*texts), texts).agg(*[F.count(c).alias(c) for c in texts]).first() if texts else {}
+    df = parse_numbers(df, [c for c in texts if parsed[c]])
     bounded = {c: clip_logical(F.col(c), c).cast(field_type(df, c)) for c in parse if isinstance(field_type(df, c), T.NumericType)}
     df = df.withColumns(bounded) if bounded else df
     df = replace_tokens(df, CLEANER_TOKENS)

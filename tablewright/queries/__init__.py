@@ -1 +1,4 @@
-"""Queries of the table engine."""
+"""Registered queries by operator family."""
+
+from tablewright.queries import cleaning  # noqa: F401
+from tablewright.queries.registry import ORACLES, QUERIES  # noqa: F401
