@@ -1,4 +1,4 @@
 """Registered queries by operator family."""
 
-from tablewright.queries import cleaning  # noqa: F401
+from tablewright.queries import cleaning, profiles, repair, tables  # noqa: F401
 from tablewright.queries.registry import ORACLES, QUERIES  # noqa: F401
