@@ -59,8 +59,11 @@ def _budget(short: Column, long: Column, ratio: float, scorer: str) -> Column:
     return F.floor(size * (1.0 - ratio) + 1e-9).cast("int")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ratio: float, scorer: str) -> DataFrame:
-    """Distinct (a, b) pairs of two value tables that can reach `ratio`; a superset of the true matches, without cross join."""
+def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ratio: float, scorer: str, both_ways: bool = True) -> DataFrame:
+    """Distinct (a, b) pairs of two value tables that can reach `ratio`; a superset of the true matches, without cross join.
+
+    With `both_ways=False` only pairs where `a` is not longer than `b` come out, enough for a self-join.
+    """
     slack = 1.0 / ratio if scorer == "levenshtein" else (2.0 - ratio) / ratio  # longest partner, as a multiple of the length
 
     def cut(rows: DataFrame, value: str, value_is_short: bool) -> DataFrame:
@@ -91,6 +94,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ratio: fl
 
     keys = ["__short", "__long", "__seg", "__text"]
     one = cut(left, a, True).join(cut(right, b, False), keys).select(a, b)
+    if not both_ways:
+        return one.distinct()
     two = cut(left, a, False).where(F.col("__short") < F.col("__long")).join(cut(right, b, True).where(F.col("__short") < F.col("__long")), keys)
     return one.unionByName(two.select(a, b)).distinct()
 
@@ -98,7 +103,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ratio: fl
 def similar_pairs(values: DataFrame, column: str, ratio: float, scorer: str = "levenshtein") -> DataFrame:
     """(a, b, score) with a < b and score at least `ratio`, over the distinct values of a column."""
     distinct = values.select(F.col(column).alias("a")).where(F.col("a").isNotNull()).distinct()
-    pairs = candidate_pairs(distinct, distinct.withColumnRenamed("a", "b"), "a", "b", ratio, scorer).where(F.col("a") < F.col("b"))
+    found = candidate_pairs(distinct, distinct.withColumnRenamed("a", "b"), "a", "b", ratio, scorer, both_ways=False).where(F.col("a") != F.col("b"))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     score = {"levenshtein": levenshtein_ratio, "indel": indel_ratio, "blocks": block_ratio}[scorer](F.col("a"), F.col("b"))
     return pairs.withColumn("score", score).where(F.col("score") >= ratio)
 
@@ -110,15 +116,15 @@ def typo_map(df: DataFrame, column: str, threshold: int = 88, scorer: str = "ind
     not yet mapped values. A column with more than `max_values` spellings is a free-text column and
     is left alone. The visit is sequential and runs over that bounded value list only.
     """
+    spark = df.sparkSession
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    empty = df.sparkSession.createDataFrame([], "wrong string, right string")
-    distinct = counts.limit(max_values + 1).count()
-    if distinct > max_values or distinct < 2:
-        return empty
+    values = [(r["value"], r["n"]) for r in counts.limit(max_values + 1).collect()]  # bounded by the guard
+    if len(values) > max_values or len(values) < 2:
+        return spark.createDataFrame([], "wrong string, right string")
+    values.sort(key=lambda v: (-v[1], v[0].encode()))
+    ranked = spark.createDataFrame([(v, i) for i, (v, _) in enumerate(values)], "value string, place int").coalesce(1)
     ratio = (threshold - 0.5) / 100.0
-    pairs = similar_pairs(counts, "value", ratio, scorer).where(F.round(F.col("score") * 100) >= threshold)
-    order = Window.orderBy(F.desc("n"), "value")  # at most max_values rows, checked above
-    ranked = counts.withColumn("place", F.row_number().over(order)).select("value", "place")
+    pairs = similar_pairs(ranked, "value", ratio, scorer).where(F.round(F.col("score") * 100) >= threshold)
     edges = (
         pairs.join(ranked.withColumnsRenamed({"value": "a", "place": "pa"}), "a")
         .join(ranked.withColumnsRenamed({"value": "b", "place": "pb"}), "b")
@@ -129,14 +135,11 @@ def typo_map(df: DataFrame, column: str, threshold: int = 88, scorer: str = "ind
         )
     )
 
-    def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
-        mapped: dict[str, str] = {}
-        for row in pdf.sort_values(["first", "second"]).itertuples():
-            if row.right not in mapped and row.wrong not in mapped:
-                mapped[row.wrong] = row.right
-        return pd.DataFrame({"wrong": list(mapped), "right": list(mapped.values())})
-
-    return edges.groupBy(F.lit(0).alias("g")).applyInPandas(absorb, "wrong string, right string")
+    mapped: dict[str, str] = {}
+    for row in sorted(edges.collect(), key=lambda r: (r["first"], r["second"])):  # pairs of at most max_values spellings
+        if row["right"] not in mapped and row["wrong"] not in mapped:
+            mapped[row["wrong"]] = row["right"]
+    return spark.createDataFrame(list(mapped.items()), "wrong string, right string")
 
 
 def apply_map(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -154,14 +157,17 @@ def consolidation_map(df: DataFrame, column: str, cutoff: float = 0.85, max_valu
 
     Skips key-like columns, mean length under five and more than `max_values` spellings.
     """
-    empty = df.sparkSession.createDataFrame([], "wrong string, right string")
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], "wrong string, right string")
     filled = df.where(F.col(column).isNotNull())
-    counts = filled.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    mean_length = counts.agg(F.sum(F.length("value") * F.col("n")) / F.sum("n")).first()[0]
-    usable = counts.where(F.length(F.trim("value")) > 1)
-    distinct = usable.limit(max_values + 1).count()
-    if mean_length is None or mean_length < 5 or not 2 <= distinct <= max_values or key_like(df, [column]).first()["is_key"]:
+    lengths = filled.agg(F.avg(F.length(column))).first()[0]
+    if lengths is None or lengths < 5 or key_like(df, [column]).first()["is_key"]:
+        return empty
+    counts = filled.where(F.length(F.trim(column)) > 1).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    values = counts.limit(max_values + 1).collect()  # bounded by the guard
+    if not 2 <= len(values) <= max_values:
         return empty
+    usable = spark.createDataFrame([(r["value"], r["n"]) for r in values], "value string, n bigint").coalesce(1)
     pairs = similar_pairs(usable, "value", cutoff, "indel").select("a", "b")
     scored = pairs.withColumn("score", block_ratio("a", "b")).unionByName(
         pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).withColumn("score", block_ratio("a", "b"))
@@ -169,18 +175,17 @@ def consolidation_map(df: DataFrame, column: str, cutoff: float = 0.85, max_valu
     top = scored.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), F.desc("b")))).where("r <= 5")
     rows = top.join(usable.withColumnsRenamed({"value": "b"}), "b").select("a", "b", "r", "n")
 
-    def collapse(pdf: pd.DataFrame) -> pd.DataFrame:
-        mapped: dict[str, str] = {}
-        groups = {a: g.sort_values("r") for a, g in pdf.groupby("a")}
-        for a in sorted(groups, key=lambda v: (-len(v), v)):
-            matches = groups[a]
-            if a in mapped or len(matches) < 2:
-                continue
-            best = matches.sort_values(["n", "r"], ascending=[False, True])["b"].iloc[0]
-            mapped.update({m: best for m in matches["b"] if m != best})
-        return pd.DataFrame({"wrong": list(mapped), "right": list(mapped.values())})
-
-    return rows.groupBy(F.lit(0).alias("g")).applyInPandas(collapse, "wrong string, right string")  # at most 5 × max_values rows
+    groups: dict[str, list] = {}
+    for row in rows.collect():  # at most 5 rows per guarded spelling
+        groups.setdefault(row["a"], []).append(row)
+    mapped: dict[str, str] = {}
+    for value in sorted(groups, key=lambda v: (-len(v), v)):
+        matches = sorted(groups[value], key=lambda r: (-r["n"], r["r"]))
+        if value in mapped or len(matches) < 2:
+            continue
+        best = matches[0]["b"]
+        mapped.update({r["b"]: best for r in groups[value] if r["b"] != best})
+    return spark.createDataFrame(list(mapped.items()), "wrong string, right string")
 
 
 def correct_words(

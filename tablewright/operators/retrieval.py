@@ -88,7 +88,7 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
 
     def kernel(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
-            return pd.DataFrame({"query": [], "doc": [], "score": []})
+            return pd.DataFrame(columns=["query", "doc", "score"])
         q, d = q.sort_values(query_id), d.sort_values(doc_id)
         vocabulary, columns = np.unique(np.concatenate(q["f"].to_list()), return_inverse=True)
         sizes = [len(x) for x in q["f"]]

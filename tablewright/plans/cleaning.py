@@ -96,7 +96,7 @@ def execute(df: DataFrame, row_id: str, plan: CleaningPlan, policy: Policy | Non
     df = parse_numbers(df, [c for c in texts if parsed[c]])
     bounded = {c: clip_logical(F.col(c), c).cast(field_type(df, c)) for c in parse if isinstance(field_type(df, c), T.NumericType)}
     df = df.withColumns(bounded) if bounded else df
-    df = replace_tokens(df, CLEANER_TOKENS)
+    df = checkpointed(replace_tokens(df, CLEANER_TOKENS))  # the statistics jobs below read this table, not the source again
 
     by_action: dict[str, list[str]] = {}
     for c, action in plan.actions.items():
