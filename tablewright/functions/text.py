@@ -31,24 +31,30 @@ def has_high_script(col: Column) -> Column:
     return col.rlike("[\\x{04B1}-\\x{10FFFF}]")
 
 
-def equivalent(actual: Column, expected: Column, arabic: bool = False) -> Column:
-    """Same value within 15 % for numbers, same day for dates, else equal text (Arabic-normalised when Arabic)."""
-    one = actual.cast("string")
-    two = expected.cast("string")
-    first, second = one.try_cast("double"), two.try_cast("double")
+def canonical(col: Column, arabic: bool = False) -> Column:
+    """Struct of everything the equivalence test needs about one cell: text, number, day, comparable text."""
+    text = col.cast("string")
+    low = F.lower(F.trim(text))
+    folded = comparable_arabic(low)
+    comparable = folded if arabic else F.when(low.rlike(f"[{ARABIC_LETTERS}]"), folded).otherwise(low)
+    number = text.try_cast("double")
+    day = F.when(number.isNull(), F.to_date(standardize_date(text)))
+    return F.struct(text.alias("text"), number.alias("number"), day.alias("day"), comparable.alias("comparable"))
+
+
+def same(actual: Column, expected: Column) -> Column:
+    """Equivalence of two canonical structs: within 15 % for numbers, same day for dates, else equal comparable text."""
+    first, second = actual["number"], expected["number"]
     close = F.when(F.greatest(F.abs(first), F.abs(second)) == 0, F.lit(True)).otherwise(
         F.abs(first - second) / F.greatest(F.abs(first), F.lit(1.0)) <= 0.15
     )
-    day_one, day_two = F.to_date(standardize_date(one)), F.to_date(standardize_date(two))
-    low_one, low_two = F.lower(F.trim(one)), F.lower(F.trim(two))
-    is_arabic = F.lit(True) if arabic else low_one.rlike(f"[{ARABIC_LETTERS}]")
-    text_equal = F.when(is_arabic, comparable_arabic(low_one) == comparable_arabic(low_two)).otherwise(low_one == low_two)
+    one, two = actual["text"], expected["text"]
     return (
         F.when(one.isNull() & two.isNull(), F.lit(True))
         .when(one.isNull() | two.isNull(), F.lit(False))
         .when(first.isNotNull() & second.isNotNull(), close)
-        .when(day_one.isNotNull() & day_two.isNotNull(), day_one == day_two)
-        .otherwise(text_equal)
+        .when(actual["day"].isNotNull() & expected["day"].isNotNull(), actual["day"] == expected["day"])
+        .otherwise(actual["comparable"] == expected["comparable"])
     )
 
 

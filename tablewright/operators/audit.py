@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import standardize_date
-from tablewright.functions.text import equivalent
+from tablewright.functions.text import canonical, same
 from tablewright.functions.tokens import AUDIT_TOKENS, DIFF_TOKENS, is_dirty
 from tablewright.operators.frames import TEMPORAL, field, melt
 from tablewright.operators.quantiles import exact_quantiles, quantile_grid
@@ -262,24 +262,28 @@ def identifier_check(before: DataFrame, after: DataFrame, row_id: str, identifie
     return melt(changed, entries)
 
 
-def _triple(truth: DataFrame, corrupted: DataFrame, cleaned: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
-    frames = [d.select(row_id, *[F.col(c).alias(f"{p}_{c}") for c in columns]) for p, d in (("t", truth), ("r", corrupted), ("c", cleaned))]
+def _canonical_side(df: DataFrame, side: str, row_id: str, columns: list[str], arabic: list[str]) -> DataFrame:
+    return df.select(row_id, *[canonical(F.col(c), c in arabic).alias(f"{side}_{c}") for c in columns])
+
+
+def _triple(truth: DataFrame, corrupted: DataFrame, cleaned: DataFrame, row_id: str, columns: list[str], arabic: list[str]) -> DataFrame:
+    frames = [_canonical_side(d, p, row_id, columns, arabic) for p, d in (("t", truth), ("r", corrupted), ("c", cleaned))]
     return frames[0].join(frames[1], row_id).join(frames[2], row_id)
 
 
 def recovery_metrics(truth: DataFrame, corrupted: DataFrame, cleaned: DataFrame, row_id: str, arabic: list[str] = ()) -> DataFrame:
     """One row: exact-match recovery, over-cleaning rate and corruption rate in percent, with the cell counts."""
     columns = [c for c in truth.columns if c in cleaned.columns and c != row_id]
-    joined = _triple(truth, corrupted, cleaned, row_id, columns)
+    joined = _triple(truth, corrupted, cleaned, row_id, columns, list(arabic))
     sums: dict[str, list[Column]] = {"corrupted": [], "restored": [], "safe": [], "over": [], "invalid": []}
     for c in columns:
         t, r, k = F.col(f"t_{c}"), F.col(f"r_{c}"), F.col(f"c_{c}")
-        broken = ~equivalent(r, t, c in arabic)
+        broken = ~same(r, t)
         sums["corrupted"].append(broken)
-        sums["restored"].append(broken & equivalent(k, t, c in arabic))
+        sums["restored"].append(broken & same(k, t))
         sums["safe"].append(~broken)
-        sums["over"].append(~broken & ~equivalent(k, r, c in arabic))
-        sums["invalid"].append((k.isNull() & t.isNotNull()) | F.coalesce(k.cast("string").isin("NaT", "nan", "NaN", "ERROR", "error"), F.lit(False)))
+        sums["over"].append(~broken & ~same(k, r))
+        sums["invalid"].append((k["text"].isNull() & t["text"].isNotNull()) | F.coalesce(k["text"].isin("NaT", "nan", "NaN", "ERROR", "error"), F.lit(False)))
 
     def total(parts: list[Column]) -> Column:
         count = F.lit(0)
@@ -302,8 +306,8 @@ def recovery_by_kind(
 ) -> DataFrame:
     """Share of recovered cells per corruption group; `groups` maps a name to (injected kinds, judged columns)."""
     columns = sorted({c for _, judged in groups.values() for c in judged})
-    joined = _paired(truth, cleaned, row_id, columns)
-    good = joined.select(row_id, *[equivalent(F.col(f"b_{c}"), F.col(f"a_{c}"), c in arabic).cast("int").alias(c) for c in columns])
+    joined = _canonical_side(truth, "b", row_id, columns, list(arabic)).join(_canonical_side(cleaned, "a", row_id, columns, list(arabic)), row_id)
+    good = joined.select(row_id, *[same(F.col(f"b_{c}"), F.col(f"a_{c}")).cast("int").alias(c) for c in columns])
     name = F.lit(None).cast("string")
     names = F.array_compact(F.array(*[F.when(F.col("kind").isin(kinds), F.lit(g)) for g, (kinds, _) in groups.items()], name))
     touched = injected.select(F.col("row_id").alias(row_id), F.explode(names).alias("group")).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.hashing import SECOND_PRIME, chosen, draw, pick, unit
 from tablewright.functions.numbers import ARABIC_DIGITS, WESTERN_DIGITS
-from tablewright.operators.frames import field, string_columns
+from tablewright.operators.frames import field, settle, string_columns
 from tablewright.operators.ordered import prefix_sums
 
 # Injected tokens and formats.
@@ -172,16 +172,21 @@ def corrupt_people(
 ) -> tuple[DataFrame, DataFrame]:
     """Corrupt age, salary, join_date, city and arabic_feedback; returns the frame and the table (row_id, column, kind) of hit cells."""
     key = F.col(row_id)
-    no_age, no_pay = chosen(key, seed, missing), chosen(key, seed + 1, missing)
-    far_out = chosen(key, seed + 2, outliers) & ~no_pay
-    late, typo, marked, folded = chosen(key, seed + 3, dates), chosen(key, seed + 4, typos), chosen(key, seed + 5, currency) & ~no_pay, chosen(key, seed + 6, digits)
-    pay = F.when(far_out, F.col("salary") * 10.0).otherwise(F.col("salary"))
-    whole = F.floor(pay).cast("bigint").cast("string")
+    no_pay = chosen(key, seed + 1, missing)
+    marked_rows = df.withColumns({
+        "__no_age": chosen(key, seed, missing), "__no_pay": no_pay, "__far": chosen(key, seed + 2, outliers) & ~no_pay, "__late": chosen(key, seed + 3, dates),
+        "__typo": chosen(key, seed + 4, typos), "__mark": chosen(key, seed + 5, currency) & ~no_pay, "__fold": chosen(key, seed + 6, digits),
+        "__prefix": F.pmod(draw(key, seed + 7), F.lit(2).cast("bigint")) == 0, "__style": F.pmod(draw(key, seed + 8), F.lit(4).cast("bigint")),
+        "__lower": F.pmod(draw(key, seed + 9), F.lit(2).cast("bigint")) == 0, "__number": (F.pmod(draw(key, seed + 10), F.lit(99).cast("bigint")) + 1).cast("string"),
+    })
+    rows = marked_rows.withColumn("__pay", F.when(F.col("__far"), F.col("salary") * 10.0).otherwise(F.col("salary")))
+    rows = rows.withColumn("__whole", F.floor("__pay").cast("bigint").cast("string"))
+    pay, whole, style, day = F.col("__pay"), F.col("__whole"), F.col("__style"), F.to_date("join_date")
     pay_text = F.when(pay == F.floor(pay), F.concat(whole, F.lit(".0"))).otherwise(pay.cast("string"))
-    prefix = F.pmod(draw(key, seed + 7), F.lit(2).cast("bigint")) == 0
-    salary = F.when(no_pay, None).when(marked & prefix, F.concat(F.lit("$"), whole)).when(marked, F.concat(whole, F.lit(" EGP"))).otherwise(pay_text)
-    day = F.to_date("join_date")
-    style = F.pmod(draw(key, seed + 8), F.lit(4).cast("bigint"))
+    salary = (
+        F.when(F.col("__no_pay"), None).when(F.col("__mark") & F.col("__prefix"), F.concat(F.lit("$"), whole))
+        .when(F.col("__mark"), F.concat(whole, F.lit(" EGP"))).otherwise(pay_text)
+    )
     date_text = (
         F.when(style == 0, F.date_format(day, "dd/MM/yyyy")).when(style == 1, F.date_format(day, "MM-dd-yyyy"))
         .when(style == 2, F.date_format(day, "dd MMM yyyy")).otherwise(F.lit(UNKNOWN_DATE))
@@ -189,20 +194,19 @@ def corrupt_people(
     half = F.floor(F.length("city") / 2).cast("int")
     middle = F.substring("city", half + 1, F.lit(1))
     swapped = F.concat(F.substring("city", F.lit(1), half), F.when(middle != "u", "u").otherwise("x"), F.substring("city", half + 2, F.length("city")))
-    city = F.when(F.pmod(draw(key, seed + 9), F.lit(2).cast("bigint")) == 0, F.lower("city")).otherwise(swapped)
-    number = (F.pmod(draw(key, seed + 10), F.lit(99).cast("bigint")) + 1).cast("string")
-    feedback = F.concat(F.translate("arabic_feedback", "أ", "ا"), F.lit(" "), F.translate(number, WESTERN_DIGITS, ARABIC_DIGITS))
-    out = df.withColumns({
-        "age": F.when(~no_age, F.col("age")),
+    feedback = F.concat(F.translate("arabic_feedback", "أ", "ا"), F.lit(" "), F.translate("__number", WESTERN_DIGITS, ARABIC_DIGITS))
+    changed = {
+        "age": F.when(~F.col("__no_age"), F.col("age")),
         "salary": salary,
-        "join_date": F.when(late, date_text).otherwise(F.col("join_date")),
-        "city": F.when(typo, city).otherwise(F.col("city")),
-        "arabic_feedback": F.when(folded, feedback).otherwise(F.col("arabic_feedback")),
-    })
+        "join_date": F.when(F.col("__late"), date_text).otherwise(F.col("join_date")),
+        "city": F.when(F.col("__typo"), F.when(F.col("__lower"), F.lower("city")).otherwise(swapped)).otherwise(F.col("city")),
+        "arabic_feedback": F.when(F.col("__fold"), feedback).otherwise(F.col("arabic_feedback")),
+    }
+    out = settle(rows.withColumns(changed).select(*df.columns), list(changed))
     marks = [
-        (no_age, "age", "age_missing"), (no_pay, "salary", "salary_missing"), (far_out, "salary", "salary_outliers"), (late, "join_date", "join_date_corrupted"),
-        (typo, "city", "city_typos"), (marked, "salary", "salary_currency_noise"), (folded, "arabic_feedback", "arabic_num_corrupted"),
+        ("__no_age", "age", "age_missing"), ("__no_pay", "salary", "salary_missing"), ("__far", "salary", "salary_outliers"), ("__late", "join_date", "join_date_corrupted"),
+        ("__typo", "city", "city_typos"), ("__mark", "salary", "salary_currency_noise"), ("__fold", "arabic_feedback", "arabic_num_corrupted"),
     ]
-    cells = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"))) for hit, c, k in marks]))
-    injected = df.select(F.col(row_id).alias("row_id"), F.explode(cells).alias("cell")).select("row_id", "cell.*")
+    cells = F.array_compact(F.array(*[F.when(F.col(hit), F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"))) for hit, c, k in marks]))
+    injected = marked_rows.select(F.col(row_id).alias("row_id"), F.explode(cells).alias("cell")).select("row_id", "cell.*")
     return out, injected

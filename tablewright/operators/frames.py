@@ -55,3 +55,13 @@ def cell_text(df: DataFrame, name: str) -> Column:
 def long_cells(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """(keep…, column, value) with one row per cell."""
     return melt(df, [(c, {"value": cell_text(df, c)}) for c in columns], keep)
+
+
+def settle(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Put expensive columns behind a one-row generator.
+
+    Filters on them stay above it. Without that, a filter would be pushed below a stack of
+    projections by inlining every step, which multiplies the work and the plan.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)

@@ -8,6 +8,7 @@ SMALL_COLUMN values) is resolved exactly. Every pass is one map-side-combined ag
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -110,7 +111,8 @@ def quantile_grid(df: DataFrame, column: str, steps: int, small: int = SMALL_COL
     if total == 0:
         return []
     if total <= small:
-        return clean.agg(F.percentile("v", [i / steps for i in range(steps + 1)])).first()[0]
+        shares = F.from_json(F.lit(json.dumps([i / steps for i in range(steps + 1)])), "array<double>")
+        return clean.agg(F.percentile("v", shares)).first()[0]
     placed = prefix_sums(clean.groupBy("v").agg(F.count("*").alias("n")), "v", {"before": F.col("n")})
     first = F.greatest(F.lit(0), F.floor((F.col("before") - 1) / (total - 1) * steps) - 1)
     last = F.least(F.lit(steps), F.ceil((F.col("before") + F.col("n")) / (total - 1) * steps) + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import SECOND_PRIME, draw
-from tablewright.functions.text import equivalent
+from tablewright.functions.text import canonical, same
 from tablewright.functions.tokens import CLEANER_TOKENS
 from tablewright.operators import corrupt, forest, fuzzy, impute, outliers, shape
 from tablewright.plans import cleaning
@@ -77,7 +77,8 @@ def _(spark, sf):
     totals = read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").cast("string").alias("total"))
     df = dirty_orders(spark, sf).where(F.col("row_id").isNotNull()).join(totals, "row_id")
     plain = F.when(F.col("price_text").rlike("[٠-٩]"), "arabic digits").otherwise(F.col("price_text"))
-    return df.select("row_id", equivalent(plain, F.col("total")).alias("price_same"), equivalent(F.col("date_text"), F.date_format("order_date", "yyyy-MM-dd")).alias("date_same"))
+    cells = df.select("row_id", canonical(plain).alias("a"), canonical(F.col("total")).alias("b"), canonical(F.col("date_text")).alias("c"), canonical(F.date_format("order_date", "yyyy-MM-dd")).alias("d"))
+    return cells.select("row_id", same(F.col("a"), F.col("b")).alias("price_same"), same(F.col("c"), F.col("d")).alias("date_same"))
 
 
 # ---- G: outliers --------------------------------------------------------------------------------------
