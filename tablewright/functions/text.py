@@ -50,7 +50,7 @@ def same(actual: Column, expected: Column) -> Column:
     )
     one, two = actual["text"], expected["text"]
     return (
-        F.when(one.isNull() & two.isNull(), F.lit(True))
+        F.when(one.eqNullSafe(two), F.lit(True))
         .when(one.isNull() | two.isNull(), F.lit(False))
         .when(first.isNotNull() & second.isNotNull(), close)
         .when(actual["day"].isNotNull() & expected["day"].isNotNull(), actual["day"] == expected["day"])
