@@ -18,7 +18,7 @@ from tablewright.functions.hashing import chosen, draw, pick, unit
 from tablewright.functions.normal import normal_cdf, normal_quantile
 from tablewright.functions.patterns import guard_phone
 from tablewright.operators.corrupt import exactly
-from tablewright.operators.frames import field, is_integer, melt, numeric_columns
+from tablewright.operators.frames import field, is_integer, melt, numeric_columns, settle
 from tablewright.operators.ordered import prefix_sums, row_positions
 from tablewright.operators.profile import (column_counts, correlation_matrix, id_sequence, pattern_template, sensitive_types, value_counts)
 from tablewright.operators.quantiles import exact_quantiles, modes, quantile_grid
@@ -53,7 +53,7 @@ def ground_truth(ids: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
 
 
 def normal_draw(key: Column, seed: int) -> Column:
-    """Standard normal value from two keyed draws."""
+    """Standard normal value from two keyed draws. A large expression: settle() it before it is filtered or reused."""
     u = (draw(key, seed) * 1000003.0 + F.pmod(draw(key, seed + 500), F.lit(1000003).cast("bigint")) + 0.5) / (999983.0 * 1000003.0)
     return normal_quantile(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), u)))
 
@@ -158,9 +158,10 @@ def generate_independent(ids: DataFrame, row_id: str, source: DataFrame, profile
     for i, (c, info) in enumerate(profile.items()):
         s, kind = seed + 37 * i, info["type"]
         if kind == "numerical":
-            value = F.lit(info["mean"]) + normal_draw(key, s) * (info["std"] if info["std"] > 0 else 1.0)
+            out = settle(out.withColumn("__z", normal_draw(key, s)), ["__z"])
+            value = F.lit(info["mean"]) + F.col("__z") * (info["std"] if info["std"] > 0 else 1.0)
             value = F.greatest(F.lit(info["min"]), F.least(F.lit(info["max"]), value))
-            out = out.withColumn(c, F.bround(value, 0).cast("bigint") if info["is_int"] else value)
+            out = out.withColumn(c, F.bround(value, 0).cast("bigint") if info["is_int"] else value).drop("__z")
         elif kind == "id_sequence":
             out = out.withColumn(c, sequence_value(info["prefix"], info["min"], key))
         elif kind == "pattern_sequence":
@@ -185,21 +186,24 @@ class CopulaModel:
         """One row per id: correlated normals, mapped through the normal distribution function to each marginal."""
         key = F.col(row_id)
         lower = np.linalg.cholesky(self.cov)
-        out = ids.select(row_id, *[normal_draw(key, seed + 1009 * (j + 1)).alias(f"__e{j}") for j in range(len(self.columns))])
+        noise = [f"__e{j}" for j in range(len(self.columns))]
+        out = settle(ids.select(row_id, *[normal_draw(key, seed + 1009 * (j + 1)).alias(e) for j, e in enumerate(noise)]), noise)
         shares = {}
         for i, c in enumerate(self.columns):
             z = F.lit(float(self.mean[i]))
             for j in range(i + 1):
                 z = z + F.col(f"__e{j}") * float(lower[i, j])
-            shares[c] = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), normal_cdf(z)))
-        out = out.select(row_id, *[shares[c].alias(f"__u_{c}") for c in self.columns])
+            shares[c] = z
+        out = settle(out.select(row_id, *[shares[c].alias(f"__u_{c}") for c in self.columns]), [f"__u_{c}" for c in self.columns])
+        out = out.withColumns({f"__u_{c}": F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), normal_cdf(F.col(f"__u_{c}")))) for c in self.columns})
+        out = settle(out, [f"__u_{c}" for c in self.columns])
         for c in self.columns:
             if self.kinds[c] == "numerical":
                 grid = self.grids[c]
                 table = F.from_json(F.lit(json.dumps(grid)), "array<double>")  # fixed size: COPULA_STEPS + 1 numbers
                 at = F.col(f"__u_{c}") * float(len(grid) - 1)
                 low, high = F.element_at(table, F.floor(at).cast("int") + 1), F.element_at(table, F.ceil(at).cast("int") + 1)
-                out = out.withColumn(c, low + (high - low) * (at - F.floor(at)))
+                out = settle(out.withColumn(c, low + (high - low) * (at - F.floor(at))), [c])
             else:
                 out = assign_by_share(out, F.col(f"__u_{c}"), self.shares[c], c, c)
         return out.select(row_id, *self.columns)
@@ -228,8 +232,8 @@ def fit_copula(df: DataFrame, row_id: str, columns: list[str] | None = None, ste
             placed = _text_prefix(counts, c)
             shares[c] = placed.select(c, (F.col("__before") / float(total)).alias("low"), ((F.col("__before") + F.col("__n")) / float(total)).alias("high"))
         u = (F.col("__before") + (F.col("__n") + 1) / 2 - 0.5) / float(total)
-        z = normal_quantile(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), u)))
-        scores = scores.join(placed.select(c, z.alias(f"__z_{c}")), c)
+        clipped = settle(placed.select(c, F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), u)).alias("__u")), ["__u"])
+        scores = scores.join(clipped.select(c, normal_quantile(F.col("__u")).alias(f"__z_{c}")), c)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = scores.agg(
         *[F.avg(f"__z_{c}").alias(f"m{i}") for i, c in enumerate(columns)],
@@ -298,7 +302,8 @@ def align_ranks(
         right = right.withColumn("__pos", F.lit(total - 1) - F.col("__pos"))
     value = F.col(effect)
     if noise:
-        value = value + normal_draw(F.col(row_id), seed) * ((std or 1.0) * noise)
+        left = settle(left.withColumn("__z", normal_draw(F.col(row_id), seed)), ["__z"])
+        value = value + F.col("__z") * ((std or 1.0) * noise)
     value = F.greatest(F.lit(float(least if low is None else low)), F.least(F.lit(float(most if high is None else high)), value))
     if whole:
         value = F.bround(value, 0).cast("bigint")

@@ -1,4 +1,4 @@
 """Registered queries by operator family."""
 
-from tablewright.queries import audits, cleaning, profiles, repair, synthetic, tables  # noqa: F401
+from tablewright.queries import audits, cleaning, flagship, profiles, repair, synthetic, tables  # noqa: F401
 from tablewright.queries.registry import ORACLES, QUERIES  # noqa: F401
