@@ -31,14 +31,14 @@ def stratified_split(df: DataFrame, row_id: str, label: str | None, test_size: f
     sizes = cells.groupBy("__class").agg(F.floor(F.sum("__n") * test_size + 0.5).alias("__want"))
     before = Window.partitionBy("__class").orderBy("__draw").rowsBetween(Window.unboundedPreceding, -1)  # at most 999,983 draw values
     edges = (
-        cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(sizes, "__class")
+        cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(sizes.withColumnRenamed("__class", "__k"), F.col("__class").eqNullSafe(F.col("__k")))
         .where((F.col("__before") < F.col("__want")) & (F.col("__before") + F.col("__n") >= F.col("__want")))
-        .select("__class", F.col("__draw").alias("__edge"), (F.col("__want") - F.col("__before")).alias("__take"))
+        .select(F.col("__class").alias("__c"), F.col("__draw").alias("__edge"), (F.col("__want") - F.col("__before")).alias("__take"))
     )
-    tied = rows.join(edges, (rows["__class"].eqNullSafe(edges["__class"])) & (rows["__draw"] == edges["__edge"])).select(rows["__class"], row_id, "__edge", "__take")
-    ranked = tied.withColumn("__r", F.row_number().over(Window.partitionBy("__class", "__edge").orderBy(row_id)))
-    last = ranked.where(F.col("__r") == F.col("__take")).select(F.col("__class").alias("__c"), "__edge", F.col(row_id).alias("__last"))
-    joined = rows.join(last, rows["__class"].eqNullSafe(last["__c"]), "left")
+    tied = rows.join(edges, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__draw") == F.col("__edge"))).select("__c", row_id, "__edge", "__take")
+    ranked = tied.withColumn("__r", F.row_number().over(Window.partitionBy("__c", "__edge").orderBy(row_id)))
+    last = ranked.where(F.col("__r") == F.col("__take")).select("__c", "__edge", F.col(row_id).alias("__last"))
+    joined = rows.join(last, F.col("__class").eqNullSafe(F.col("__c")), "left")
     test = (F.col("__draw") < F.col("__edge")) | ((F.col("__draw") == F.col("__edge")) & (F.col(row_id) <= F.col("__last")))
     return joined.select(*df.columns, F.coalesce(test, F.lit(False)).alias("is_test"))
 

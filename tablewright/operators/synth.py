@@ -22,6 +22,7 @@ from tablewright.operators.frames import field, is_integer, melt, numeric_column
 from tablewright.operators.ordered import prefix_sums, row_positions
 from tablewright.operators.profile import (column_counts, correlation_matrix, id_sequence, pattern_template, sensitive_types, value_counts)
 from tablewright.operators.quantiles import exact_quantiles, modes, quantile_grid
+from tablewright.session import checkpointed
 
 # Ground-truth vocabularies and the name hints of the correlation safety net.
 CITIES = ["Cairo", "Alexandria", "Giza", "Luxor", "Aswan"]
@@ -540,6 +541,7 @@ def best_generator(ids: DataFrame, row_id: str, source: DataFrame, seed: int = 4
     }
     result = None
     for name, table in tables.items():
+        table = checkpointed(table)  # judged column by column
         part = fidelity_report(source, table, kinds).agg(F.avg("fidelity_score").alias("mean_fidelity")).select(F.lit(name).alias("generator"), "mean_fidelity")
         result = part if result is None else result.unionByName(part)
     scores = result.collect()  # two rows

@@ -13,11 +13,12 @@ from tablewright.operators.shape import replace_tokens
 from tablewright.queries.profiles import rounded
 from tablewright.queries.registry import query
 from tablewright.queries.views import dirty_orders
+from tablewright.session import checkpointed
 
 
 def repaired(df: DataFrame) -> DataFrame:
     """Numbers parsed, tokens and outliers nulled, gaps filled."""
-    parsed = parse_numbers(replace_tokens(df), ["price_text"])
+    parsed = checkpointed(parse_numbers(replace_tokens(df), ["price_text"]))  # parsed once, read by every statistics job
     return fill_simple(null_outliers(parsed, ["price", "price_text"]), ["price", "price_text", "priority"])
 
 
