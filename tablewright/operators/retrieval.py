@@ -106,9 +106,10 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
             scores[i] = weights[part] @ matrix[place[part]]
         order = np.lexsort((np.broadcast_to(np.arange(len(d))[:, None], scores.shape), -np.round(scores, 12)), axis=0)[:top_k]
         hits = np.take_along_axis(scores, order, 0)
-        return pd.DataFrame({
+        ranked = pd.DataFrame({
             "query": np.tile(q[query_id].to_numpy(), len(order)), "doc": d[doc_id].to_numpy()[order].ravel(), "score": hits.ravel(),
-        }).query("score > @SCORE_FLOOR")
+        })
+        return ranked[ranked["score"] > SCORE_FLOOR]
 
     found = block_search(packed(q_all, query_id), packed(d_all, doc_id), query_id, doc_id, kernel, schema, block_rows)
     best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "doc")

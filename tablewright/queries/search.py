@@ -36,12 +36,26 @@ def _(spark, sf):
     return rounded(retrieval.tfidf_search(docs, "doc_id", "text", queries, "item_id", "text", 3))
 
 
-@query("n3_near_duplicate_queries")
+def _sql_duplicates(source: str) -> str:
+    return rf"""WITH r AS ({source}), b AS (SELECT tenant, body, min(query_id) AS node FROM r GROUP BY ALL), sz AS (SELECT tenant, count(*) AS n FROM b GROUP BY tenant),
+w AS (SELECT tenant, node, unnest(regexp_extract_all(body, '[\p{{L}}\p{{N}}\p{{M}}_]{{2,}}')) AS term FROM b), tf AS (SELECT tenant, node, term, count(*) AS tf FROM w GROUP BY ALL), idf AS (SELECT tenant, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf JOIN sz USING (tenant) GROUP BY tenant, term, n),
+wd AS (SELECT tenant, node, term, tf * idf AS w FROM tf JOIN idf USING (tenant, term)), nm AS (SELECT tenant, node, sqrt(sum(w * w)) AS norm FROM wd GROUP BY ALL), v AS (SELECT tenant, node, term, w / norm AS w FROM wd JOIN nm USING (tenant, node)),
+s AS (SELECT x.tenant, x.node AS later, y.node AS earlier, sum(x.w * y.w) AS score FROM v x JOIN v y ON x.tenant = y.tenant AND x.term = y.term AND y.node < x.node GROUP BY ALL HAVING sum(x.w * y.w) > {retrieval.DUPLICATE_COSINE}),
+best AS (SELECT later, arg_min(earlier, (-round(score, 9), earlier)) AS match, max(round(score, 9)) AS score FROM s GROUP BY later)
+SELECT query_id, CASE WHEN query_id <> node THEN node ELSE match END AS match_id, round(CASE WHEN query_id <> node THEN 1.0 ELSE score END, 6) AS score FROM r JOIN b USING (tenant, body) LEFT JOIN best ON later = node WHERE query_id <> node OR match IS NOT NULL"""
+
+
+@query("n3_near_duplicate_queries", _sql_duplicates("SELECT conv_id * 100000 + turn AS query_id, role AS tenant, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS body FROM conversations"))
 def _(spark, sf):
     df = read(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), "role", "text")
     return rounded(retrieval.near_duplicate_queries(df, "query_id", "role", "text"))
 
 
+@query("n3_near_duplicate_documents", _sql_duplicates("SELECT doc_id AS query_id, lang AS tenant, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS body FROM documents"))
+def _(spark, sf):
+    return rounded(retrieval.near_duplicate_queries(read(spark, sf, "documents"), "doc_id", "lang", "text").withColumnRenamed("doc_id", "query_id"))
+
+
 _V0 = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)"
 
 

@@ -18,6 +18,11 @@ CACHE_LIFETIME = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def seconds_of(times: pd.Series) -> pd.Series:
+    """Timestamps as epoch seconds, whatever their unit."""
+    return times.astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[getattr(times.dtype, "unit", "ns")]
+
+
 class RateGate(StatefulProcessor):
     """Accept an event when fewer than `limit` accepted ones of its key fall in the last `seconds`.
 
@@ -35,7 +40,7 @@ class RateGate(StatefulProcessor):
         times = list(self.accepted.get()[0]) if self.accepted.exists() else []
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
         verdicts = []
-        for at in (frame["ts"].astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[getattr(frame["ts"].dtype, "unit", "ns")]):
+        for at in seconds_of(frame["ts"]):
             times = [t for t in times if at - t < self.seconds]
             allowed = len(times) < self.limit
             if allowed:
@@ -48,6 +53,40 @@ class RateGate(StatefulProcessor):
         pass
 
 
+class CacheGate(StatefulProcessor):
+    """Mark an event as a miss when no miss of its key lies within the last `seconds`; state is one time per key."""
+
+    def __init__(self, seconds: int, columns: list[str]):
+        self.seconds, self.columns = seconds, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.filled = handle.getValueState("filled", T.StructType([T.StructField("at", T.DoubleType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.filled.get()[0] if self.filled.exists() else None
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
+        verdicts = []
+        for at in seconds_of(frame["ts"]):
+            miss = last is None or at - last >= self.seconds
+            last = at if miss else last
+            verdicts.append(miss)
+        self.filled.update((last,))
+        out = pd.DataFrame({"event_id": frame["event_id"].to_numpy(), "miss": verdicts})
+        for name, value in zip(self.columns, key):
+            out.insert(0, name, value)
+        yield out[[*self.columns, "event_id", "miss"]]
+
+    def close(self) -> None:
+        pass
+
+
+def cache_gate(events: DataFrame, key: list[str], seconds: int = 3600) -> DataFrame:
+    """(key…, event_id, miss): exact time-to-live cache on a stream; needs the RocksDB state store."""
+    kinds = dict(events.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", event_id bigint, miss boolean"
+    return events.select(*key, "event_id", "ts").groupBy(*key).transformWithStateInPandas(CacheGate(seconds, key), schema, "Append", "None")
+
+
 def rate_gate(events: DataFrame, limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS) -> DataFrame:
     """(user_id, event_id, accepted) over a stream of (user_id, event_id, ts); needs the RocksDB state store."""
     return (
@@ -63,7 +102,7 @@ def rate_upper_bound(events: DataFrame, limit: int = RATE_LIMIT, seconds: int =
     slots of one window length and an event only meets its own and the previous slot, so a heavy
     key spreads over its slots.
     """
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     slot = F.floor(micros / F.lit(seconds * 1_000_000))
     rows = events.select("user_id", "event_id", micros.alias("__t"), slot.alias("__slot"))
     seen = rows.withColumn("__home", F.explode(F.array(F.col("__slot"), F.col("__slot") + 1)))
