@@ -60,7 +60,7 @@ def same(actual: Column, expected: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Lower-case words of two or more word characters, as a TF-IDF vectoriser sees them."""
-    return F.regexp_extract_all(F.lower(col), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}\p{M}_]{2,}"), F.lit(0))
 
 
 def guess_language(query: Column, tags: Column) -> Column:

@@ -338,7 +338,7 @@ def fill_iterative(df: DataFrame, row_id: str, rounds: int = 10, tolerance: floa
     """Chained linear equations: each incomplete column is regressed on all others, round by round.
 
     One round is one moment aggregation per incomplete column (the normal equations are k × k, solved
-    on the driver) and a narrow projection; lineage is cut with a reliable checkpoint per round.
+    on the driver) and a narrow projection; lineage is cut by a written table per round.
     """
     numbers, texts = numeric_columns(df, [row_id]), string_columns(df, [row_id])
     columns = [*numbers, *texts]

@@ -77,9 +77,10 @@ def nearest_known(df: DataFrame, order_col: str, columns: list[str], position: s
     point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(position).alias("pos"), F.col(c).alias("val"))) for c in columns}
     rows = rows.withColumns({f"__p_{c}": point[c] for c in columns})
     back = Window.partitionBy(BUCKET).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(BUCKET).orderBy(order_col).rowsBetween(0, Window.unboundedFollowing)
+    # reversed order with a growing frame: a frame open to the end is re-read for every row
+    ahead = Window.partitionBy(BUCKET).orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"__b_{c}": F.last(f"__p_{c}", ignorenulls=True).over(back) for c in columns})
-    local = local.withColumns({f"__a_{c}": F.first(f"__p_{c}", ignorenulls=True).over(ahead) for c in columns})
+    local = local.withColumns({f"__a_{c}": F.last(f"__p_{c}", ignorenulls=True).over(ahead) for c in columns})
     edges = rows.groupBy(BUCKET).agg(
         *[F.max_by(f"__p_{c}", F.when(F.col(f"__p_{c}").isNotNull(), F.col(order_col))).alias(f"__last_{c}") for c in columns],
         *[F.min_by(f"__p_{c}", F.when(F.col(f"__p_{c}").isNotNull(), F.col(order_col))).alias(f"__first_{c}") for c in columns],

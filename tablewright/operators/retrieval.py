@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tablewright.functions.text import has_high_script, words
 from tablewright.operators.neighbours import block_search
+from tablewright.session import checkpointed
 
 # Header marks, ranking weights and modality vocabularies.
 DEFAULT_HEADER = "Introduction"
@@ -51,14 +52,14 @@ def smooth_idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, top_k: int = 3, block_rows: int = 4096) -> DataFrame:
+def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, top_k: int = 3, block_rows: int = 1024) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of TF-IDF vectors plus 0.4 × word overlap, top k above 0.05.
 
     Only terms of the queries are kept after the norms are known. Blocks of documents meet blocks of
     queries and return k rows per query, so no (query, document) pair list is shuffled.
     """
     n_docs = docs.count()
-    tf = term_counts(docs, [doc_id], text)
+    tf = checkpointed(term_counts(docs, [doc_id], text))  # tokenised once; read for the idf and again for the weights
     idf = tf.groupBy("term").agg(smooth_idf(F.lit(float(n_docs)), F.count("*")).alias("idf"))
     q_tf = term_counts(queries, [query_id], query_text).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     q_norm = q_tf.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -71,18 +72,24 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
     q_words = space_words(queries, query_id, query_text).select(
         query_id, F.explode("parts").alias("word"), (F.lit(OVERLAP_WEIGHT) / (F.size("parts") + 1)).alias("w"))
     q_all = q_terms.unionByName(q_words.select(query_id, F.concat(F.lit("w:"), "word").alias("feature"), "w"))
-    wanted = q_all.select("feature").distinct()
-
-    weighted = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    d_terms = weighted.select(doc_id, F.concat(F.lit("t:"), "term").alias("feature"), "w").join(wanted, "feature", "left_semi")
-    d_terms = d_terms.join(norms, doc_id).select(doc_id, "feature", (F.col("w") / F.col("norm")).alias("w"))
-    d_words = space_words(docs, doc_id, text).select(doc_id, F.explode("parts").alias("word")).select(doc_id, F.concat(F.lit("w:"), "word").alias("feature"), F.lit(1.0).alias("w"))
-    d_all = d_terms.unionByName(d_words.join(wanted, "feature", "left_semi").select(doc_id, "feature", "w"))
-
-    def packed(rows: DataFrame, key: str) -> DataFrame:
-        """Sparse vectors: hashed features and weights of one document or query."""
-        return rows.groupBy(key).agg(F.collect_list(F.xxhash64("feature")).alias("f"), F.collect_list("w").alias("v"))
+    q_packed = q_all.groupBy(query_id).agg(F.collect_list(F.xxhash64("feature")).alias("f"), F.collect_list("w").alias("v"))
+
+    # one pass per document: its norm over all terms, and only the weights the queries ask for
+    asked = q_terms.select(F.substring("feature", 3, 10000).alias("term")).distinct().withColumn("asked", F.lit(True))
+    weighted = tf.join(idf.join(asked, "term", "left"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    kept = F.when(F.col("asked"), F.struct(F.xxhash64(F.concat(F.lit("t:"), "term")).alias("f"), F.col("w").alias("w")))
+    d_terms = weighted.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(kept).alias("terms"))
+    asked_words = q_words.select("word").distinct()
+    d_words = space_words(docs, doc_id, text).select(doc_id, F.explode("parts").alias("word")).join(asked_words, "word", "left_semi")
+    d_words = d_words.groupBy(doc_id).agg(F.collect_list(F.xxhash64(F.concat(F.lit("w:"), "word"))).alias("words"))
+    none = F.array().cast("array<bigint>")
+    both = d_terms.join(d_words, doc_id, "full_outer").select(
+        doc_id, F.coalesce("words", none).alias("words"), F.coalesce(F.transform("terms", lambda x: x["f"]), none).alias("tf"),
+        F.coalesce(F.transform("terms", lambda x: x["w"] / F.col("norm")), F.array().cast("array<double>")).alias("tv"),
+    )
+    d_packed = both.select(
+        doc_id, F.concat("tf", "words").alias("f"), F.concat("tv", F.transform("words", lambda x: F.lit(1.0))).alias("v")
+    ).where(F.size("f") > 0)
 
     schema = f"query {dict(queries.dtypes)[query_id]}, doc {dict(docs.dtypes)[doc_id]}, score double"
 
@@ -111,7 +118,7 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
         })
         return ranked[ranked["score"] > SCORE_FLOOR]
 
-    found = block_search(packed(q_all, query_id), packed(d_all, doc_id), query_id, doc_id, kernel, schema, block_rows)
+    found = block_search(q_packed, d_packed, query_id, doc_id, kernel, schema, block_rows)
     best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "doc")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
@@ -131,28 +138,20 @@ def near_duplicate_queries(df: DataFrame, query_id: str, tenant: str, text: str,
     tf = nodes.select("tenant", "node", F.explode(words(F.col("body"))).alias("term")).groupBy("tenant", "node", "term").agg(F.count("*").alias("tf"))
     idf = tf.groupBy("tenant", "term").agg(F.count("*").alias("df")).join(sizes, "tenant").select("tenant", "term", "df", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
     weighted = tf.join(idf, ["tenant", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    vectors = weighted.groupBy("tenant", "node").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("raw"))  # one text's terms
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    vectors = vectors.withColumn("norm", norm).select("tenant", "node", F.transform("raw", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("vector"))
-    # terms come rarest first; keep those whose remaining mass could still reach the limit
-    reach = F.aggregate(
-        "vector", F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("keep")),
-        lambda a, x: F.struct(
-            (a["left"] - x["w"] * x["w"]).alias("left"),
-            F.when(a["left"] >= cosine * cosine - 1e-9, F.concat(a["keep"], F.array(x["term"]))).otherwise(a["keep"]).alias("keep"),
-        ),
-        lambda a: a["keep"],
-    )
-    postings = vectors.select("tenant", "node", F.explode(reach).alias("term"))
+    norms = weighted.groupBy("tenant", "node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = checkpointed(weighted.join(norms, ["tenant", "node"]).select("tenant", "node", "term", "df", (F.col("w") / F.col("norm")).alias("w")))
+    # rarest terms first; a term stays while the mass from it on could still reach the limit
+    rarest = Window.partitionBy("tenant", "node").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # one text's terms
+    left = F.lit(1.0) - F.coalesce(F.sum(F.col("w") * F.col("w")).over(rarest), F.lit(0.0))
+    postings = unit.withColumn("left", left).where(F.col("left") >= cosine * cosine - 1e-9).select("tenant", "node", "term")
     pairs = (
         postings.withColumnRenamed("node", "later").join(postings.withColumnRenamed("node", "earlier"), ["tenant", "term"])
         .where(F.col("earlier") < F.col("later")).select("tenant", "later", "earlier").distinct()
     )
-    left = vectors.select("tenant", F.col("node").alias("later"), F.col("vector").alias("lv"))
-    right = vectors.select("tenant", F.col("node").alias("earlier"), F.map_from_entries("vector").alias("em"))
-    joined = pairs.join(left, ["tenant", "later"]).join(right, ["tenant", "earlier"])
-    dot = F.aggregate("lv", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at("em", x["term"]), F.lit(0.0)))
-    hits = joined.withColumn("score", dot).where(F.col("score") > cosine)
+    mine = unit.select("tenant", F.col("node").alias("later"), "term", F.col("w").alias("lw"))
+    other = unit.select("tenant", F.col("node").alias("earlier"), "term", F.col("w").alias("ew"))
+    shared = pairs.join(mine, ["tenant", "later"]).join(other, ["tenant", "earlier", "term"])
+    hits = shared.groupBy("tenant", "later", "earlier").agg(F.sum(F.col("lw") * F.col("ew")).alias("score")).where(F.col("score") > cosine)
     best = hits.groupBy("tenant", F.col("later").alias("node")).agg(F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("earlier").alias("match"))).alias("top"))
     per_row = rows.join(nodes, ["tenant", "body"]).join(best, ["tenant", "node"], "left")
     exact = F.col("query") != F.col("node")

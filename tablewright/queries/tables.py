@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from tablewright.operators import dedup, delimited, reports
 from tablewright.queries.registry import query, read
 from tablewright.queries.views import CLEANED_ORDERS, DIRTY_ORDERS, REPEATED, cleaned_orders, dirty_orders, repeated_lines
+from tablewright.session import shared_folder
 from tablewright.sources.tables import csv_to_parquet, export_table, load_table
 
 
 def scratch(spark, name: str) -> str:
-    """Folder for written copies: next to the shared checkpoint folder when there is one, else a new temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        from uuid import uuid4
-
-        return f"{shared.rstrip('/')}/tables/{name}-{uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), name)
+    """New path for a written copy in the shared folder."""
+    return f"{shared_folder(spark)}/copies/{uuid4().hex[:12]}-{name}"
 
 
 # ---- A: scans ----------------------------------------------------------------------------------

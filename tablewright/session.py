@@ -1,8 +1,9 @@
-"""Session helpers: a tuned local session, and reliable checkpoints."""
+"""Session helpers: a tuned local session, and tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,22 +24,33 @@ def build_session(app: str = "tablewright", cores: int | str = "*", shuffle_part
     )
 
 
+_SCRATCH: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder named by spark.checkpoint.dir.
+
+    A local session without that setting (tests) gets one scratch folder. On a cluster a missing
+    setting is an error: a machine-local folder would not survive executor loss.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        if not _SCRATCH:
+            _SCRATCH.append(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        folder = _SCRATCH[0]
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
+    """Cut lineage: write the frame once as Parquet in the shared folder and read it back.
 
-    A local session without that setting (tests) gets a scratch folder. On a cluster a
-    missing setting is an error: a machine-local folder would not survive executor loss.
+    Unlike an eager checkpoint it is computed once, and later reads prune columns and push filters.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions_hint(spark: SparkSession) -> int:
