@@ -69,6 +69,7 @@ def anomaly_flags(
         lambda t: F.pmod(draw(F.col(row_id), seed + 1) * (t * 2 + 7919) + t * 104729, F.lit(SECOND_PRIME).cast("bigint")) < rate,
     )
     members = train.select(row_id, *columns, F.explode(member).alias("tree"))
+    members = members.repartition(min(trees, 2 * df.sparkSession.sparkContext.defaultParallelism), "tree")
     limit = int(np.ceil(np.log2(TREE_ROWS)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
