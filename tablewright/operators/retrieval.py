@@ -118,7 +118,7 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
         })
         return ranked[ranked["score"] > SCORE_FLOOR]
 
-    found = block_search(q_packed, d_packed, query_id, doc_id, kernel, schema, block_rows)
+    found = block_search(q_packed, d_packed, query_id, doc_id, kernel, schema, block_rows, (queries.count(), n_docs))
     best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "doc")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")

@@ -11,6 +11,7 @@ from tablewright.queries.profiles import rounded
 from tablewright.queries.registry import query, read
 from tablewright.queries.tables import scratch
 from tablewright.queries.views import sql_draw, sql_unit
+from tablewright.session import checkpointed
 
 
 def price_rows(spark, sf):
@@ -25,7 +26,7 @@ def split(spark, sf):
     """Numeric and encoded features with a stratified split."""
     df = evaluate.stratified_split(price_rows(spark, sf), "row_id", "label")
     stages, ready = models.prepare_features(df, ["year", "noisy"], ["status"], ["priority"], "label")
-    return stages, ready
+    return stages, checkpointed(ready.select("row_id", "label", "is_test", "features"))  # every fit and score reads this table
 
 
 @query("k1_feature_preparation")
