@@ -3,22 +3,63 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.contamination import find_contamination
+from tablewright.llm.packing import pack
 from tablewright.llm.substrings import remove_repeats
+from tablewright.llm.tokenfiles import read_token_files, with_crc, write_token_files
+from tablewright.session import shared_folder
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left in every document after removal of repeated runs of 35 words."""
     kept = remove_repeats(_read(spark, folder, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup}
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, written and read back: place, length and checksum of every document."""
+    path = f"{shared_folder(spark)}/tokens/{uuid4().hex}"
+    write_token_files(_read(spark, folder, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=2)
+    return with_crc(read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside 13-word windows of benchmark items, and the verdict at one word in twenty."""
+    found = find_contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), window=13, share=(1, 20))
+    names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), names, "contaminated")
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of 2**k tokens, 2048 at most, from all documents."""
+    packed = pack(_read(spark, folder, "documents"), None, tokenizer("word_bpe_49k.json"), end_id=1, longest=2048)
+    return with_crc(packed.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op4_token_files,
+        op5_benchmark_decontamination,
+        op9_packing,
+    )
+}
+#: The same results as SQL, where SQL can say them.
 ORACLES: dict[str, str] = {}
