@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.contamination import find_contamination
+from tablewright.llm.licenses import scan_licenses
+from tablewright.llm.near import near_components
 from tablewright.llm.packing import pack
+from tablewright.llm.scoring import score
 from tablewright.llm.substrings import remove_repeats
 from tablewright.llm.tokenfiles import read_token_files, with_crc, write_token_files
 from tablewright.session import shared_folder
@@ -32,6 +35,11 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document."""
+    return scan_licenses(_read(spark, folder, "documents"))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token files of all documents, written and read back: place, length and checksum of every document."""
     path = f"{shared_folder(spark)}/tokens/{uuid4().hex}"
@@ -46,6 +54,19 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), names, "contaminated")
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Context-tree and unigram scores of all documents, learnt from six sevenths of them."""
+    docs = _read(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 == 2
+    scored = score(docs.select("doc_id", "text", held_out.alias("held_out")), "held_out")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets are similar to 0.8."""
+    return near_components(_read(spark, folder, "documents"), size=4, percent=80)
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2**k tokens, 2048 at most, from all documents."""
     packed = pack(_read(spark, folder, "documents"), None, tokenizer("word_bpe_49k.json"), end_id=1, longest=2048)
@@ -56,8 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op3_license_scan,
         op4_token_files,
         op5_benchmark_decontamination,
+        op6_lm_scoring,
+        op7_minhash_near_dedup,
         op9_packing,
     )
 }
