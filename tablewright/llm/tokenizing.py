@@ -1,13 +1,15 @@
-"""Token ids of whole texts with a file of the tokenizers library.
+"""Token ids of whole texts with a file of the tokenizers library (byte-level or word-end BPE).
 
-A text is cut before every blank that a visible character follows; both byte-level and word-end BPE start a new piece there, so the
-ids of the parts, joined, are the ids of the text. Parts already seen by this worker come from a bounded dictionary.
-Strings that look like special tokens are ordinary text.
+A text is cut before every blank that a visible character follows: these tokenizers start a new piece there, so the ids of the
+parts, joined, are the ids of the text. A worker remembers the ids of parts it has seen, up to a bound. A new part of letters,
+with or without a closing run of stops and commas, goes to the library's BPE model directly, since its pieces are known; any other
+part goes through the library's whole encoder. Strings that look like special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 #: First bytes after a blank at which a new part may start: visible ASCII, and lead bytes whose characters hold no white space.
 SAFE = bytes([*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)])
@@ -15,6 +17,36 @@ _IS_SAFE = [b in SAFE for b in range(256)]
 _LOADED: dict[str, Encoder] = {}
 
 
+class _Joined(Exception):
+    """A part that can not start after a blank."""
+
+
+def _alphabet() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: visible Latin-1 for itself, the rest from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Parts(dict):
+    """Ids of blank plus word by word, found when first asked for."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if not word or not _IS_SAFE[word[0]]:
+            raise _Joined
+        ids = self.older.get(word) or self.encoder.part(word)
+        if len(word) <= 64:
+            if len(self) >= self.encoder.remembered:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -22,40 +54,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _ids(self, parts: list[bytes]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of blank plus word, for words that are not known."""
-        made = {w: self.older[w] for w in words if w in self.older}
-        missing = [w for w in words if w not in made]
-        if missing:
-            made.update(zip(missing, self._ids([b" " + w for w in missing]), strict=True))
-        if len(self.known) > self.remembered:
-            self.older, self.known = self.known, {}
-        self.known.update((w, ids) for w, ids in made.items() if len(w) <= 64)
-        return made
+        self.remembered, self.known = remembered, _Parts(self)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.letters = _alphabet()
+        pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(" ab.,"))]
+        #: What stands for the blank before a word's letters; None if the pieces of such a part are not the letters and the stops.
+        self.blank = {("Ġab", ".,"): "Ġ", ("ab", ".,"): ""}.get(tuple(pieces))
+
+    def _normal(self, text: str) -> str:
+        return self.normalizer.normalize_str(text) if self.normalizer else text
+
+    def whole(self, text: bytes) -> bytes:
+        """Ids of a text by the library alone."""
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def part(self, word: bytes) -> bytes:
+        """Ids of a blank and a word."""
+        text = self._normal(word.decode("utf-8", "replace"))
+        core = text.rstrip(".,")
+        if self.blank is None or not core.isalpha():
+            return self.whole(b" " + word)
+        stops = text[len(core) :]
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(self.blank + core)
+        if stops:
+            found += self.model.tokenize(stops)
+        return array("I", [t.id for t in found]).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         head, *words = text.split(b" ")
-        found = list(map(self.known.get, words))
-        if None in found:
-            missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
-            if not all(w and _IS_SAFE[w[0]] for w in missing):
-                return self._encode_parts(head, words)
-            made = self._learn(missing)
-            found = [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return self._ids([head])[0] + b"".join(found) if head else b"".join(found)
-
-    def _encode_parts(self, head: bytes, words: list[bytes]) -> bytes:
+        try:
+            rest = b"".join(map(self.known.__getitem__, words))
+        except _Joined:
+            return self._encode_joined(head, words)
+        return self.whole(head) + rest if head else rest
+
+    def _encode_joined(self, head: bytes, words: list[bytes]) -> bytes:
         """Where white space runs stand: words that may not start a part stay with the part before."""
         parts, own = [], [head]
         for w in words:
@@ -65,11 +101,11 @@ class Encoder:
             else:
                 own.append(w)
         parts.append(b" ".join(own))
-        return b"".join(self._ids([p for p in parts if p]))
+        return b"".join(map(self.whole, filter(None, parts)))
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for this file; its dictionary serves all tasks of the worker."""
+    """The worker's encoder for this file; what it remembers serves all tasks of the worker."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
