@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.contamination import find_contamination
 from tablewright.llm.licenses import scan_licenses
+from tablewright.llm.lines import judge_lines
 from tablewright.llm.near import near_components
 from tablewright.llm.packing import pack
+from tablewright.llm.quality import rate
 from tablewright.llm.scoring import score
 from tablewright.llm.substrings import remove_repeats
 from tablewright.llm.tokenfiles import read_token_files, with_crc, write_token_files
@@ -35,6 +37,16 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with words of every document, and those that an equal or similar earlier line removes."""
+    docs = _read(spark, folder, "documents")
+    lines = judge_lines(docs, percent=80)
+    gone = F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line_no"))))
+    counts = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.array_join(gone, ",").alias("removed_lines"))
+    found = docs.select("doc_id").distinct().join(counts, "doc_id", "left")
+    return found.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License notices in every document."""
     return scan_licenses(_read(spark, folder, "documents"))
@@ -67,6 +79,11 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(_read(spark, folder, "documents"), size=4, percent=80)
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document; documents labelled good are the trusted ones."""
+    return rate(_read(spark, folder, "documents"), _read(spark, folder, "labels").where("quality = 1"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2**k tokens, 2048 at most, from all documents."""
     packed = pack(_read(spark, folder, "documents"), None, tokenizer("word_bpe_49k.json"), end_id=1, longest=2048)
@@ -77,11 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_line_dedup,
         op3_license_scan,
         op4_token_files,
         op5_benchmark_decontamination,
         op6_lm_scoring,
         op7_minhash_near_dedup,
+        op8_quality_rules,
         op9_packing,
     )
 }
