@@ -17,6 +17,7 @@ from tablewright.llm.quality import rate
 from tablewright.llm.scoring import score
 from tablewright.llm.substrings import remove_repeats
 from tablewright.llm.tokenfiles import read_token_files, with_crc, write_token_files
+from tablewright.llm.toxicity import find_toxic
 from tablewright.session import shared_folder
 
 
@@ -90,6 +91,11 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return with_crc(packed.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Chain of classifiers learnt from the labels, applied to every document."""
+    return find_toxic(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_minhash_near_dedup,
         op8_quality_rules,
         op9_packing,
+        op10_toxicity,
     )
 }
 #: The same results as SQL, where SQL can say them.
