@@ -9,6 +9,7 @@ a block, what is shuffled is a few bytes a word, and no row, key or text passes
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.arrays import cut, parts, texts
-from tablewright.session import checkpointed, partitions_hint, ship_package
+from tablewright.session import checkpointed, partitions_hint, shared_folder, ship_package
 
 BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block bigint, body binary"
@@ -70,6 +71,15 @@ def sent(block: int, buckets: np.ndarray, columns: dict[str, Callable[[int, int]
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", *columns])
 
 
+def dealt(rows: DataFrame, column: str) -> DataFrame:
+    """The rows written once, dealt to the session's shuffle width by a column: grouping by it later moves nothing."""
+    spark, table = rows.sparkSession, f"dealt_{uuid4().hex}"
+    n = partitions_hint(spark)
+    path = f"{shared_folder(spark)}/tables/{table}"
+    rows.repartition(n, column).write.bucketBy(n, column).options(compression="zstd", path=path).saveAsTable(table)
+    return spark.table(table)
+
+
 def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
     """Blocks with the answers of all buckets as a list; a block without any has NULL."""
     for name, rows in answers.items():

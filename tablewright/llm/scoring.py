@@ -15,16 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.arrays import WHITE, byte_values, cut, inside_table, mix, texts, word_bounds, word_hashes
-from tablewright.llm.blocks import bucket_count, bucket_of, decode, in_blocks, with_answers
+from tablewright.llm.blocks import bucket_count, bucket_of, dealt, decode, in_blocks, with_answers
 from tablewright.llm.ctw import DEPTH, TOP, Subtrees, Top, grams
-from tablewright.session import checkpointed
 
 INSIDE = inside_table(WHITE)
 VALUES = byte_values(4, lower=True)
 SUBTREE = np.uint64(8 * (DEPTH + 1 - TOP))
 #: The end token's place among word hashes.
 END = np.uint64(0x5EED5EED5EED5EED)
-SENT = "kind string, bucket bigint, block bigint, keys binary, counts binary"
+SENT = "kind string, bucket bigint, block bigint, n bigint, keys binary, counts binary"
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -59,18 +58,20 @@ class Block:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers, as compressed differences."""
-    return pa.compress(np.diff(values, prepend=values.dtype.type(0)).tobytes(), codec="zstd", asbytes=True)
+    """Ascending 64-bit numbers as compressed differences, all lowest bytes first, then the next."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(body: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(pa.decompress(body, 8 * n, codec="zstd", asbytes=True), np.uint64), dtype=np.uint64)
+    steps = np.frombuffer(pa.decompress(body, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """A bucket's distinct keys, their counts, the entry of each key sent, and how many each block sent."""
-    counts = [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]
-    sizes = [len(c) for c in counts]
+    sizes = table["n"].to_pylist()
+    counts = [np.frombuffer(pa.decompress(x, 4 * n, codec="zstd"), np.uint32) for x, n in zip(table["counts"].to_pylist(), sizes, strict=True)]
     keys = np.concatenate([unpacked(x, n) for x, n in zip(table["keys"].to_pylist(), sizes, strict=True)])
     values, entry = np.unique(keys, return_inverse=True)
     return values, np.bincount(entry, np.concatenate(counts), len(values)), entry, sizes
@@ -132,13 +133,14 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
                         pa.array([kind] * len(names)),
                         pa.array(names.astype(np.int64)),
                         pa.array(np.full(len(names), number, np.int64)),
+                        pa.array([len(s) for s in spans], pa.int64()),
                         pa.array([packed(values[s]) for s in spans], pa.binary()),
-                        pa.array([counts[s].tobytes() for s in spans], pa.binary()),
+                        pa.array([pa.compress(counts[s].tobytes(), codec="zstd", asbytes=True) for s in spans], pa.binary()),
                     ]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["kind", "bucket", "block", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["kind", "bucket", "block", "n", "keys", "counts"])
 
     # read twice: to sum the roots, and to answer
-    pairs = checkpointed(blocks.mapInArrow(send, SENT))
+    pairs = dealt(blocks.mapInArrow(send, SENT), "bucket")
     roots = pairs.groupBy("kind", "bucket").applyInArrow(_roots, "last bigint, node bigint, zeros double, ones double, longer double")
     # one row for each last byte and node, whatever the corpus
     summed = roots.groupBy("last", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "longer")]).toPandas()
@@ -149,8 +151,8 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     def answer(table: pa.Table) -> pa.Table:
         values, counts, entry, sizes = _merged(table)
         if table["kind"][0].as_py() == "word":
-            return _answered(table, counts.astype(np.float64)[entry], sizes)
-        return _answered(table, top.log10(values, Subtrees(values, counts))[entry], sizes)
+            return _answered(table, counts.astype(np.uint32)[entry], sizes)
+        return _answered(table, top.log10(values, Subtrees(values, counts)).astype(np.float32)[entry], sizes)
 
     answers = pairs.groupBy("kind", "bucket").applyInArrow(answer, "block bigint, kind string, bucket bigint, body binary")
 
@@ -167,9 +169,9 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 def _scored(block: Block, answers: list, n: int, distinct: int, total: int, id_col: str) -> pa.RecordBatch:
     n_rows = block.rows.num_rows
     _, entry, row, buckets, order = block.grams(n)
-    score = np.bincount(row, _gather(answers, "gram", buckets, order, np.float64)[entry], n_rows)
+    score = np.bincount(row, _gather(answers, "gram", buckets, order, np.float32)[entry], n_rows)
     _, entry, row, buckets, order = block.words(n)
-    counts = _gather(answers, "word", buckets, order, np.float64)[entry]
+    counts = _gather(answers, "word", buckets, order, np.uint32)[entry].astype(float)
     base = np.bincount(row, np.log10((counts + 1) / (total + distinct + 1)), n_rows)
     n_bytes = np.diff(block.offsets)
     arrays = [
