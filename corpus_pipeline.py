@@ -15,6 +15,7 @@ from tablewright.llm.contamination import find_contamination
 from tablewright.llm.lines import remove_lines
 from tablewright.llm.near import near_components
 from tablewright.llm.packing import pack
+from tablewright.llm.quality import WHITE
 from tablewright.llm.queries import tokenizer
 from tablewright.llm.toxicity import find_toxic
 from tablewright.session import shared_folder
@@ -36,8 +37,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal or similar to earlier ones leave the texts; all documents go on, n_chars counts what is left."""
-    left = remove_lines(docs, percent=80)
+    """Lines equal or similar to earlier ones leave the texts, n_chars counts what is left. A document that had words and has none
+    now stops here: earlier documents hold all of its lines. Texts without words from the start go on."""
+    words = F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) != ""
+    left = remove_lines(docs.withColumn("__had_words", words), percent=80).where(words | ~F.col("__had_words"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
