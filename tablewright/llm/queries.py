@@ -12,6 +12,7 @@ from tablewright.llm.contamination import find_contamination
 from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.lines import judge_lines
 from tablewright.llm.near import near_components
+from tablewright.llm.oracles import ORACLES
 from tablewright.llm.packing import pack
 from tablewright.llm.quality import rate
 from tablewright.llm.scoring import score
@@ -21,6 +22,9 @@ from tablewright.llm.toxicity import find_toxic
 from tablewright.session import shared_folder
 
 
+__all__ = ["ORACLES", "QUERIES", "tokenizer"]
+
+
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -111,5 +115,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
     )
 }
-#: The same results as SQL, where SQL can say them.
-ORACLES: dict[str, str] = {}
