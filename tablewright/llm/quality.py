@@ -13,13 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.frames import settle
+from tablewright.operators.frames import settle, with_few
+from tablewright.session import checkpointed
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\f\r"
 GAPS = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 14
+#: Trusted ids up to this number are sent to all tasks (16 MB) instead of shuffling the texts.
+SENT_IDS = 1_000_000
 #: A document is kept from this mean log ratio on.
 LEAST = -0.1
 
@@ -85,7 +88,8 @@ def features(hashes: Column) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> Column:
     """Log of trusted over raw probability for every bucket, add-one smoothed, as a constant array of BUCKETS numbers."""
-    rows = docs.join(trusted.select(F.col(id_col)).distinct().withColumn("__trusted", F.lit(1)), id_col, "left")
+    ids = checkpointed(trusted.select(F.col(id_col)).distinct())
+    rows = docs.join(with_few(ids, SENT_IDS).withColumn("__trusted", F.lit(1)), id_col, "left")
     hashes = F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w))
     counted = rows.select("__trusted", F.explode(let(hashes, features)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("trusted"))
     found = {r["bucket"]: (r["trusted"] + 1, r["raw"] + 1) for r in counted.collect()}
