@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.hashing import SECOND_PRIME, chosen, draw, pick, unit
+from tablewright.functions.hashing import cell, chosen, draw, pick, poisson_cuts, unit
 from tablewright.functions.numbers import ARABIC_DIGITS, WESTERN_DIGITS
 from tablewright.operators.frames import field, settle, string_columns
 from tablewright.operators.ordered import prefix_sums
@@ -36,15 +36,16 @@ def exactly(df: DataFrame, row_id: str, n: int, seed: int) -> Column:
     """Predicate true for exactly n rows: the n smallest (draw, row id). Scalars only reach the driver."""
     if n <= 0:
         return F.lit(False)
-    drawn = df.select(F.col(row_id), draw(F.col(row_id), seed).alias("d"))
-    placed = prefix_sums(drawn.groupBy("d").agg(F.count("*").alias("n")), "d", {"before": F.col("n")})
-    edge = placed.where((F.col("before") < n) & (F.col("before") + F.col("n") >= n)).first()
+    drawn = df.select(F.col(row_id).alias("id"), draw(F.col(row_id), seed).alias("d"))
+    cells = drawn.groupBy(cell(F.col("d")).alias("c")).agg(F.count("*").alias("n"))
+    edge = prefix_sums(cells, "c", {"before": F.col("n")}).where((F.col("before") < n) & (F.col("before") + F.col("n") >= n)).first()
     if edge is None:
         return F.lit(True)
-    tied = drawn.where(F.col("d") == edge["d"]).orderBy(row_id).limit(int(n - edge["before"]))
-    last = tied.agg(F.max(row_id)).first()[0]
+    # a cell holds about a millionth of the rows
+    inside = drawn.where(cell(F.col("d")) == edge["c"]).orderBy("d", "id").limit(int(n - edge["before"]))
+    last = inside.agg(F.max(F.struct("d", "id")).alias("last")).first()["last"]
     value = draw(F.col(row_id), seed)
-    return (value < edge["d"]) | ((value == edge["d"]) & (F.col(row_id) <= last))
+    return (value < last["d"]) | ((value == last["d"]) & (F.col(row_id) <= last["id"]))
 
 
 def selected(df: DataFrame, row_id: str, ratio: float, seed: int, exact: bool = True) -> Column:
@@ -121,12 +122,7 @@ def duplicate_rows(df: DataFrame, row_id: str, ratio: float, seed: int) -> DataF
     Adds `copy_no` (0 for the original).
     """
     u = draw(F.col(row_id), seed)
-    copies, probability, below, k = F.lit(0), 2.718281828459045 ** -ratio, 0.0, 0
-    while below < 0.999999 and k < 32:
-        below += probability
-        copies = copies + (u >= int(round(below * SECOND_PRIME))).cast("int")
-        k += 1
-        probability *= ratio / k
+    copies = sum(((u >= cut).cast("int") for cut in poisson_cuts(ratio)), F.lit(0))
     return df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), copies)))
 
 

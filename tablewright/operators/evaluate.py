@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablewright.functions.hashing import draw
-from tablewright.operators.frames import string_columns
+from tablewright.functions.hashing import cell, draw
+from tablewright.operators.frames import string_columns, with_few
 from tablewright.operators.neighbours import nearest_rows
 from tablewright.operators.ordered import prefix_sums
 from tablewright.operators.quantiles import exact_quantiles, most_frequent
+from tablewright.session import checkpointed
+
+#: Rows of one number a class that are sent to all tasks; more classes are joined by a shuffle.
+CLASSES_SENT = 100_000
 
 # Model families with a complexity penalty.
 COMPLEXITY = {"RandomForest": 0.015, "ExtraTrees": 0.015, "GradientBoosting": 0.015, "XGBoost": 0.015, "LightGBM": 0.015, "CatBoost": 0.015, "SVM": 0.01}
@@ -20,26 +24,28 @@ COMPLEXITY = {"RandomForest": 0.015, "ExtraTrees": 0.015, "GradientBoosting": 0.
 def stratified_split(df: DataFrame, row_id: str, label: str | None, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Add `is_test`: in every class the round(n·test_size) rows with the smallest (draw, row id).
 
-    Per-class thresholds come from counts per draw value, so a class holding most rows is never
-    sorted in one task. Without a label, or when a class has one row, the split ignores classes.
+    Per-class thresholds come from counts per cell of draws, so a class holding most rows is never
+    sorted in one task, and reach the rows by broadcast where classes are few. Without a label, or when a class has one row, the split ignores classes.
     """
     rows = df.withColumn("__draw", draw(F.col(row_id), seed))
     if label is not None and df.groupBy(label).count().where("count < 2").limit(1).count():
         label = None
     rows = rows.withColumn("__class", F.col(label) if label else F.lit(0))
-    cells = rows.groupBy("__class", "__draw").agg(F.count("*").alias("__n"))
+    rows = rows.withColumn("__cell", cell(F.col("__draw")))
+    cells = rows.groupBy("__class", "__cell").agg(F.count("*").alias("__n"))
     sizes = cells.groupBy("__class").agg(F.floor(F.sum("__n") * test_size + 0.5).alias("__want"))
-    before = Window.partitionBy("__class").orderBy("__draw").rowsBetween(Window.unboundedPreceding, -1)  # at most 999,983 draw values
+    before = Window.partitionBy("__class").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 1,048,576 cells
     edges = (
         cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(sizes.withColumnRenamed("__class", "__k"), F.col("__class").eqNullSafe(F.col("__k")))
         .where((F.col("__before") < F.col("__want")) & (F.col("__before") + F.col("__n") >= F.col("__want")))
-        .select(F.col("__class").alias("__c"), F.col("__draw").alias("__edge"), (F.col("__want") - F.col("__before")).alias("__take"))
+        .select(F.col("__class").alias("__c"), F.col("__cell").alias("__edge"), (F.col("__want") - F.col("__before")).alias("__take"))
     )
-    tied = rows.join(edges, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__draw") == F.col("__edge"))).select("__c", row_id, "__edge", "__take")
-    ranked = tied.withColumn("__r", F.row_number().over(Window.partitionBy("__c", "__edge").orderBy(row_id)))
-    last = ranked.where(F.col("__r") == F.col("__take")).select("__c", "__edge", F.col(row_id).alias("__last"))
-    joined = rows.join(last, F.col("__class").eqNullSafe(F.col("__c")), "left")
-    test = (F.col("__draw") < F.col("__edge")) | ((F.col("__draw") == F.col("__edge")) & (F.col(row_id) <= F.col("__last")))
+    edges = with_few(checkpointed(edges), CLASSES_SENT)
+    tied = rows.join(edges, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__cell") == F.col("__edge"))).select("__c", row_id, "__draw", "__take")
+    ranked = tied.withColumn("__r", F.row_number().over(Window.partitionBy("__c").orderBy("__draw", row_id)))  # one cell a class
+    last = ranked.where(F.col("__r") == F.col("__take")).select("__c", F.col("__draw").alias("__last_draw"), F.col(row_id).alias("__last"))
+    joined = rows.join(with_few(checkpointed(last), CLASSES_SENT), F.col("__class").eqNullSafe(F.col("__c")), "left")
+    test = (F.col("__draw") < F.col("__last_draw")) | ((F.col("__draw") == F.col("__last_draw")) & (F.col(row_id) <= F.col("__last")))
     return joined.select(*df.columns, F.coalesce(test, F.lit(False)).alias("is_test"))
 
 

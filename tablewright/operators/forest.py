@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.hashing import SECOND_PRIME, draw, unit
+from tablewright.functions.hashing import RANGE
 from tablewright.operators.outliers import robust_scale
 from tablewright.operators.quantiles import exact_quantiles
 
-MAX_TRAIN = 100_000
 TREE_ROWS = 256
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double"
 
@@ -62,13 +61,10 @@ def anomaly_flags(
     base = df.select(row_id, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     scaled = robust_scale(base, columns)
     total = base.count()
-    train = scaled if total <= MAX_TRAIN else scaled.where(unit(F.col(row_id), seed) < MAX_TRAIN / total)
-    rate = int(SECOND_PRIME * min(1.0, 1.3 * TREE_ROWS / max(1, min(total, MAX_TRAIN))))
-    member = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(draw(F.col(row_id), seed + 1) * (t * 2 + 7919) + t * 104729, F.lit(SECOND_PRIME).cast("bigint")) < rate,
-    )
-    members = train.select(row_id, *columns, F.explode(member).alias("tree"))
+    # every tree draws its rows from the whole table
+    rate = min(1.0, 1.3 * TREE_ROWS / max(1, total))
+    member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col(row_id)), 4) < int(RANGE * rate))
+    members = scaled.select(row_id, *columns, F.explode(member).alias("tree"))
     members = members.repartition(min(trees, 2 * df.sparkSession.sparkContext.defaultParallelism), "tree")
     limit = int(np.ceil(np.log2(TREE_ROWS)))
 

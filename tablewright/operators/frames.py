@@ -57,6 +57,11 @@ def long_cells(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return melt(df, [(c, {"value": cell_text(df, c)}) for c in columns], keep)
 
 
+def with_few(df: DataFrame, limit: int) -> DataFrame:
+    """Sent to all tasks if it has at most `limit` rows, else left to a shuffle. Counts, so give it a written or small frame."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def settle(df: DataFrame, columns: list[str]) -> DataFrame:
     """Put expensive columns behind a one-row generator.
 

@@ -22,7 +22,6 @@ from tablewright.operators.quantiles import exact_quantiles, modes, most_frequen
 from tablewright.session import checkpointed
 
 # Limits of the imputing rules, and names never used as predictors.
-TRAIN_ROWS = 100_000
 MAX_CATEGORIES = 50
 EXCLUDED_PREDICTORS = ["ID", "Name", "Email", "Phone", "Join_Date", "Date", "identifier"]
 DATE_NAME_PARTS = ["date", "timestamp", "time", "datetime"]
@@ -106,7 +105,7 @@ def fill_by_group(df: DataFrame, target: str, keys: list[str] | None = None, ski
 
 
 def choose_method(df: DataFrame, skip: list[str] = ()) -> str:
-    """simple, iterative or knn, from row count, missing share and the strongest correlation."""
+    """simple, iterative or knn, from the missing share and the strongest correlation; the size of the table plays no part."""
     columns = [c for c in df.columns if c not in skip]
     numeric = numeric_columns(df, skip)
     pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
@@ -115,7 +114,7 @@ def choose_method(df: DataFrame, skip: list[str] = ()) -> str:
         *[F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
     ).first()
     rows = row["rows"]
-    if rows < 50 or len(columns) < 2 or rows > TRAIN_ROWS:
+    if rows == 0 or len(columns) < 2:
         return "simple"
     missing = sum(rows - row[f"n_{c}"] for c in columns) / (rows * len(columns))
     if missing < 0.01:
@@ -204,10 +203,11 @@ def _model_features(df: DataFrame, target: str, skip: list[str]) -> tuple[list[s
     return numbers, texts
 
 
-def fill_by_model(df: DataFrame, target: str, row_id: str, iterations: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Group rule first, then boosted trees (numbers) or a random forest (text) trained on at most 100,000 known rows.
+def fill_by_model(df: DataFrame, target: str, row_id: str, iterations: int = 20, depth: int = 5, seed: int = 42, train_rows: int | None = None) -> DataFrame:
+    """Group rule first, then boosted trees (numbers) or a random forest (text) trained on the known rows.
 
-    The model is applied to the rows with a gap only.
+    The model is applied to the rows with a gap only. `train_rows` bounds the training rows of the
+    classifier (text) by a keyed draw; without it, and for numbers always, all known rows train.
     """
     df = fill_by_group(df, target, skip=[row_id])
     kind = field(df, target)
@@ -224,8 +224,8 @@ def fill_by_model(df: DataFrame, target: str, row_id: str, iterations: int = 20,
         return frame.withColumns({f"__f_{c}": F.coalesce(_finite(c), F.lit(0.0)) for c in numbers})
 
     train = df.where(~missing)
-    if known_rows > TRAIN_ROWS:
-        train = train.where(unit(F.col(row_id), seed) < TRAIN_ROWS / known_rows)
+    if train_rows and not numeric and known_rows > train_rows:
+        train = train.where(unit(F.col(row_id), seed) < train_rows / known_rows)
     indexers = [StringIndexer(inputCol=c, outputCol=f"__f_{c}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df.where(F.col(c).isNotNull())) for c in texts]
     assembler = VectorAssembler(inputCols=[f"__f_{c}" for c in (*numbers, *texts)], outputCol="__x", handleInvalid="keep")
 
@@ -400,8 +400,13 @@ def advanced_impute(df: DataFrame, row_id: str, method: str = "auto") -> DataFra
     return fill_iterative(df, row_id)
 
 
-def downgrade_columns(df: DataFrame, row_limit: int = 1_000_000, share: float = 0.20) -> list[str]:
-    """Columns too sparse for a model on a large table; they get the simple fill."""
+def downgrade_columns(df: DataFrame, row_limit: int | None = None, share: float = 0.20) -> list[str]:
+    """Columns that a caller wants filled simply: those with more than `share` missing, in tables of more than `row_limit` rows.
+
+    Without a limit no column is: a table's size alone changes nothing.
+    """
+    if row_limit is None:
+        return []
     counts = column_counts(df, approx=True)
     rows = counts["*"]["rows"]
     return [c for c in df.columns if rows > row_limit and counts[c]["nulls"] / rows > share]

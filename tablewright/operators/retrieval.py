@@ -75,7 +75,7 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
     q_packed = q_all.groupBy(query_id).agg(F.collect_list(F.xxhash64("feature")).alias("f"), F.collect_list("w").alias("v"))
 
     # one pass per document: its norm over all terms, and only the weights the queries ask for
-    asked = q_terms.select(F.substring("feature", 3, 10000).alias("term")).distinct().withColumn("asked", F.lit(True))
+    asked = q_terms.select(F.substring("feature", F.lit(3), F.length("feature")).alias("term")).distinct().withColumn("asked", F.lit(True))
     weighted = tf.join(idf.join(asked, "term", "left"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     kept = F.when(F.col("asked"), F.struct(F.xxhash64(F.concat(F.lit("t:"), "term")).alias("f"), F.col("w").alias("w")))
     d_terms = weighted.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(kept).alias("terms"))

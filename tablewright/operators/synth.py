@@ -26,7 +26,7 @@ from tablewright.session import checkpointed
 
 # Ground-truth vocabularies and the name hints of the correlation safety net.
 CITIES = ["Cairo", "Alexandria", "Giza", "Luxor", "Aswan"]
-FEEDBACK = ["خدمة ممتازة جدا ورائعة", "تجربة سيئة ولن أكررها", "الدعم الفني بطيء للغاية", "مقبول ولكن يحتاج تطوير", "المنتج رائع وسريع التوصيل"]
+FEEDBACK = ["وصل الطلب في موعده", "اللون مختلف عن الصورة", "السعر مناسب والجودة جيدة", "لم يعمل الجهاز من أول يوم", "سأشتري منه مرة أخرى"]
 CAUSE_NAMES = ["experience", "years_of_experience", "age", "year", "car_year", "service_years", "years", "tenure"]
 EFFECT_NAMES = ["salary", "income", "price", "sales", "annual_sales", "revenue", "cost", "compensation"]
 INVERSE_NAMES = ["remaining", "depreciation", "life_expectancy", "unused"]
@@ -54,8 +54,8 @@ def ground_truth(ids: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
 
 
 def normal_draw(key: Column, seed: int) -> Column:
-    """Standard normal value from two keyed draws. A large expression: settle() it before it is filtered or reused."""
-    u = (draw(key, seed) * 1000003.0 + F.pmod(draw(key, seed + 500), F.lit(1000003).cast("bigint")) + 0.5) / (999983.0 * 1000003.0)
+    """Standard normal value from a keyed draw. A large expression: settle() it before it is filtered or reused."""
+    u = (draw(key, seed) + 0.5) / F.lit(float(1 << 60))
     return normal_quantile(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), u)))
 
 
@@ -149,8 +149,8 @@ def template_value(template: str, index: Column) -> Column:
     return F.concat(*reversed(parts)) if parts else F.lit("")
 
 
-def sequence_value(prefix: str, start: int, index: Column) -> Column:
-    return F.concat(F.lit(f"SOL-{prefix}"), (index + start).cast("string"))
+def sequence_value(prefix: str, start: int, index: Column, lead: str = "ID-") -> Column:
+    return F.concat(F.lit(f"{lead}{prefix}"), (index + start).cast("string"))
 
 
 def generate_independent(ids: DataFrame, row_id: str, source: DataFrame, profile: dict[str, dict], seed: int = 42) -> DataFrame:
@@ -432,14 +432,13 @@ def fidelity_report(original: DataFrame, synthetic: DataFrame, kinds: dict[str,
 
 
 def closest_records(
-    original: DataFrame, synthetic: DataFrame, row_id: str, numbers: list[str], texts: list[str] = (), sample_size: int | None = 500, seed: int = 3
+    original: DataFrame, synthetic: DataFrame, row_id: str, numbers: list[str], texts: list[str] = (), sample_size: int | None = None, seed: int = 3
 ) -> DataFrame:
     """(row_id, dcr): distance of each checked synthetic row to its closest original row.
 
-    Both sides are scaled on the original's bounds and codes. The checked rows are the fixed-size
-    sample the metric defines, so they are broadcast; every task reduces its originals to one
-    minimum per checked row before the shuffle. `sample_size=None` checks every synthetic row by
-    block pairs instead.
+    Both sides are scaled on the original's bounds and codes. Every synthetic row is checked, by block
+    pairs. With a `sample_size` only so many are: they are broadcast, and every task reduces its
+    originals to one minimum per checked row before the shuffle.
     """
     bounds = original.agg(F.count("*"), *[F.struct(F.min(F.coalesce(c, F.lit(0))), F.max(F.coalesce(c, F.lit(0)))).alias(c) for c in numbers]).first()
     missing = "__MISSING__"

@@ -11,7 +11,7 @@ from tablewright.functions.tokens import AUDIT_TOKENS, CLEANER_TOKENS
 from tablewright.operators import profile, shape
 from tablewright.queries.registry import query, read
 from tablewright.queries.views import CONTACTS, DIRTY_ORDERS, contacts, dirty_orders, sql_chosen, sql_in
-from tablewright.functions.hashing import SECOND_PRIME, draw
+from tablewright.functions.hashing import RANGE, draw
 
 
 # ---- B: projections and coercion -----------------------------------------------------------------
@@ -47,8 +47,8 @@ def _mixed(spark, sf):
     df, k = dirty_orders(spark, sf), F.col("row_id")
     number = F.col("cust_id").cast("string")
     return df.select(
-        "row_id", F.when(draw(k, 15) < int(round(0.25 * SECOND_PRIME)), "n/a").otherwise(F.concat(F.lit(" "), number, F.lit(" "))).alias("mostly"),
-        F.when(draw(k, 16) < int(round(0.10 * SECOND_PRIME)), "none").otherwise(number).alias("nearly"), "status",
+        "row_id", F.when(draw(k, 15) < int(round(0.25 * RANGE)), "n/a").otherwise(F.concat(F.lit(" "), number, F.lit(" "))).alias("mostly"),
+        F.when(draw(k, 16) < int(round(0.10 * RANGE)), "none").otherwise(number).alias("nearly"), "status",
     )
 
 

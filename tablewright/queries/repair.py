@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import SECOND_PRIME, draw
+from tablewright.functions.hashing import RANGE, draw
 from tablewright.functions.text import canonical, same
 from tablewright.functions.tokens import CLEANER_TOKENS
 from tablewright.operators import corrupt, forest, fuzzy, impute, outliers, shape
@@ -23,7 +23,7 @@ def misspelled(spark, sf, column: str = "p_type"):
     head, tail = F.substring(v, F.lit(1), at), F.substring(v, at + 3, F.length(v))
     first, second = F.substring(v, at + 1, F.lit(1)), F.substring(v, at + 2, F.lit(1))
     broken = F.when(modulo(k, 19, 2) == 0, F.concat(head, second, tail)).otherwise(F.concat(head, second, first, tail))
-    return read(spark, sf, "part").select(k.alias("row_id"), F.when(draw(k, 17) < int(round(0.2 * SECOND_PRIME)), broken).otherwise(v).alias("label"))
+    return read(spark, sf, "part").select(k.alias("row_id"), F.when(draw(k, 17) < int(round(0.2 * RANGE)), broken).otherwise(v).alias("label"))
 
 
 def sql_misspelled(column: str = "p_type") -> str:
@@ -96,7 +96,7 @@ def _(spark, sf):
 @query("g1_null_outliers_symmetric", f"WITH c AS (SELECT c_custkey AS row_id, CASE WHEN {sql_chosen('c_custkey', 20, 0.01)} THEN c_acctbal * 4 ELSE c_acctbal END AS balance FROM customer), {_sql_rule('balance', 'c')} SELECT row_id, CASE WHEN far THEN NULL ELSE balance END AS balance FROM o")
 def _(spark, sf):
     k, v = F.col("c_custkey"), F.col("c_acctbal")
-    df = read(spark, sf, "customer").select(k.alias("row_id"), F.when(draw(k, 20) < int(round(0.01 * SECOND_PRIME)), v * 4).otherwise(v).alias("balance"))
+    df = read(spark, sf, "customer").select(k.alias("row_id"), F.when(draw(k, 20) < int(round(0.01 * RANGE)), v * 4).otherwise(v).alias("balance"))
     return outliers.null_outliers(df, ["balance"])
 
 
@@ -150,14 +150,14 @@ def _(spark, sf):
     k = F.col("c_custkey")
     df = read(spark, sf, "customer").select(
         k.alias("row_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nation"), F.col("c_mktsegment").alias("segment"),
-        F.when(draw(k, 21) >= int(round(0.15 * SECOND_PRIME)), F.col("c_nationkey") * 1.5).alias("rate"))
+        F.when(draw(k, 21) >= int(round(0.15 * RANGE)), F.col("c_nationkey") * 1.5).alias("rate"))
     return impute.fill_by_group(df, "rate", ["segment", "nation"])
 
 
 @query("h4_model_fill_number")
 def _(spark, sf):
     df = dirty_orders(spark, sf).select("row_id", "price", "status", "priority", F.year("order_date").alias("year"))
-    return impute.fill_by_model(shape.replace_tokens(df), "price", "row_id", iterations=5)
+    return impute.fill_by_model(shape.replace_tokens(df), "price", "row_id")
 
 
 @query("h4_model_fill_text")
@@ -171,8 +171,8 @@ _KNN = ["balance", "customer_age", "nation"]
 def _knn_input(spark, sf):
     k = F.col("row_id")
     return contacts(spark, sf).select(
-        "row_id", F.when(draw(k, 22) >= int(round(0.05 * SECOND_PRIME)), F.col("balance")).alias("balance"),
-        F.when(draw(k, 23) >= int(round(0.05 * SECOND_PRIME)), F.col("customer_age")).alias("customer_age"), F.col("nation").cast("double").alias("nation"), "segment")
+        "row_id", F.when(draw(k, 22) >= int(round(0.05 * RANGE)), F.col("balance")).alias("balance"),
+        F.when(draw(k, 23) >= int(round(0.05 * RANGE)), F.col("customer_age")).alias("customer_age"), F.col("nation").cast("double").alias("nation"), "segment")
 
 
 def _sql_knn() -> str:
@@ -199,12 +199,12 @@ def _(spark, sf):
 def _(spark, sf):
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     df = read(spark, sf, "lineitem").groupBy(k.alias("row_id")).agg(F.max("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("price"), F.max("l_discount").alias("discount"))
-    gappy = df.withColumn("price", F.when(draw(F.col("row_id"), 24) >= int(round(0.1 * SECOND_PRIME)), F.col("price")))
-    return impute.fill_iterative(gappy, "row_id", rounds=3)
+    gappy = df.withColumn("price", F.when(draw(F.col("row_id"), 24) >= int(round(0.1 * RANGE)), F.col("price")))
+    return impute.fill_iterative(gappy, "row_id")
 
 
 @query("h7_choose_method", f"""WITH {DIRTY_ORDERS}, s AS (SELECT count(*) AS n, (4 * count(*) - count(row_id) - count(price) - count(priority) - count(cust_id)) / (4 * count(*)) AS miss, greatest(abs(corr(row_id, price)), abs(corr(row_id, cust_id)), abs(corr(price, cust_id))) AS r FROM dirty)
-SELECT CASE WHEN n < 50 OR n > 100000 OR miss < 0.01 THEN 'simple' WHEN r > 0.4 THEN 'iterative' ELSE 'knn' END AS method FROM s""")
+SELECT CASE WHEN miss < 0.01 THEN 'simple' WHEN r > 0.4 THEN 'iterative' ELSE 'knn' END AS method FROM s""")
 def _(spark, sf):
     return impute.method_facts(dirty_orders(spark, sf).select("row_id", "price", "priority", "cust_id"))
 
@@ -223,7 +223,7 @@ def _gap_events(spark, sf):
     k = F.col("event_id")
 
     def lost(seed):
-        return draw(k, seed) < int(round(0.3 * SECOND_PRIME))
+        return draw(k, seed) < int(round(0.3 * RANGE))
 
     return read(spark, sf, "events").select("event_id", F.when(~lost(25), F.col("value")).alias("value"), F.when(~lost(26), F.col("event_type")).alias("kind"))
 

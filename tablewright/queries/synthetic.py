@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import SECOND_PRIME, chosen, draw, unit
+from tablewright.functions.hashing import chosen, draw, poisson_cuts, unit
 from tablewright.functions.numbers import ARABIC_DIGITS, WESTERN_DIGITS
 from tablewright.operators import corrupt, synth
 from tablewright.operators.corrupt import Rule
@@ -77,17 +77,7 @@ def _(spark, sf):
     return corrupt.apply_rule(orders(spark, sf).select("row_id", "price"), "row_id", Rule("price", "type", 12, 8))
 
 
-def _poisson(ratio: float) -> list[int]:
-    cuts, below, p, k = [], 0.0, math.e ** -ratio, 0
-    while below < 0.999999 and k < 32:
-        below += p
-        cuts.append(int(round(below * SECOND_PRIME)))
-        k += 1
-        p *= ratio / k
-    return cuts
-
-
-@query("j7_duplicate_rows", f"WITH {_O} SELECT row_id, status, CAST(unnest(range(0, {' + '.join(f'CAST(d >= {c} AS INTEGER)' for c in _poisson(0.3))} + 1)) AS INTEGER) AS copy_no FROM (SELECT row_id, status, {sql_draw('row_id', 9)} AS d FROM o)")
+@query("j7_duplicate_rows", f"WITH {_O} SELECT row_id, status, CAST(unnest(range(0, {' + '.join(f'CAST(d >= {c} AS INTEGER)' for c in poisson_cuts(0.3))} + 1)) AS INTEGER) AS copy_no FROM (SELECT row_id, status, {sql_draw('row_id', 9)} AS d FROM o)")
 def _(spark, sf):
     return corrupt.duplicate_rows(orders(spark, sf).select("row_id", "status"), "row_id", 0.3, 9)
 
@@ -207,7 +197,7 @@ def _(spark, sf):
     return synth.fit_copula(source, "row_id").sample(people_ids(spark, sf), "row_id")
 
 
-@query("j13_sequences_and_templates", """SELECT p_partkey AS row_id, 'SOL-PRT' || (p_partkey + 100) AS code, 'K' || chr(CAST(97 + p_partkey // 10000 % 26 AS INTEGER)) || '-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS serial FROM part""")
+@query("j13_sequences_and_templates", """SELECT p_partkey AS row_id, 'ID-PRT' || (p_partkey + 100) AS code, 'K' || chr(CAST(97 + p_partkey // 10000 % 26 AS INTEGER)) || '-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS serial FROM part""")
 def _(spark, sf):
     k = F.col("row_id")
     return read(spark, sf, "part").select(F.col("p_partkey").alias("row_id")).select("row_id", synth.sequence_value("PRT", 100, k).alias("code"), synth.template_value("K?-####", k).alias("serial"))
@@ -303,7 +293,7 @@ def _(spark, sf):
 
 _DCR = f"""b AS (SELECT min(balance) AS lb, max(balance) - min(balance) AS wb, min(nation) AS ln, max(nation) - min(nation) AS wn FROM orig), k AS (SELECT segment, row_number() OVER (ORDER BY segment) - 1 AS c FROM (SELECT DISTINCT segment FROM orig)), kt AS (SELECT max(c) AS top FROM k),
 xo AS (SELECT (balance - lb) / wb AS x, (nation - ln) / wn AS y, c / top AS z FROM orig JOIN k USING (segment), b, kt), xs AS (SELECT row_id, (balance - lb) / wb AS x, (nation - ln) / wn AS y, coalesce(c, -1) / top AS z FROM syn LEFT JOIN k USING (segment), b, kt),
-pick AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {sql_draw('row_id', 3)}, row_id) AS rn FROM xs) WHERE rn <= 500),
+pick AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {sql_draw('row_id', 3)}, row_id) AS rn FROM xs)),
 d AS (SELECT row_id, sqrt(min((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) + (p.z - o.z) * (p.z - o.z))) AS dcr FROM pick p, xo o GROUP BY row_id)"""
 
 

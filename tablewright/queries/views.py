@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import FIRST_PRIME, HIGH_MULTIPLIER, KEY_MULTIPLIER, SECOND_PRIME, draw, pick
+from tablewright.functions.hashing import RANGE, draw, pick
 from tablewright.functions.numbers import ARABIC_DIGITS, WESTERN_DIGITS
 from tablewright.functions.tokens import CLEANER_TOKENS
 from tablewright.queries.registry import read
@@ -13,16 +13,15 @@ from tablewright.queries.registry import read
 
 # ---- SQL twins of the keyed draw -------------------------------------------------------------
 def sql_draw(key: str, seed: int) -> str:
-    return (f"((((({key}) % {FIRST_PRIME}) * {KEY_MULTIPLIER} + (({key}) // {FIRST_PRIME}) * {HIGH_MULTIPLIER} + {seed * 7907}) % {FIRST_PRIME})"
-            f" * {2 * seed + 7919} + {seed}) % {SECOND_PRIME}")
+    return f"CAST('0x' || substr(md5(CAST(CAST({key} AS BIGINT) AS VARCHAR) || ':{seed}'), 1, 15) AS BIGINT)"
 
 
 def sql_chosen(key: str, seed: int, rate: float) -> str:
-    return f"({sql_draw(key, seed)} < {int(round(rate * SECOND_PRIME))})"
+    return f"({sql_draw(key, seed)} < {int(round(rate * RANGE))})"
 
 
 def sql_unit(key: str, seed: int) -> str:
-    return f"(({sql_draw(key, seed)}) / {float(SECOND_PRIME)})"
+    return f"(({sql_draw(key, seed)}) / {float(RANGE)})"
 
 
 def sql_list(values: list) -> str:
@@ -67,7 +66,7 @@ def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
     def under(column: str, rate: float) -> Column:
-        return F.col(column) < int(round(rate * SECOND_PRIME))
+        return F.col(column) < int(round(rate * RANGE))
 
     priority = F.when(under("gap", 0.05), F.col("token_b")).when(under("gap", 0.10), None).otherwise(F.col("priority"))
     price = F.when(under("lost", 0.08), None).when(under("far", 0.02), total * 10).otherwise(total)
@@ -108,7 +107,7 @@ def cleaned_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The dirty orders after a fixed repair: gaps filled, tokens replaced, some rows gone, one column gone."""
     df = dirty_orders(spark, folder)
     priority = F.when(F.col("priority").isin(CLEANER_TOKENS), None).otherwise(F.col("priority"))
-    return df.where(draw(F.col("row_id"), 9) >= int(round(0.02 * SECOND_PRIME))).select(
+    return df.where(draw(F.col("row_id"), 9) >= int(round(0.02 * RANGE))).select(
         "row_id", F.coalesce("price", F.lit(150000.0)).alias("price"), F.coalesce(priority, F.lit("3-MEDIUM")).alias("priority"), "status", "date_text",
         "order_date", F.col("cust_id").cast("string").alias("cust_id"), F.lit(1).alias("checked"),
     )
@@ -134,7 +133,7 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(modulo(k, 12, 6) == 0, F.concat(F.lit("+1-555-"), number)).when(modulo(k, 12, 6) == 1, F.concat(F.lit("(010) "), number, F.lit("-77")))
         .when(modulo(k, 12, 6) == 2, F.lit("12")).otherwise(F.concat(F.lit("2010"), number))
     )
-    segment = F.when(draw(k, 13) < int(round(0.06 * SECOND_PRIME)), None).otherwise(F.col("c_mktsegment"))
+    segment = F.when(draw(k, 13) < int(round(0.06 * RANGE)), None).otherwise(F.col("c_mktsegment"))
     return read(spark, folder, "customer").select(
         k.alias("row_id"), k.alias("id"), email.alias("email"), phone.alias("phone"), segment.alias("segment"), F.col("c_acctbal").alias("balance"),
         F.col("c_nationkey").alias("nation"), (modulo(k, 14, 140) - 10).cast("double").alias("customer_age"),

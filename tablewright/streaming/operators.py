@@ -11,10 +11,9 @@ from pyspark.sql.window import Window
 
 from tablewright.operators.profile import quality_score
 
-# The rate limit and the cache lifetime.
+# The rate limit.
 RATE_LIMIT = 30
 RATE_SECONDS = 60
-CACHE_LIFETIME = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -111,9 +110,9 @@ def rate_upper_bound(events: DataFrame, limit: int = RATE_LIMIT, seconds: int =
     return counted.select("user_id", "event_id", "earlier", (F.col("earlier") >= limit).alias("over_limit"))
 
 
-def cache_misses(queries: DataFrame, key: list[str], when: str, lifetime: str = CACHE_LIFETIME) -> DataFrame:
-    """First query per key within the lifetime; repeats are served by the cache and dropped here."""
-    return queries.withWatermark(when, lifetime).dropDuplicatesWithinWatermark(key)
+def cache_misses(queries: DataFrame, key: list[str]) -> DataFrame:
+    """The queries that the cache can not serve: the misses of cache_gate, by key and event id."""
+    return cache_gate(queries, key).where("miss").drop("miss")
 
 
 def daily_activity(events: DataFrame, when: str, lateness: str = "1 day") -> DataFrame:

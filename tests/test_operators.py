@@ -251,7 +251,7 @@ def people(spark, n=1200):
 
 def test_corrupt_clean_score_loop(spark):
     """Recovery at least as good as the published floors."""
-    truth, corrupted, injected = people(spark)
+    truth, corrupted, injected = people(spark, 6000)  # floors are shares: enough rows that chance moves them little
     plan = cleaning.CleaningPlan({"age": "smart_impute", "salary": "remove_outliers", "join_date": "standardize_date", "city": "fuzzy_fix"}, model_fill=False)
     cleaned = cleaning.execute(corrupted, "row_id", plan).table
     scores = audit.recovery_metrics(truth, corrupted, cleaned, "row_id", arabic=["arabic_feedback"]).first()
@@ -260,3 +260,11 @@ def test_corrupt_clean_score_loop(spark):
     kinds = {r["group"]: r["recovered_pct"] for r in audit.recovery_by_kind(truth, cleaned, injected, "row_id", groups, arabic=["arabic_feedback"]).collect()}
     assert kinds["currency"] >= 95 and kinds["arabic"] == 100
     assert kinds["dates"] >= 50
+
+
+def test_draws_do_not_repeat_and_seeds_are_independent(spark):
+    from tablewright.functions.hashing import unit
+
+    drawn = spark.range(1_100_000).select("id", *[unit(F.col("id"), s).alias(f"u{s}") for s in (1, 2)])
+    row = drawn.agg(F.count_distinct("u1", "u2").alias("n"), F.corr("u1", "u2").alias("r"), F.corr("id", "u1").alias("k"), F.avg("u1").alias("m")).first()
+    assert row["n"] == 1_100_000 and abs(row["r"]) < 0.005 and abs(row["k"]) < 0.005 and abs(row["m"] - 0.5) < 0.002
