@@ -57,6 +57,14 @@ def long_cells(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return melt(df, [(c, {"value": cell_text(df, c)}) for c in columns], keep)
 
 
+def cell_shares(df: DataFrame, columns: list[str], test) -> dict[str, float]:
+    """Of every column, the share of all its filled cells that pass a test; one aggregate over the whole table."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.avg(F.when(F.col(c).isNotNull(), test(F.col(c)).cast("int"))).alias(c) for c in columns]).first()
+    return {c: row[c] or 0.0 for c in columns}
+
+
 def with_few(df: DataFrame, limit: int) -> DataFrame:
     """Sent to all tasks if it has at most `limit` rows, else left to a shuffle. Counts, so give it a written or small frame."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -14,10 +14,10 @@ from pyspark.sql.window import Window
 
 from tablewright.functions.dates import standardize_date
 from tablewright.functions.hashing import unit
-from tablewright.operators.frames import TEMPORAL, field, is_integer, numeric_columns, string_columns
+from tablewright.operators.frames import TEMPORAL, cell_shares, field, is_integer, numeric_columns, string_columns
 from tablewright.operators.neighbours import BLOCK_ROWS, block_search
 from tablewright.operators.ordered import BUCKET, global_position, nearest_known, with_buckets
-from tablewright.operators.profile import column_counts, first_values
+from tablewright.operators.profile import column_counts
 from tablewright.operators.quantiles import exact_quantiles, modes, most_frequent
 from tablewright.session import checkpointed
 
@@ -161,33 +161,29 @@ def is_monotone(df: DataFrame, order_col: str, column: str) -> tuple[bool, bool]
 
 
 def is_time_series(df: DataFrame, row_id: str) -> bool:
-    """A monotone timestamp column, or a date-named text column whose first 50 values parse and run one way."""
+    """A monotone timestamp column, or a date-named text column of which over 70 % parse and run one way."""
     for f in df.schema:
         if isinstance(f.dataType, TEMPORAL) and f.name != row_id and any(is_monotone(df, row_id, f.name)):
             return True
     for f in df.schema:
         if isinstance(f.dataType, T.StringType) and any(k in f.name.lower() for k in DATE_NAME_PARTS):
-            head = first_values(df, row_id, [f.name], 50).select("row_id", standardize_date(F.col("value")).alias("t"))
-            values = [r["t"] for r in head.orderBy("row_id").collect()]  # at most 50 rows
-            good = [v for v in values if v is not None]
-            if values and len(good) / len(values) > 0.7 and (good == sorted(good) or good == sorted(good, reverse=True)):
-                return True
+            if cell_shares(df, [f.name], lambda v: standardize_date(v).isNotNull())[f.name] > 0.7:
+                parsed = df.select(row_id, standardize_date(F.col(f.name)).alias(f.name)).where(F.col(f.name).isNotNull())
+                if any(is_monotone(parsed, row_id, f.name)):
+                    return True
     return False
 
 
 def expand_date_text(df: DataFrame, row_id: str, threshold: float = 0.7) -> DataFrame:
-    """Text columns whose first 50 values mostly parse as dates become timestamps with year, month, day and weekend columns."""
+    """Text columns whose filled cells mostly parse as dates become timestamps with year, month, day and weekend columns."""
     from tablewright.functions.dates import date_parts
 
     texts = string_columns(df, [row_id])
     if not texts:
         return df
-    head = first_values(df, row_id, texts, 50)
-    shares = head.groupBy("column").agg(
-        F.avg(standardize_date(F.col("value")).isNotNull().cast("int")).alias("share"),
-        F.min_by("value", "row_id").rlike(r"[-/: ]|.{7}").alias("shaped"),
-    )
-    for c in [r["column"] for r in shares.where(F.col("shaped") & (F.col("share") > threshold)).collect()]:
+    dates = cell_shares(df, texts, lambda v: standardize_date(v).isNotNull())
+    shaped = cell_shares(df, texts, lambda v: v.rlike(r"[-/: ]|.{7}"))
+    for c in [c for c in texts if dates[c] > threshold and shaped[c] > 0.5]:
         parsed = fill_ordered(df.withColumn(c, standardize_date(F.col(c))), row_id, [c])
         df = parsed.select("*", *date_parts(F.col(c), c))
     return df

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.patterns import EMAIL_LOOSE, PHONE_E164, shape
 from tablewright.functions.tokens import AUDIT_TOKENS, is_dirty
-from tablewright.operators.frames import TEMPORAL, cell_text, field, is_integer, long_cells, melt, numeric_columns, string_columns
+from tablewright.operators.frames import TEMPORAL, cell_shares, cell_text, field, is_integer, long_cells, melt, numeric_columns, string_columns
 from tablewright.operators.quantiles import exact_quantiles
 
 # Keyword lists and thresholds of the typing rules.
@@ -99,11 +99,7 @@ def logical_types(df: DataFrame, row_id: str) -> dict[str, str]:
     """datetime, numerical or categorical per column, plus low-cardinality integers as categorical."""
     columns = [c for c in df.columns if c != row_id]
     texts = string_columns(df, [row_id])
-    dated: set[str] = set()
-    if texts:
-        sample = first_values(df, row_id, texts, 10)
-        shares = sample.groupBy("column").agg(F.avg(F.col("value").rlike(DATE_TEXT).cast("int")).alias("share"))
-        dated = {r["column"] for r in shares.where("share >= 0.8").collect()}  # at most one row per column
+    dated = {c for c, share in cell_shares(df, texts, lambda v: v.rlike(DATE_TEXT)).items() if share >= 0.8}
     integers = [c for c in columns if is_integer(field(df, c))]
     distinct = column_counts(df, integers) if integers else {}
     kinds = {}
@@ -215,7 +211,7 @@ def supervised_profile(df: DataFrame, target: str) -> DataFrame:
     ]
     base = df.sparkSession.createDataFrame([(s, i, float(v)) for s, i, v in facts], "section string, item string, value double")
     if numeric:
-        skew = melt(df.agg(*[F.skewness(c).alias(c) for c in numeric[:20]]), [(c, {"value": F.col(c)}) for c in numeric[:20]])
+        skew = melt(df.agg(*[F.skewness(c).alias(c) for c in numeric]), [(c, {"value": F.col(c)}) for c in numeric])
         base = base.unionByName(skew.select(F.lit("skewness").alias("section"), F.col("column").alias("item"), F.round("value", 4).alias("value")))
     if not regression:
         balance = value_counts(df, [target])
@@ -225,7 +221,7 @@ def supervised_profile(df: DataFrame, target: str) -> DataFrame:
 
 
 def sensitive_types(df: DataFrame, row_id: str) -> DataFrame:
-    """(column, kind): numerical, categorical or sensitive_*; a name column with digits in over 5 % of 100 cells is categorical."""
+    """(column, kind): numerical, categorical or sensitive_*; a name column with digits in over 5 % of its cells is categorical."""
     rules: dict[str, str] = {}
     undecided: list[str] = []
     for f in df.schema:
@@ -251,9 +247,8 @@ def sensitive_types(df: DataFrame, row_id: str) -> DataFrame:
     spark = df.sparkSession
     table = spark.createDataFrame(list(rules.items()), "column string, kind string")
     if undecided:
-        digits = first_values(df, row_id, undecided, 100).groupBy("column").agg(F.avg(F.col("value").rlike(r"\d").cast("int")).alias("share"))
-        names = spark.createDataFrame([(c,) for c in undecided], "column string").join(digits, "column", "left")
-        table = table.unionByName(names.select("column", F.when(F.col("share") > 0.05, "categorical").otherwise("sensitive_name").alias("kind")))
+        digits = cell_shares(df, undecided, lambda v: v.cast("string").rlike(r"\d"))
+        table = table.unionByName(spark.createDataFrame([(c, "categorical" if digits[c] > 0.05 else "sensitive_name") for c in undecided], "column string, kind string"))
     return table
 
 
