@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tablewright.functions.text import normalize_arabic
 from tablewright.operators.profile import key_like
+from tablewright.session import checkpointed
 
 # Query words that are never corrected.
 STOP_WORDS = ["من", "مين", "ما", "كيف", "اين", "هل", "ماذا", "في", "على", "عن", "هو", "هي", "هم", "ان", "او", "لا", "نعم", "مع", "الي", "إلى",
@@ -109,83 +110,86 @@ def similar_pairs(values: DataFrame, column: str, ratio: float, scorer: str = "l
     return pairs.withColumn("score", score).where(F.col("score") >= ratio)
 
 
-def typo_map(df: DataFrame, column: str, threshold: int = 88, scorer: str = "indel", max_values: int = 500) -> DataFrame:
+def silenced(edges: DataFrame) -> DataFrame:
+    """(node): what a visit in order would silence, where every node not yet silenced silences the nodes its edges lead to.
+
+    edges: (first, second) with `first` visited before `second`. Works in rounds: nodes that no open edge leads to
+    act, what they lead to is silenced, and edges of settled nodes close. The lists stay distributed.
+    """
+    open_edges = checkpointed(edges.select("first", "second").distinct())
+    found = None
+    while True:
+        waiting = open_edges.select(F.col("second").alias("first")).distinct()
+        acting = open_edges.select("first").distinct().join(waiting, "first", "left_anti")
+        hit = checkpointed(open_edges.join(acting, "first", "left_semi").select(F.col("second").alias("node")).distinct())
+        found = hit if found is None else found.union(hit)
+        settled = acting.select(F.col("first").alias("node")).union(hit)
+        rest = open_edges.join(settled.select(F.col("node").alias("first")), "first", "left_anti").join(settled.select(F.col("node").alias("second")), "second", "left_anti")
+        open_edges = checkpointed(rest.select("first", "second"))
+        if not open_edges.head(1):
+            return checkpointed(found)
+
+
+def typo_map(df: DataFrame, column: str, threshold: int = 88, scorer: str = "indel", max_values: int | None = None) -> DataFrame:
     """(wrong, right): rarer spellings mapped to the most frequent similar one.
 
-    Values are visited by count (descending) then text; each unmapped value absorbs its similar,
-    not yet mapped values. A column with more than `max_values` spellings is a free-text column and
-    is left alone. The visit is sequential and runs over that bounded value list only.
+    Values are visited by count (descending) then text; each unmapped value absorbs its similar, not
+    yet mapped values. Any number of spellings; a caller who holds columns with more than `max_values`
+    of them for free text can have those left alone.
     """
-    spark = df.sparkSession
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    values = [(r["value"], r["n"]) for r in counts.limit(max_values + 1).collect()]  # bounded by the guard
-    if len(values) > max_values or len(values) < 2:
-        return spark.createDataFrame([], "wrong string, right string")
-    values.sort(key=lambda v: (-v[1], v[0].encode()))
-    ranked = spark.createDataFrame([(v, i) for i, (v, _) in enumerate(values)], "value string, place int").coalesce(1)
+    counts = checkpointed(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")))
+    if max_values is not None and counts.limit(max_values + 1).count() > max_values:
+        return df.sparkSession.createDataFrame([], "wrong string, right string")
     ratio = (threshold - 0.5) / 100.0
-    pairs = similar_pairs(ranked, "value", ratio, scorer).where(F.round(F.col("score") * 100) >= threshold)
-    edges = (
-        pairs.join(ranked.withColumnsRenamed({"value": "a", "place": "pa"}), "a")
-        .join(ranked.withColumnsRenamed({"value": "b", "place": "pb"}), "b")
-        .select(
-            F.least("pa", "pb").alias("first"), F.greatest("pa", "pb").alias("second"),
-            F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("right"),
-            F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("wrong"),
-        )
-    )
-
-    mapped: dict[str, str] = {}
-    for row in sorted(edges.collect(), key=lambda r: (r["first"], r["second"])):  # pairs of at most max_values spellings
-        if row["right"] not in mapped and row["wrong"] not in mapped:
-            mapped[row["wrong"]] = row["right"]
-    return spark.createDataFrame(list(mapped.items()), "wrong string, right string")
+    pairs = similar_pairs(counts, "value", ratio, scorer).where(F.round(F.col("score") * 100) >= threshold)
+    place = F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value"))
+    one, two = counts.select(F.col("value").alias("a"), place.alias("pa")), counts.select(F.col("value").alias("b"), place.alias("pb"))
+    edges = checkpointed(pairs.join(one, "a").join(two, "b").select(F.least("pa", "pb").alias("first"), F.greatest("pa", "pb").alias("second")))
+    mapped = silenced(edges)
+    kept = edges.join(mapped.select(F.col("node").alias("second")), "second", "left_semi").join(mapped.select(F.col("node").alias("first")), "first", "left_anti")
+    return kept.groupBy("second").agg(F.min("first").alias("first")).select(F.col("second.value").alias("wrong"), F.col("first.value").alias("right"))
 
 
 def apply_map(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Replace mapped values; the mapping is at most one row per guarded spelling."""
+    """Replace mapped values; the mapping has at most one row per spelling."""
     renamed = mapping.select(F.col("wrong").alias(column), F.col("right").alias("__right"))
     return df.join(renamed, column, "left").withColumn(column, F.coalesce("__right", column)).select(*df.columns)
 
 
-def merge_typos(df: DataFrame, column: str, threshold: int = 88, scorer: str = "indel", max_values: int = 500) -> DataFrame:
+def merge_typos(df: DataFrame, column: str, threshold: int = 88, scorer: str = "indel", max_values: int | None = None) -> DataFrame:
     return apply_map(df, column, typo_map(df, column, threshold, scorer, max_values))
 
 
-def consolidation_map(df: DataFrame, column: str, cutoff: float = 0.85, max_values: int = 100) -> DataFrame:
+def consolidation_map(df: DataFrame, column: str, cutoff: float = 0.85, max_values: int | None = None) -> DataFrame:
     """(wrong, right): each spelling's five closest values (itself included) collapse to the most frequent of them.
 
-    Skips key-like columns, mean length under five and more than `max_values` spellings.
+    Longer spellings go first, then by text; a spelling that has been mapped collapses nothing, and a later
+    mapping of a spelling replaces an earlier one. Skips key-like columns and mean lengths under five; with
+    `max_values`, also columns of more spellings.
     """
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "wrong string, right string")
+    empty = df.sparkSession.createDataFrame([], "wrong string, right string")
     filled = df.where(F.col(column).isNotNull())
     lengths = filled.agg(F.avg(F.length(column))).first()[0]
     if lengths is None or lengths < 5 or key_like(df, [column]).first()["is_key"]:
         return empty
-    counts = filled.where(F.length(F.trim(column)) > 1).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    values = counts.limit(max_values + 1).collect()  # bounded by the guard
-    if not 2 <= len(values) <= max_values:
+    usable = checkpointed(filled.where(F.length(F.trim(column)) > 1).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")))
+    if max_values is not None and usable.limit(max_values + 1).count() > max_values:
         return empty
-    usable = spark.createDataFrame([(r["value"], r["n"]) for r in values], "value string, n bigint").coalesce(1)
     pairs = similar_pairs(usable, "value", cutoff, "indel").select("a", "b")
     scored = pairs.withColumn("score", block_ratio("a", "b")).unionByName(
         pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).withColumn("score", block_ratio("a", "b"))
     ).where(F.col("score") >= cutoff).unionByName(usable.select(F.col("value").alias("a"), F.col("value").alias("b"), F.lit(1.0).alias("score")))
     top = scored.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), F.desc("b")))).where("r <= 5")
-    rows = top.join(usable.withColumnsRenamed({"value": "b"}), "b").select("a", "b", "r", "n")
-
-    groups: dict[str, list] = {}
-    for row in rows.collect():  # at most 5 rows per guarded spelling
-        groups.setdefault(row["a"], []).append(row)
-    mapped: dict[str, str] = {}
-    for value in sorted(groups, key=lambda v: (-len(v), v)):
-        matches = sorted(groups[value], key=lambda r: (-r["n"], r["r"]))
-        if value in mapped or len(matches) < 2:
-            continue
-        best = matches[0]["b"]
-        mapped.update({r["b"]: best for r in groups[value] if r["b"] != best})
-    return spark.createDataFrame(list(mapped.items()), "wrong string, right string")
+    group = Window.partitionBy("a")  # five rows
+    rows = top.join(usable.withColumnsRenamed({"value": "b"}), "b").withColumns({
+        "size": F.count("*").over(group), "best": F.min(F.struct((-F.col("n")).alias("n"), "r", "b")).over(group)["b"],
+    })
+    turn = lambda v: F.struct((-F.length(v)).alias("length"), F.col(v).alias("value"))
+    rows = checkpointed(rows.where((F.col("size") > 1) & (F.col("b") != F.col("best"))).select(turn("a").alias("first"), turn("b").alias("second"), "best"))
+    quiet = silenced(rows.where(F.col("first") < F.col("second")))
+    acting = rows.join(quiet.select(F.col("node").alias("first")), "first", "left_anti")
+    last = acting.groupBy("second").agg(F.max(F.struct("first", "best")).alias("last"))
+    return last.select(F.col("second.value").alias("wrong"), F.col("last.best").alias("right"))
 
 
 def correct_words(

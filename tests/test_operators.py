@@ -268,3 +268,20 @@ def test_draws_do_not_repeat_and_seeds_are_independent(spark):
     drawn = spark.range(1_100_000).select("id", *[unit(F.col("id"), s).alias(f"u{s}") for s in (1, 2)])
     row = drawn.agg(F.count_distinct("u1", "u2").alias("n"), F.corr("u1", "u2").alias("r"), F.corr("id", "u1").alias("k"), F.avg("u1").alias("m")).first()
     assert row["n"] == 1_100_000 and abs(row["r"]) < 0.005 and abs(row["k"]) < 0.005 and abs(row["m"] - 0.5) < 0.002
+
+
+def test_merging_has_no_limit_on_spellings(spark):
+    draw = random.Random(4)
+    names = ["alexandria", "casablanca", "mansoura city", "port said", "luxor temple"]
+    rows = []
+    for i in range(1500):
+        word = list(names[i % 5])
+        for _ in range(i % 3):
+            word[draw.randrange(len(word))] = draw.choice("abcdexyz")
+        rows.append((i, "".join(word)))
+    table = spark.createDataFrame(rows, "row_id long, city string")
+    assert table.select("city").distinct().count() > 500
+    found = fuzzy.typo_map(table, "city")
+    right, wrong = ({r[0] for r in found.select(c).collect()} for c in ("right", "wrong"))
+    assert not right & wrong and len(wrong) > 100  # what absorbs is never absorbed
+    assert fuzzy.typo_map(table, "city", max_values=500).count() == 0
