@@ -5,9 +5,10 @@ A signature has GROUPS * WIDTH minima of 16 bits. The join splits it into GROUPS
 one place left out: all pairs within that distance share a key. Beyond it a pair at similarity 0.8 still shares a key unless all
 ten chunks have two errors: probability 2e-6.
 
-Equal sets are one node from the start. In a key's list every node is first compared with the smallest one only, which links
-groups of any size by as many pairs as they have members; then nodes of one list that are still in different components are
-compared with each other. So no link between components is lost, and members of one component are not paired.
+Equal sets are one node from the start. In a key's list every node is first compared with a few centres only, which links groups
+of any size by a few pairs a member; then nodes of one list that are still in different components are compared with each other.
+So no link between components is lost, and members of one component are not paired. Sizes (an exact filter) and signatures are
+compared before sets are.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ from tablewright.session import checkpointed, ship_package
 
 GROUPS, WIDTH = 10, 5
 PLACES = GROUPS * WIDTH
-#: Signatures compared before sets are: pairs further apart than this are no candidates. At similarity 0.8 the distance is 10 on
-#: average with deviation 2.8, so this is more than six deviations above.
-FURTHEST = 28
+#: Pairs whose signatures differ in more places, seen by four bits of each, are no candidates. At similarity 0.8 that many places
+#: differ with probability 6e-7, above it still less often.
+FURTHEST = 24
+#: Centres of a key's list: the smallest node of each of that many parts.
+CENTRES = 8
+#: Ids up to this number are sent to all tasks instead of shuffling the texts: 16 MB.
+SENT_IDS = 1_000_000
 INSIDE = inside_table(WHITE)
 VALUES = byte_values(6, lower=True)
 SLICE_BYTES = 2 << 20
@@ -112,20 +117,20 @@ def _indexed(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(index, f"key bigint, node {kind}")
 
 
-def _near(a: str, b: str) -> F.Column:
-    """Whether two signatures differ in few enough places, by four bits of each."""
+def _near(a: str, b: str, percent: int) -> F.Column:
+    """Whether sizes allow the similarity, and signatures differ in few enough places, by four bits of each."""
     total = F.lit(0)
     for k in range(4):
         x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         total = total + F.bit_count(any_bit.bitwiseAND(F.lit(NIBBLES)))
-    return total <= FURTHEST
+    sizes = [F.col(f"{x}.n_shingles") for x in (a, b)]
+    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (total <= FURTHEST)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar."""
+def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """The whole sets of the documents in nodes, written."""
     kind = docs.schema[id_col].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +139,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
                 sets = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "body"])
 
-    held = docs.select(F.col(id_col).alias("node"), text_col).join(wanted, "node", "left_semi")
-    sets = checkpointed(held.mapInArrow(gather, f"node {kind}, body binary"))
+    wanted = F.broadcast(nodes) if nodes.count() <= SENT_IDS else nodes
+    return checkpointed(docs.select(F.col(id_col).alias("node"), text_col).join(wanted, "node", "left_semi").mapInArrow(gather, f"node {kind}, body binary"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar."""
+    kind = sets.schema["node"].dataType.simpleString()
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +196,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     kind = docs.schema[id_col].dataType.simpleString()
     described = checkpointed(_described(docs, id_col, text_col, size))
     linked = described.where("id is not null and n_shingles > 0")
-    nodes = linked.groupBy("sum_a", "sum_b", "signature", "s0", "s1", "s2", "s3").agg(F.min("id").alias("node"))
+    nodes = linked.groupBy("sum_a", "sum_b", "n_shingles", "signature", "s0", "s1", "s2", "s3").agg(F.min("id").alias("node"))
     nodes = checkpointed(nodes)
     # ids with several texts join all their classes
     same = linked.groupBy("id").agg(F.min("sum_a").alias("lo"), F.max("sum_a").alias("hi")).where("lo <> hi").select("id")
@@ -194,23 +204,25 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     several = held.select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
 
     index = _indexed(nodes, kind)
-    lists = index.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").drop("hi")
-    shared = checkpointed(index.join(lists, "key").select("key", "node", "lo"))
-    short = nodes.select("node", "s0", "s1", "s2", "s3")
-    pairs = shared.where("lo <> node").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    lists = index.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    short = nodes.select("node", "n_shingles", "s0", "s1", "s2", "s3")
+    shared = checkpointed(index.join(lists, "key", "left_semi").join(short, "node"))
+    sets = _sets(shared.select("node").distinct(), docs, id_col, text_col, size)
+    centres = shared.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("part")).agg(F.min("node").alias("a")).select("key", "a")
+    pairs = shared.select("key", F.col("node").alias("b")).join(centres, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first, second = short.withColumnRenamed("node", "a").alias("x"), short.withColumnRenamed("node", "b").alias("y")
-    pairs = checkpointed(pairs.join(first, "a").join(second, "b").where(_near("x", "y")).select("a", "b").distinct())
-    edges = checkpointed(_confirmed(pairs, docs, id_col, text_col, size, percent).union(several))
+    pairs = checkpointed(pairs.join(first, "a").join(second, "b").where(_near("x", "y", percent)).select("a", "b").distinct())
+    edges = checkpointed(_confirmed(pairs, sets, percent).union(several))
     one = components(edges)
 
     # lists whose nodes are not all linked yet
-    labelled = shared.select("key", "node").join(one, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = shared.join(one, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_lists = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = checkpointed(labelled.join(open_lists, "key", "left_semi").join(short, "node"))
+    left = labelled.join(open_lists, "key", "left_semi")
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near("x", "y"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = checkpointed(_confirmed(checkpointed(rest), docs, id_col, text_col, size, percent))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near("x", "y", percent))
+    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = checkpointed(_confirmed(checkpointed(rest), sets, percent))
     bridges = more.join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     two = components(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
 
