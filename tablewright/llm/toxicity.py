@@ -22,7 +22,7 @@ VALUES = byte_values(8, lower=True)
 BITS = 18
 #: Bytes of the beginnings of words that are inputs beside the whole words.
 BEGINNINGS = (3, 4, 5)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 STEPS = 60
 
 
@@ -129,7 +129,7 @@ def fit_chain(row: np.ndarray, bucket: np.ndarray, targets: np.ndarray, fold: np
     return models
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 20_000, folds: int = 3, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> list[np.ndarray]:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 8_000, folds: int = 3, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> list[np.ndarray]:
     """Fit the chain on at most sample_rows labelled rows, those whose ids come first by hash. categories: name and condition on labels."""
     ship_package(docs.sparkSession)
     wanted = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *[c.cast("double").alias(f"__c{k}") for k, c in enumerate(categories.values())])
@@ -143,13 +143,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
         row, bucket, fold, targets, n = [], [], [], [], 0
         for batch in batches:
             data, offsets = texts(batch.column(0))
-            r, b, _ = inputs(data, offsets)
-            row.append(r + n)
-            bucket.append(b)
+            for lo, hi in parts(offsets, SLICE_BYTES):
+                r, b, _ = inputs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                row.append((r + n + lo).astype(np.int32))
+                bucket.append(b.astype(np.int32))
             fold.append(batch.column(1).to_numpy(zero_copy_only=False))
             targets.append(np.column_stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(columns))]).astype(float))
             n += batch.num_rows
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         models = fit_chain(np.concatenate([none, *row]), np.concatenate([none, *bucket]), np.concatenate([np.zeros((0, len(columns))), *targets]), np.concatenate([none, *fold]), folds, least_rows)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int64()), pa.array([m.tobytes() for m in models], pa.binary())], names=["place", "weights"])
 
