@@ -1,29 +1,32 @@
 """Line dedup: an exact set-similarity join over the distinct words of lines, with columns and joins only.
 
-Equal lines become one row first, kept in a table bucketed by line number (a hash of the line), so that later joins on it move no
-text. A line's words are ordered from rare to frequent. Two lines with Jaccard similarity of at least t share a word among the
-first n - ceil(t n) + 1 of each (prefix filter), have sizes within a factor t (length filter), and the first shared word leaves
-enough words behind it in both (positional filter). Prefix words also carry a parity bitmap of the whole set: its distance is at
-most the number of words that only one set has, another exact filter. What passes all filters is verified on whole sets.
+Equal lines are one line, that of their first place. A line's words are ordered from rare to frequent. Two lines with Jaccard
+similarity of at least t share a word among the first n - ceil(t n) + 1 of each (prefix filter), have sizes within a factor t
+(length filter), and the first shared word leaves enough words behind it in both (positional filter). Prefix words also carry a
+parity bitmap of the whole set: its distance is at most the number of words that only one set has, another exact filter. What
+passes all filters is verified on whole sets.
 
 Groups of many similar lines would meet in all their pairs. So lines are first compared with the earliest line that has the same
-smallest word hashes, by a few such keys; lines removed by this need no more partners and only serve as earlier lines for others.
+smallest, or the same largest, word hashes; lines removed by this need no more partners and only serve as earlier lines for others.
+
+Texts are not shuffled while the lists of repeated lines and of lines to verify are of a checked size; beyond it they are.
 """
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.quality import GAPS, WHITE
-from tablewright.session import checkpointed, partitions_hint, shared_folder
+from tablewright.operators.frames import settle, with_few
+from tablewright.session import checkpointed
 
 #: Word frequencies are counted in this many hash buckets, so that the table of ranks has the same size for any corpus.
 RANKS = 1 << 16
-#: Keys of the first comparison: that many smallest words, by that many hashes.
-SMALLEST, HASHES = 3, 4
+#: Words that make a key of the first comparison.
+SMALLEST = 3
+#: Lists of line numbers of up to so many rows are sent to all tasks: 40 MB.
+SENT_LINES = 1_000_000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,56 +54,51 @@ def _ranks(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(place[b] if b in place else next(unused)) for b in range(RANKS))), ",").cast("array<bigint>")
 
 
-def _verified(pairs: DataFrame, table: str, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (x, y) of line numbers, the later line (a, b) of each whose word sets are similar."""
-    lines = pairs.sparkSession.table(table)
-    one = lines.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("first").alias("xf"), F.col("line").alias("xl"))
-    two = lines.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("first").alias("yf"), F.col("line").alias("yl"))
-    rows = pairs.join(one, "x").select("x", "xb", "xf", "y", _hashed(F.col("xl")).alias("xs")).join(two, "y")
-    rows = rows.withColumn("ys", _hashed(F.col("yl"))).withColumn("both", F.size(F.array_intersect("xs", "ys")))
+    pairs = checkpointed(pairs)
+    wanted = checkpointed(pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct())
+    found = checkpointed(lines.join(with_few(wanted, SENT_LINES), "a", "left_semi"))
+    one = found.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("first").alias("xf"), F.col("line").alias("xl"))
+    two = found.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("first").alias("yf"), F.col("line").alias("yl"))
+    rows = pairs.join(one, "x").join(two, "y")
+    rows = settle(rows.withColumns({"xs": _hashed(F.col("xl")), "ys": _hashed(F.col("yl"))}).drop("xl", "yl"), ["xs", "ys"])
+    rows = settle(rows.withColumn("both", F.size(F.array_intersect("xs", "ys"))), ["both"])
     rows = rows.where(100 * F.col("both") >= percent * (F.size("xs") + F.size("ys") - F.col("both")))
     later = F.when(F.col("xf") > F.col("yf"), F.struct(F.col("x").alias("a"), F.col("xb").alias("b"))).otherwise(F.struct(F.col("y").alias("a"), F.col("yb").alias("b")))
     return rows.select(later.alias("later")).select("later.*").distinct()
 
 
-def _distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> str:
-    """Write the distinct lines with their first place; returns the table's name."""
-    table = f"lines_{uuid4().hex}"
-    lines = _lines(docs, id_col, text_col).groupBy("a", "b").agg(F.min(F.struct("id", "line_no")).alias("first"), F.any_value("line").alias("line"))
-    lines.repartition(partitions_hint(docs.sparkSession), "a").write.bucketBy(partitions_hint(docs.sparkSession), "a").options(compression="zstd", path=f"{shared_folder(docs.sparkSession)}/tables/{table}").saveAsTable(table)
-    return table
-
-
-def _similar(table: str, spark, percent: int) -> DataFrame:
-    """Lines (a, b) that are similar to an earlier line."""
-    lines = spark.table(table)
-    keyed = lines.select("a", "first", _hashed(F.col("line")).alias("hashes"))
-    smallest = [F.xxhash64(F.lit(k), F.slice(F.sort_array(F.transform("hashes", lambda h, k=k: F.xxhash64(F.lit(k), h))), 1, SMALLEST)) for k in range(HASHES)]
-    near = keyed.select("a", "first", F.explode(F.array(*smallest)).alias("key"))
-    heads = near.groupBy("key").agg(F.min(F.struct("first", "a")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = near.join(heads, "key").select(F.col("head.a").alias("x"), F.col("a").alias("y")).where("x <> y").distinct()
-    done = checkpointed(_verified(pairs, table, percent))
+def _similar(lines: DataFrame, percent: int) -> DataFrame:
+    """Lines (a, b) that are similar to an earlier line; lines: distinct ones with their first place."""
+    keyed = settle(lines.select("a", "first", F.sort_array(_hashed(F.col("line"))).alias("hashes")), ["hashes"])
+    ends = [F.slice("hashes", 1, SMALLEST), F.slice("hashes", F.greatest(F.size("hashes") - (SMALLEST - 1), F.lit(1)), SMALLEST)]
+    near = keyed.select("a", "first", F.explode(F.array(*[F.xxhash64(F.lit(k), e) for k, e in enumerate(ends)])).alias("key"))
+    heads = near.groupBy("key").agg(F.min(F.struct("first", "a")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", F.col("head.a").alias("x"))
+    pairs = near.select("key", F.col("a").alias("y")).join(heads, "key").where("x <> y").select("x", "y").distinct()
+    done = checkpointed(_verified(pairs, lines, percent))
 
     ranks = _ranks(lines)
-    rows = lines.join(done.withColumn("done", F.lit(1)), ["a", "b"], "left").select("a", F.coalesce("done", F.lit(0)).alias("done"), _ordered(_hashed(F.col("line")), ranks).alias("words"))
+    rows = settle(lines.select("a", "b", _ordered(_hashed(F.col("line")), ranks).alias("words")), ["words"])
     bitmap = F.aggregate("words", F.lit(0).cast("bigint"), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63).cast("int"))))
     n = F.size("words")
-    rows = rows.select("a", "done", n.alias("n"), bitmap.alias("bitmap"), F.posexplode(F.slice("words", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("pos", "word"))
-    sent = rows.select("word", "a", "bitmap", (F.col("n") * 2 + F.col("done")).alias("n2"), "pos")
+    rows = rows.select("a", "b", n.alias("n"), bitmap.alias("bitmap"), F.slice("words", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1).alias("prefix"))
+    rows = settle(rows, ["bitmap", "prefix"]).join(with_few(done, SENT_LINES).withColumn("done", F.lit(1)), ["a", "b"], "left")
+    sent = rows.select("a", "bitmap", (F.col("n") * 2 + F.coalesce("done", F.lit(0))).alias("n2"), F.posexplode("prefix").alias("pos", "word"))
     x, y = sent.alias("x"), sent.alias("y")
     nx, ny = F.floor(F.col("x.n2") / 2), F.floor(F.col("y.n2") / 2)
     needed = F.ceil(percent * (nx + ny) / (100 + percent))
+    # every condition names both sides, so that both sides are one shuffle
     wanted = (
         (F.col("x.word") == F.col("y.word"))
-        & (F.col("x.n2") % 2 == 0)
-        & ((F.col("y.n2") % 2 == 1) | (F.col("x.a") < F.col("y.a")))
+        & (F.col("x.n2") % 2 < F.when((F.col("y.n2") % 2 == 1) | (F.col("x.a") < F.col("y.a")), 1).otherwise(0))
         & (F.col("x.a") != F.col("y.a"))
         & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
         & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= needed)
         & (F.bit_count(F.col("x.bitmap").bitwiseXOR(F.col("y.bitmap"))) <= nx + ny - 2 * needed)
     )
     pairs = x.join(y, wanted).select(F.col("x.a").alias("x"), F.col("y.a").alias("y")).distinct()
-    return done.union(_verified(pairs, table, percent)).distinct()
+    return done.union(_verified(pairs, lines, percent)).distinct()
 
 
 def judge_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,10 +111,14 @@ def judge_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     NULL and empty texts and lines without words give no rows. NULL ids come first in the order. Rows that repeat an id are parts
     of one document: equal lines at equal places are one place. An empty table gives no rows; other columns are not read.
     """
-    table = _distinct_lines(docs, id_col, text_col)
-    verdicts = docs.sparkSession.table(table).select("a", "b", "first").join(_similar(table, docs.sparkSession, percent).withColumn("similar", F.lit(True)), ["a", "b"], "left")
-    places = _lines(docs, id_col, text_col).select("id", "line_no", "a", "b")
-    rows = places.join(verdicts, ["a", "b"])
+    lines = _lines(docs, id_col, text_col)
+    firsts = checkpointed(lines.groupBy("a", "b").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n")))
+    repeated = firsts.where("n > 1").select("a", "b", "first")
+    place = F.struct("id", "line_no")
+    distinct = lines.join(with_few(repeated, SENT_LINES), ["a", "b"], "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(place))
+    distinct = distinct.select("a", "b", F.coalesce("first", place).alias("first"), "line")
+    similar = _similar(distinct, percent).withColumn("similar", F.lit(True))
+    rows = lines.select("id", "line_no", "a", "b").join(firsts.select("a", "b", "first"), ["a", "b"]).join(similar, ["a", "b"], "left")
     again = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.line_no") == F.col("line_no")))
     return rows.select(F.col("id").alias(id_col), "line_no", "a", "b", (F.coalesce("similar", F.lit(False)) | again).alias("removed"))
 
