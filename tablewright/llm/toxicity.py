@@ -2,7 +2,8 @@
 
 Categories are predicted in order. Each later model gets the earlier categories' probabilities as extra inputs; while it is
 trained, these come from models that have not seen the row (out-of-fold), so that it does not trust them more than it should.
-Training reads a bounded sample of labelled rows (a parameter) in one task; weights are two numbers a bucket and category.
+Every partition describes its labelled texts by buckets; training reads a bounded number of them (a parameter) in one task. Weights
+are two numbers a bucket and category.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BITS = 18
 #: Bytes of the beginnings of words that are inputs beside the whole words.
 BEGINNINGS = (3, 4, 5)
 SLICE_BYTES = 2 << 20
+#: Pairs of row and bucket that are summed at a time in training.
+PIECE_PAIRS = 1 << 19
 STEPS = 60
 
 
@@ -43,23 +46,38 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, extra: np.ndarray, target: np.ndarray, use: np.ndarray, penalty: float = 2e-4) -> np.ndarray:
-    """Weights of a penalised logistic model: buckets, then the extra inputs, then the constant; only rows in `use` count."""
+def fit(pieces: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, target: np.ndarray, use: np.ndarray, penalty: float = 2e-4) -> np.ndarray:
+    """Weights of a penalised logistic model: buckets, then the extra inputs, then the constant; only rows in `use` count.
+
+    pieces: (row, bucket) pairs, those of a row in one piece. One piece at a time is widened for sums, so that all of them fit in memory.
+    """
     n = max(int(use.sum()), 1)
-    keep = use[row]
-    row, names = row[keep], bucket[keep]
     # buckets that go with the target more than by chance: two deviations of their log odds
-    hits, all_rows = np.bincount(names, target[row], 1 << BITS) + 0.5, np.bincount(names, minlength=1 << BITS) + 1.0
+    hits, all_rows = np.full(1 << BITS, 0.5), np.full(1 << BITS, 1.0)
+    for row, bucket in pieces:
+        names = bucket[use[row]]
+        hits += np.bincount(names, target[row[use[row]]], 1 << BITS)
+        all_rows += np.bincount(names, minlength=1 << BITS)
     positive = target[use].sum() + 0.5
     odds = np.log(hits * (n + 1 - positive) / ((all_rows - hits) * positive))
-    telling = (np.abs(odds) >= 2 * np.sqrt(1 / hits + 1 / (all_rows - hits)))[names]
-    row, names = row[telling], names[telling]
-    known, at = np.unique(names, return_inverse=True)
+    telling = (all_rows > 1) & (np.abs(odds) >= 2 * np.sqrt(1 / hits + 1 / (all_rows - hits)))
+    known = np.flatnonzero(telling)
+    place = np.zeros(1 << BITS, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    kept = []
+    for row, bucket in pieces:
+        keep = use[row] & telling[bucket]
+        kept.append((row[keep], place[bucket[keep]]))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, w[at], len(target)) + extra @ w[len(known) : -1] + w[-1]
+        z = extra @ w[len(known) : -1] + w[-1]
+        for row, at in kept:
+            z += np.bincount(row, w[at], len(target))
         error = np.where(use, _sigmoid(z) - target, 0.0)
-        grad = np.concatenate([np.bincount(at, error[row], len(known)), error @ extra, [error.sum()]]) / n
+        grad = np.concatenate([np.zeros(len(known)), error @ extra, [error.sum()]])
+        for row, at in kept:
+            grad[: len(known)] += np.bincount(at, error[row], len(known))
+        grad /= n
         grad[:-1] += penalty * w[:-1]
         return np.where(use, np.logaddexp(0, z) - target * z, 0.0).sum() / n + penalty / 2 * (w[:-1] @ w[:-1]), grad
 
@@ -106,52 +124,88 @@ def _minimum(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarr
     return w
 
 
-def probability(w: np.ndarray, row: np.ndarray, bucket: np.ndarray, extra: np.ndarray, n: int) -> np.ndarray:
-    return _sigmoid(np.bincount(row, w[bucket], n) + extra @ w[1 << BITS : -1] + w[-1])
+def probability(w: np.ndarray, pieces: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, n: int) -> np.ndarray:
+    z = extra @ w[1 << BITS : -1] + w[-1]
+    for row, bucket in pieces:
+        z += np.bincount(row, w[bucket], n)
+    return _sigmoid(z)
 
 
-def fit_chain(row: np.ndarray, bucket: np.ndarray, targets: np.ndarray, fold: np.ndarray, folds: int, least_rows: int) -> list[np.ndarray]:
-    """One model a category (columns of targets, NaN where unknown), in order."""
-    rows_with = np.bincount(bucket, minlength=1 << BITS)
-    keep = rows_with[bucket] >= least_rows
-    row, bucket = row[keep], bucket[keep]
+def fit_chain(pieces: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, fold: np.ndarray, folds: int, least_rows: int) -> list[np.ndarray]:
+    """One model a category (columns of targets, NaN where unknown), in order. Buckets of fewer than least_rows rows are left out of pieces, in place."""
+    rows_with = np.zeros(1 << BITS, np.int64)
+    for _, bucket in pieces:
+        rows_with += np.bincount(bucket, minlength=1 << BITS)
+    for k, (row, bucket) in enumerate(pieces):
+        keep = rows_with[bucket] >= least_rows
+        pieces[k] = row[keep], bucket[keep]
     models, extra = [], np.zeros((len(targets), 0))
     for k in range(targets.shape[1]):
         known = ~np.isnan(targets[:, k])
         target = np.where(known, targets[:, k], 0.0)
-        models.append(fit(row, bucket, extra, target, known))
+        models.append(fit(pieces, extra, target, known))
         if k + 1 < targets.shape[1]:
             unseen = np.zeros(len(targets))
             for f in range(folds):
-                w = fit(row, bucket, extra, target, known & (fold != f))
-                unseen = np.where(fold == f, probability(w, row, bucket, extra, len(targets)), unseen)
+                w = fit(pieces, extra, target, known & (fold != f))
+                unseen = np.where(fold == f, probability(w, pieces, extra, len(targets)), unseen)
             extra = np.column_stack([extra, unseen])
     return models
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 8_000, folds: int = 3, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> list[np.ndarray]:
-    """Fit the chain on at most sample_rows labelled rows, those whose ids come first by hash. categories: name and condition on labels."""
-    ship_package(docs.sparkSession)
-    wanted = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *[c.cast("double").alias(f"__c{k}") for k, c in enumerate(categories.values())])
-    chosen = wanted.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int, folds: int, id_col: str, text_col: str) -> DataFrame:
+    """One row for each of at most sample_rows labelled ids that docs hold a text of, those that come first by hash: the id, its
+    fold, a column __c<k> for each category, and the buckets of its text as int32 values.
+
+    An id with several texts has the one with the smallest hash; an id with several labels has the highest known value of each category.
+    """
     columns = [f"__c{k}" for k in range(len(categories))]
+    given = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
+    held = given.groupBy("__id").agg(F.min(F.xxhash64("__text")).alias("__hash"))
+    wanted = labels.select(F.col(id_col).alias("__id"), *[c.cast("double").alias(n) for n, c in zip(columns, categories.values(), strict=True)])
+    wanted = wanted.where(F.col("__id").isNotNull() & F.coalesce(*columns).isNotNull()).groupBy("__id").agg(*[F.max(n).alias(n) for n in columns])
+    chosen = held.join(wanted, "__id").orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    chosen = checkpointed(chosen.withColumn("__fold", F.pmod(F.xxhash64("__id"), F.lit(folds)).cast("int")))
     # broadcast: sample_rows rows of a few numbers
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", F.pmod(F.xxhash64("__id"), F.lit(folds)).cast("int").alias("__fold"), *columns)
-    sample = checkpointed(rows.sortWithinPartitions(F.xxhash64("__text")))
+    rows = given.withColumn("__hash", F.xxhash64("__text")).join(F.broadcast(chosen), ["__id", "__hash"]).select("__id", "__text", "__fold", *columns)
 
-    def fit_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, bucket, fold, targets, n = [], [], [], [], 0
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # sample_rows ids at most
         for batch in batches:
-            data, offsets = texts(batch.column(0))
+            new = []
+            for k, i in enumerate(batch.column(0).to_pylist()):
+                if i not in seen:
+                    seen.add(i)
+                    new.append(k)
+            batch = batch.take(pa.array(new, pa.int64()))
+            data, offsets = texts(batch.column(1))
             for lo, hi in parts(offsets, SLICE_BYTES):
-                r, b, _ = inputs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                row.append((r + n + lo).astype(np.int32))
-                bucket.append(b.astype(np.int32))
-            fold.append(batch.column(1).to_numpy(zero_copy_only=False))
-            targets.append(np.column_stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(columns))]).astype(float))
+                row, bucket, _ = inputs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                bounds, bucket = np.searchsorted(row, np.arange(hi - lo + 1)), bucket.astype(np.int32)
+                body = pa.array([bucket[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, *range(2, batch.num_columns))), body], names=["__id", "__fold", *columns, "__buckets"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = rows.mapInArrow(describe, f"__id {kind}, __fold int, " + "".join(f"{n} double, " for n in columns) + "__buckets binary")
+    return checkpointed(made.dropDuplicates(["__id"]).sortWithinPartitions(F.xxhash64("__id"), "__id"))
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 20_000, folds: int = 3, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> list[np.ndarray]:
+    """Fit the chain on at most sample_rows labelled documents (see training_rows). categories: name and condition on labels."""
+    ship_package(docs.sparkSession)
+    sample, count = training_rows(docs, labels, categories, sample_rows, folds, id_col, text_col).drop("__id"), len(categories)
+
+    def fit_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, fold, targets, n = [], [np.zeros(0, np.int32)], [np.zeros((0, count))], 0
+        for batch in batches:
+            bodies = [np.frombuffer(v.as_buffer(), np.int32) for v in batch.column(batch.num_columns - 1)]
+            sizes = np.array([len(v) for v in bodies], np.int64)
+            for lo, hi in parts(np.concatenate([[0], np.cumsum(sizes)]), PIECE_PAIRS):
+                pieces.append((np.repeat(np.arange(n + lo, n + hi, dtype=np.int32), sizes[lo:hi]), np.concatenate(bodies[lo:hi])))
+            fold.append(batch.column(0).to_numpy(zero_copy_only=False))
+            targets.append(np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(count)]).astype(float))
             n += batch.num_rows
-        none = np.zeros(0, np.int32)
-        models = fit_chain(np.concatenate([none, *row]), np.concatenate([none, *bucket]), np.concatenate([np.zeros((0, len(columns))), *targets]), np.concatenate([none, *fold]), folds, least_rows)
+        models = fit_chain(pieces, np.concatenate(targets), np.concatenate(fold), folds, least_rows)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int64()), pa.array([m.tobytes() for m in models], pa.binary())], names=["place", "weights"])
 
     fitted = sample.coalesce(1).mapInArrow(fit_all, "place bigint, weights binary").collect()
@@ -179,7 +233,7 @@ def score_chain(docs: DataFrame, models: list[np.ndarray], names: list[str], lea
                 row, bucket, n_words = inputs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], used)
                 made = np.zeros((hi - lo, 0))
                 for w in models:
-                    made = np.column_stack([made, probability(w, row, bucket, made, hi - lo)])
+                    made = np.column_stack([made, probability(w, [(row, bucket)], made, hi - lo)])
                 arrays = [batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), *(pa.array(made[:, k]) for k in range(len(models)))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array((made[:, -1] >= least) & (n_words > 0))], names=[id_col, "n_words", *names, "toxic"])
 

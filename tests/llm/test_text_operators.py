@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import sys
@@ -13,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from tablewright.llm import contamination as contamination_module  # noqa: E402
-from tablewright.llm import ctw, near, quality  # noqa: E402
+from tablewright.llm import ctw, near, quality, toxicity  # noqa: E402
 from tablewright.llm.contamination import find_contamination  # noqa: E402
 from tablewright.llm.licenses import TEMPLATES, classes, scan_licenses  # noqa: E402
 from tablewright.llm.lines import judge_lines, remove_lines  # noqa: E402
@@ -218,3 +219,25 @@ def test_toxicity_takes_odd_rows(spark, docs, rows):
     assert len(got) == len(rows) and all(0 <= r["p_toxic"] <= 1 and (r["n_words"] > 0 or not r["toxic"]) for r in got)
     assert find_toxic(docs, labels.limit(0)).where("toxic").count() == 0
     assert find_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_sample_is_of_labelled_documents(spark):
+    draw = random.Random(5)
+    rows = [(i, " ".join(["vile"] * (i % 2) + [f"w{draw.randrange(40)}" for _ in range(20)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [(i, 1, i % 2) for i in range(60)]
+    kinds = {"toxic": F.col("toxic") == 1}
+
+    def trained(docs, labels, n=60):
+        return train_chain(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), kinds, sample_rows=n)[0]
+
+    want = trained(docs, known)
+    assert (want[:-1] != 0).any()
+    # labels of absent documents and labels that say nothing take no places
+    assert abs(trained(docs, known + [(1000 + i, 1, 0) for i in range(5000)]) - want).max() < 1e-6
+    assert abs(trained(docs, known + [(None, 1, 1), (3, 1, None)]) - want).max() < 1e-6
+    # repeated documents and labels count once, one text an id
+    assert abs(trained(docs.union(docs).union(docs.where("doc_id < 5")).repartition(4), known + known[:9]) - want).max() < 1e-6
+    more = toxicity.training_rows(docs.union(docs.selectExpr("doc_id", "concat(text, ' more')")), spark.createDataFrame(known, "doc_id long, quality int, toxic int"), kinds, 25, 3, "doc_id", "text")
+    assert more.count() == 25 == more.select("__id").distinct().count()
+    assert inspect.signature(train_chain).parameters["sample_rows"].default == 20_000
