@@ -17,42 +17,59 @@ from tablewright.llm.near import near_components
 from tablewright.llm.packing import pack
 from tablewright.llm.quality import WHITE
 from tablewright.llm.queries import tokenizer
-from tablewright.llm.toxicity import find_toxic
-from tablewright.session import shared_folder
+from tablewright.llm.toxicity import given_categories, score_chain, train_chain
+from tablewright.session import checkpointed, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among the ids; those with a NULL id stay."""
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _whole(docs: DataFrame) -> DataFrame:
+    """Every row as one value beside its text, so that an operator's verdict comes back with the very row it is about."""
+    return docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("__whole"), "text")
+
+
+def _rows(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    return judged.select(*[F.col(f"__whole.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key that is never NULL and orders as doc_id does: rows without an id are a document each, by a number that is written
+    once; rows that share an id are one document only where their texts are equal too."""
+    number = F.xxhash64("text")
+    if docs.where("doc_id is null").head(1):
+        docs = checkpointed(docs.withColumn("__number", F.monotonically_increasing_id()))
+        number = F.when(F.col("doc_id").isNull(), F.col("__number")).otherwise(number)
+    return docs.withColumn("__key", F.struct("doc_id", number.alias("number")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, trained on the labels, does not call toxic go on."""
-    judged = find_toxic(docs, _table(spark, sf_dir, "labels"))
-    return _without(docs, judged.where("toxic").select("doc_id"))
+    """Documents that the classifier chain, trained on the labels, does not call toxic go on. Every row has its own verdict."""
+    categories = given_categories()
+    models = train_chain(docs, _table(spark, sf_dir, "labels"), categories)
+    return _rows(score_chain(_whole(docs), models, list(categories), id_col="__whole").where("not toxic"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines equal or similar to earlier ones leave the texts, n_chars counts what is left. A document that had words and has none
     now stops here: earlier documents hold all of its lines. Texts without words from the start go on."""
     words = F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) != ""
-    left = remove_lines(docs.withColumn("__had_words", words), percent=80).where(words | ~F.col("__had_words"))
+    left = remove_lines(_keyed(docs).withColumn("__had_words", words), percent=80, id_col="__key").where(words | ~F.col("__had_words"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8 the one with the smallest id goes on, and all that are linked to none."""
-    return _without(docs, near_components(docs, size=5, percent=80).where("not kept").select("doc_id"))
+    keyed = _keyed(docs)
+    gone = near_components(keyed, size=5, percent=80, id_col="__key").where("not kept").select("__key").distinct()
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one word in twenty or more inside 13-word windows of benchmark items stop here."""
-    found = find_contamination(docs, _table(spark, sf_dir, "benchmark"), window=13, share=(1, 20))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    """Documents with one word in twenty or more inside 13-word windows of benchmark items stop here. Every row has its own verdict."""
+    found = find_contamination(_whole(docs), _table(spark, sf_dir, "benchmark"), window=13, share=(1, 20), id_col="__whole")
+    return _rows(found.where("not contaminated"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

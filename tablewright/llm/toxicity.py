@@ -243,9 +243,14 @@ def score_chain(docs: DataFrame, models: list[np.ndarray], names: list[str], lea
     return docs.select(id_col, text_col).mapInArrow(judge, schema)
 
 
+def given_categories() -> dict[str, Column]:
+    """Conditions on the given labels, in the order of the chain."""
+    return {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+
+
 def find_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, **options) -> DataFrame:
     """Train on the labelled rows and judge all: see train_chain and score_chain. By default the labels' columns quality and toxic
     make the chain: poor text first, then toxicity. Without labelled rows nothing is toxic."""
-    categories = categories or {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    categories = categories or given_categories()
     models = train_chain(docs, labels, categories, **options)
     return score_chain(docs, models, list(categories))

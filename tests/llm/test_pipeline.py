@@ -7,6 +7,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, "/root/repo")
 import brute  # noqa: E402
 
+from tablewright.llm.toxicity import find_toxic  # noqa: E402
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 FOLDER = "/root/testdata/sf0.001"
 
@@ -68,3 +70,30 @@ def test_packing(steps):
     got = after.collect()
     assert {r["doc_id"] for r in got} == {i for i, _ in pairs(before)}
     assert all(r["length"] == len(r["ids"]) and r["length"] & (r["length"] - 1) == 0 for r in got)
+
+
+def test_verdicts_reach_rows_without_and_with_repeated_ids(spark, tmp_path):
+    """Toxic, contaminated and copied rows under NULL and under an id that other rows have."""
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("text").collect() if r["text"] and len(r["text"].split()) >= 13]
+    bad_id = spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 1").select("doc_id")
+    scores = find_toxic(given, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    bad = given.join(scores.where("toxic").select("doc_id"), "doc_id").join(bad_id, "doc_id").orderBy("doc_id").first()["text"]
+
+    def plain(name, lines=3):
+        return "\n".join(" ".join(f"{name}{line}w{k}" for k in range(12)) for line in range(lines))
+
+    def after(stage, rows, name):
+        table = spark.createDataFrame([(i, t, None, "odd", None) for i, t in rows], given.schema)
+        table.repartition(3).write.parquet(str(tmp_path / name))
+        out = stage(spark, given.union(spark.read.parquet(str(tmp_path / name))) if name == "toxic" else spark.read.parquet(str(tmp_path / name)), FOLDER)
+        return sorted(((r["doc_id"], r["text"]) for r in out.where("source = 'odd'").collect()), key=str)
+
+    clean = [(None, plain("n")), (7_000_001, plain("r"))]
+    assert after(corpus_pipeline.toxicity, [*clean, (None, bad), (7_000_001, bad)], "toxic") == sorted(clean, key=str)
+    assert after(corpus_pipeline.decontamination, [*clean, (None, items[0]), (7_000_001, items[0])], "items") == sorted(clean, key=str)
+    # copies under no id and, of one text beside others, under a repeated one
+    copies = [*clean, (None, plain("n")), (None, plain("r")), (7_000_001, plain("q")), (7_000_002, plain("q"))]
+    once = [(None, plain("n")), (None, plain("r")), (7_000_001, plain("q"))]
+    assert after(corpus_pipeline.near_dedup, copies, "near") == sorted(once, key=str)
+    assert after(corpus_pipeline.line_dedup, copies, "lines") == sorted(once, key=str)
