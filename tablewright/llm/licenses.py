@@ -18,19 +18,61 @@ from pyspark.sql import DataFrame
 from tablewright.llm.arrays import byte_values, inside_table, mix, parts, texts, valid_starts, window_hashes, word_bounds, word_hashes
 from tablewright.session import ship_package
 
-# Widely used license notices, as their publishers word them.
+# Widely used license notices, passages of license texts, and the short wordings and SPDX lines that name a license.
+# The terms of bsd-2-clause are also part of the 3-clause text. A short wording names what tells licenses apart, so it has no room for
+# a changed word; other verbs and phrases around it do not matter.
 TEMPLATES = {
+    "agpl": "GNU Affero General Public License",
+    "agpl-3.0-spdx": "SPDX-License-Identifier: AGPL-3.0",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "apache-2.0-named": "the Apache License, Version 2.0",
+    "apache-2.0-short": "Apache License 2.0",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-2-clause-named": "BSD 2-Clause License",
+    "bsd-2-clause-spdx": "SPDX-License-Identifier: BSD-2-Clause",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-3-clause-named": "BSD 3-Clause License",
+    "bsd-3-clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "bsd-named": "the BSD License",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0-short": "CC BY 4.0",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-named": "Attribution-NonCommercial 4.0 International",
+    "cc-by-nc-4.0-short": "CC BY-NC 4.0",
+    "cc-by-sa-4.0-named": "Attribution-ShareAlike 4.0 International",
+    "cc-by-sa-4.0-short": "CC BY-SA 4.0",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc0-1.0-named": "CC0 1.0 Universal",
+    "epl": "Eclipse Public License",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "epl-2.0-spdx": "SPDX-License-Identifier: EPL-2.0",
+    "gpl": "GNU General Public License",
+    "gpl-2.0": "General Public License, version 2",
+    "gpl-2.0-spdx": "SPDX-License-Identifier: GPL-2.0",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-3.0-spdx": "SPDX-License-Identifier: GPL-3.0",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-named": "the ISC License",
+    "isc-spdx": "SPDX-License-Identifier: ISC",
+    "lgpl": "GNU Lesser General Public License",
+    "lgpl-2.0": "GNU Library General Public License",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "lgpl-2.1-spdx": "SPDX-License-Identifier: LGPL-2.1",
+    "lgpl-3.0-spdx": "SPDX-License-Identifier: LGPL-3.0",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "mit-heading": "MIT License Copyright",
+    "mit-named": "the MIT License",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-spdx": "SPDX-License-Identifier: MPL-2.0",
+    "mpl-named": "Mozilla Public License",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "unlicense-spdx": "SPDX-License-Identifier: Unlicense",
 }
 INSIDE = inside_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 VALUES = byte_values(5, lower=True)
@@ -88,8 +130,9 @@ def scan_licenses(
     """Templates in every whole text.
 
     Words are runs of digits, letters and characters beyond ASCII; A-Z count as a-z. Returns one row for each input row: the id,
-    n_words, licenses (names found, sorted), matches (license, start and length in words of the best window, first of equals,
-    contained: the share of the template's distinct `size`-word shingles in it, at least `containment`).
+    n_words, licenses (names found, sorted), matches (license, start and length in words of every window that holds it, overlapping
+    windows of one license as one, contained: the largest share of the template's distinct `size`-word shingles in one of these windows,
+    at least `containment`), by license, then by start.
 
     NULL and empty texts have no words and no match; repeated rows each have their row; NULL ids are kept; an empty table gives
     no rows; templates of fewer than `size` words are refused. Templates are a caller's short list, not a table. Other columns
@@ -107,10 +150,10 @@ def scan_licenses(
             for lo, hi in parts(offsets, SLICE_BYTES):
                 own = data[offsets[lo] : offsets[hi]]
                 starts, ends, first = word_bounds(own, offsets[lo : hi + 1] - offsets[lo], INSIDE)
-                best = _search(word_hashes(own, starts, ends, VALUES, 5), first, kinds, size, containment)
-                matches = [[{"license": n, "start": s, "length": w, "contained": c} for n, (c, s, w) in sorted(b.items())] for b in best]
+                found = _search(word_hashes(own, starts, ends, VALUES, 5), first, kinds, size, containment)
+                matches = [[{"license": n, "start": a, "length": b - a, "contained": c} for n, spans in sorted(own.items()) for a, b, c in spans] for own in found]
                 kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("contained", pa.float64())]))
-                arrays = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array([sorted(b) for b in best], pa.list_(pa.string())), pa.array(matches, kind)]
+                arrays = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array([sorted(own) for own in found], pa.list_(pa.string())), pa.array(matches, kind)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "licenses", "matches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -118,8 +161,9 @@ def scan_licenses(
     return docs.select(id_col, text_col).mapInArrow(scan, schema)
 
 
-def _search(hashes: np.ndarray, first: np.ndarray, kinds: list[Class], size: int, containment: float) -> list[dict]:
-    best: list[dict] = [{} for _ in first[1:]]
+def _search(hashes: np.ndarray, first: np.ndarray, kinds: list[Class], size: int, containment: float) -> list[dict[str, list[tuple[int, int, float]]]]:
+    """Of every row, by template: (start, end, largest share) of verified windows, overlapping ones merged."""
+    found: list[dict[str, list[tuple[int, int, float]]]] = [{} for _ in first[1:]]
     at = valid_starts(first, size)
     shingles = window_hashes(hashes, size, 5)[at]
     for kind in kinds:
@@ -137,6 +181,10 @@ def _search(hashes: np.ndarray, first: np.ndarray, kinds: list[Class], size: int
             for name, template, wanted in zip(kind.names, kind.shingles, kind.keys, strict=True):
                 if (keys == wanted).any():
                     share = len(np.intersect1d(own, template, assume_unique=True)) / len(template)
-                    if share >= containment and share > best[r].get(name, (0.0,))[0]:
-                        best[r][name] = (share, w * kind.step, end - start)
-    return best
+                    if share >= containment:
+                        spans, (a, b) = found[r].setdefault(name, []), (w * kind.step, end - int(first[r]))
+                        if spans and a < spans[-1][1]:
+                            a, _, before = spans.pop()
+                            share = max(share, before)
+                        spans.append((a, b, share))
+    return found

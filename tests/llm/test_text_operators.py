@@ -241,3 +241,23 @@ def test_toxicity_sample_is_of_labelled_documents(spark):
     more = toxicity.training_rows(docs.union(docs.selectExpr("doc_id", "concat(text, ' more')")), spark.createDataFrame(known, "doc_id long, quality int, toxic int"), kinds, 25, 3, "doc_id", "text")
     assert more.count() == 25 == more.select("__id").distinct().count()
     assert inspect.signature(train_chain).parameters["sample_rows"].default == 20_000
+
+
+def test_licenses_of_common_kinds_and_every_place(spark):
+    gap = " ".join(f"v{k}" for k in range(300))
+    rows = [
+        (1, "Licensed under the MIT License.", {"mit-named"}),
+        (2, "you can redistribute it under the terms of the GNU Lesser General Public License", {"lgpl"}),
+        (3, "under the GNU Affero General Public License", {"agpl"}),
+        (4, "This is free and unencumbered software released into the public domain.", {"unlicense"}),
+        (5, "available under the Eclipse Public License", {"epl"}),
+        (6, "SPDX-License-Identifier: BSD-2-Clause", {"bsd-2-clause-spdx"}),
+        (7, TEMPLATES["isc"], {"isc"}),
+        (8, "released under the GNU General Public License, version 2", {"gpl", "gpl-2.0"}),
+        (9, "Released under the Foo License.", set()),
+        (10, f"Released under the MIT License. {gap} Released under the MIT License.", {"mit", "mit-named"}),
+    ]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert all(set(got[i]["licenses"]) == want for i, _, want in rows)
+    places = [(m["start"], m["start"] + m["length"]) for m in got[10]["matches"] if m["license"] == "mit"]
+    assert len(places) == 2 and places[0][0] == 0 and places[0][1] < 20 and places[1][0] <= 305 and places[1][1] == 310
