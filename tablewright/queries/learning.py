@@ -54,14 +54,14 @@ def _(spark, sf):
 @query("k5_baseline_training")
 def _(spark, sf):
     _, ready = split(spark, sf)
-    board, _ = models.train_baselines(ready.where("not is_test"), ready.where("is_test"), "binary", ["LogisticRegression", "DecisionTree"], folds=3)
+    board, _ = models.train_baselines(ready.where("not is_test"), ready.where("is_test"), "binary")
     return board
 
 
 @query("k6_parameter_search")
 def _(spark, sf):
     _, ready = split(spark, sf)
-    _, report = models.search_settings(ready.where("not is_test").select("features", "label"), "binary", "LogisticRegression", settings=3, folds=2)
+    _, report = models.search_settings(ready.where("not is_test").select("features", "label"), "binary", "LogisticRegression")
     return spark.createDataFrame(report, "setting string, score double")
 
 
@@ -126,16 +126,18 @@ def _(spark, sf):
 def _(spark, sf):
     _, ready = split(spark, sf)
     train = ready.where("not is_test")
-    model = models.families("binary", 0)["DecisionTree"].fit(train)
+    model = models.families("binary")["DecisionTree"].fit(train)
     width = train.select(F.size(vector_to_array("features")).alias("n")).first()["n"]
     names = [f"f{i}" for i in range(width)]
-    return spark.createDataFrame(models.native_importance(model, names), "feature string, importance double")
+    native = spark.createDataFrame(models.native_importance(model, names), "feature string, importance double")
+    shuffled = models.permutation_importance(model, ready.where("is_test"), "row_id", names, "binary")
+    return native.withColumn("kind", F.lit("native")).union(shuffled.withColumn("kind", F.lit("permutation")))
 
 
 @query("k13_batch_scoring")
 def _(spark, sf):
     stages, ready = split(spark, sf)
-    model = models.families("binary", 0)["LogisticRegression"].fit(ready.where("not is_test"))
+    model = models.families("binary")["LogisticRegression"].fit(ready.where("not is_test"))
     fresh = price_rows(spark, sf).select("row_id", "noisy", "status", "priority")  # no year: scored as missing
     scored = models.score_rows(stages, model, fresh, ["year", "noisy"], ["status", "priority"], labels=["small", "large"])
     return scored.select("row_id", "predicted_label", F.round(F.col("probabilities")[1], 6).alias("p_large"))

@@ -285,3 +285,27 @@ def test_merging_has_no_limit_on_spellings(spark):
     right, wrong = ({r[0] for r in found.select(c).collect()} for c in ("right", "wrong"))
     assert not right & wrong and len(wrong) > 100  # what absorbs is never absorbed
     assert fuzzy.typo_map(table, "city", max_values=500).count() == 0
+
+
+def test_model_choice_does_not_depend_on_size(spark):
+    import inspect
+
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    from tablewright.operators import models
+
+    assert "SVM" in models.families("binary") and "rows" not in inspect.signature(models.families).parameters
+    assert inspect.signature(models.train_baselines).parameters["folds"].default == 5
+    # rows beyond the 300 that were once read decide: only a tenth of the labels is 1
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 10 == 0).cast("double").alias("label"))
+    rows = rows.withColumn("features", array_to_vector(F.array("label", F.lit(1.0))))
+    model = DecisionTreeClassifier(maxDepth=2).fit(rows)
+    read = []
+    kept, models._score = models._score, lambda model, frame, task: read.append(frame.count()) or kept(model, frame, task)
+    try:
+        got = {r["feature"]: r["importance"] for r in models.permutation_importance(model, rows, "row_id", ["own", "same"], "binary").collect()}
+    finally:
+        models._score = kept
+    assert set(read) == {1000}
+    assert got["own"] > 0.1 and got["same"] == 0
