@@ -48,7 +48,8 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     lines = judge_lines(docs, percent=80)
     gone = F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line_no"))))
     counts = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.array_join(gone, ",").alias("removed_lines"))
-    found = docs.select("doc_id").distinct().join(counts, "doc_id", "left")
+    counts = counts.withColumnRenamed("doc_id", "id")
+    found = docs.select("doc_id").distinct().join(counts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return found.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 

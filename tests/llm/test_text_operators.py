@@ -261,3 +261,11 @@ def test_licenses_of_common_kinds_and_every_place(spark):
     assert all(set(got[i]["licenses"]) == want for i, _, want in rows)
     places = [(m["start"], m["start"] + m["length"]) for m in got[10]["matches"] if m["license"] == "mit"]
     assert len(places) == 2 and places[0][0] == 0 and places[0][1] < 20 and places[1][0] <= 305 and places[1][1] == 310
+
+
+def test_line_counts_of_a_document_without_id(spark, tmp_path):
+    from tablewright.llm.queries import op2_line_dedup
+
+    spark.createDataFrame([(None, "one two three\nfour five six\none two three"), (4, "four five six"), (5, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(None, 3, 1, "2"), (4, 1, 1, "0"), (5, 0, 0, "")}
