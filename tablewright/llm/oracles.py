@@ -48,4 +48,29 @@ reach AS (SELECT DISTINCT a AS v, a AS c FROM e UNION SELECT e.b, reach.c FROM r
 m AS (SELECT v, min(c) AS c FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, d.doc_id = coalesce(m.c, d.doc_id) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.v = d.doc_id"""
 
-ORACLES = {"op1_substring_dedup": SUBSTRINGS, "op2_line_dedup": LINES, "op5_benchmark_decontamination": CONTAMINATION, "op7_minhash_near_dedup": NEAR}
+IMPORTANCE = f"""WITH z AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b))),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_PLAIN} AS w FROM documents), b AS (SELECT {_PLAIN} AS w FROM benchmark),
+u AS (SELECT DISTINCT unnest(w) AS x FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
+c AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(x)), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS v FROM u, z),
+f AS (SELECT k, v FROM (SELECT k, unnest(w) AS x FROM d) JOIN c USING (x)), e AS (SELECT v FROM (SELECT unnest(w) AS x FROM b) JOIN c USING (x)),
+s AS (SELECT v, count(*) AS s FROM f GROUP BY 1), t AS (SELECT v, count(*) AS t FROM e GROUP BY 1),
+g AS (SELECT v, floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM f) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT count(*) FROM e) + 10000)))) AS g FROM s LEFT JOIN t USING (v)),
+m AS (SELECT k, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM f JOIN g USING (v) GROUP BY 1),
+h AS (SELECT k, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d),
+r AS (SELECT k, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d JOIN h USING (k) LEFT JOIN m USING (k)),
+o AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS p, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 10 * n // 100 THEN p END AS rank FROM r LEFT JOIN o USING (k)"""
+
+MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM x),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ARCHIVES = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
+ORACLES = {"op1_substring_dedup": SUBSTRINGS, "op2_line_dedup": LINES, "op5_benchmark_decontamination": CONTAMINATION, "op7_minhash_near_dedup": NEAR, "op11_importance_resampling": IMPORTANCE, "op12_fill_in_middle": MIDDLE, "op13_warc_archives": ARCHIVES}

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.contamination import find_contamination
+from tablewright.llm.importance import resample
 from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.lines import judge_lines
+from tablewright.llm.middle import fill_in_middle, restored
 from tablewright.llm.near import near_components
 from tablewright.llm.oracles import ORACLES
 from tablewright.llm.packing import pack
@@ -19,6 +21,7 @@ from tablewright.llm.scoring import score
 from tablewright.llm.substrings import remove_repeats
 from tablewright.llm.tokenfiles import read_token_files, with_crc, write_token_files
 from tablewright.llm.toxicity import find_toxic
+from tablewright.llm.warc import page_id, read_records, write_archives
 from tablewright.session import shared_folder
 
 
@@ -101,6 +104,28 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return find_toxic(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark's words."""
+    drawn = resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), share=(10, 100), least_words=20, longest=1, buckets=10_000, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Form, parts and checksums of every document's fill-in-the-middle text, and of the text rebuilt from it."""
+    made = fill_in_middle(_read(spark, folder, "documents"), percent=100, suffix_first=50, seed=7)
+    sums = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return restored(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *sums)
+
+
+def op13_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as WARC records into ZIP-packaged archives and read back by ranges."""
+    pages = _read(spark, folder, "pages")
+    archives = write_archives(pages, f"{shared_folder(spark)}/archives/{uuid4().hex}", least_bytes=1000)
+    found = read_records(archives, payloads=False).where("record_type in ('response', 'revisit')")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return found.select(page_id(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id(F.col("refers_to"), kind).alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -114,5 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_packing,
         op10_toxicity,
+        op11_importance_resampling,
+        op12_fill_in_middle,
+        op13_warc_archives,
     )
 }
