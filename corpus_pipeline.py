@@ -25,13 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """Every row as one value beside its text, so that an operator's verdict comes back with the very row it is about."""
-    return docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("__whole"), "text")
+def _beside_text(docs: DataFrame) -> DataFrame:
+    """All columns but the text as one value, and the text, so that an operator's verdict comes back with the very row it is about."""
+    return docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"]).alias("__rest"), "text")
 
 
 def _rows(judged: DataFrame, docs: DataFrame) -> DataFrame:
-    return judged.select(*[F.col(f"__whole.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return judged.select(*[F.col("text") if c == "text" else F.col(f"__rest.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labels, does not call toxic go on. Every row has its own verdict."""
     categories = given_categories()
     models = train_chain(docs, _table(spark, sf_dir, "labels"), categories)
-    return _rows(score_chain(_whole(docs), models, list(categories), id_col="__whole").where("not toxic"), docs)
+    return _rows(score_chain(_beside_text(docs), models, list(categories), id_col="__rest", with_text=True).where("not toxic"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one word in twenty or more inside 13-word windows of benchmark items stop here. Every row has its own verdict."""
-    found = find_contamination(_whole(docs), _table(spark, sf_dir, "benchmark"), window=13, share=(1, 20), id_col="__whole")
+    found = find_contamination(_beside_text(docs), _table(spark, sf_dir, "benchmark"), window=13, share=(1, 20), id_col="__rest", with_text=True)
     return _rows(found.where("not contaminated"), docs)
 
 

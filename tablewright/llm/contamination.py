@@ -138,12 +138,14 @@ class Automaton:
         return hit, found
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """Items in groups whose size is bounded, whatever the table's."""
+def _shards(items: DataFrame | None, id_col: str, text_col: str, window: int) -> tuple[int, Iterator[Automaton]]:
+    """Items in groups whose size is bounded, whatever the table's: their number, and the automaton of each, made when asked for."""
+    if items is None:
+        return 1, iter([Automaton([], window)])
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS))
-    for k in range(n):
-        yield [(r["name"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).collect()]
+    of = lambda k: rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).collect()
+    return n, (Automaton([(r["name"], r["text"]) for r in of(k)], window) for k in range(n))
 
 
 def find_contamination(
@@ -156,13 +158,14 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     cleaned: bool = False,
+    with_text: bool = False,
 ) -> DataFrame:
     """Occurrences of item windows in documents.
 
     A window is `window` consecutive words of an item, or a whole shorter item that has words. Returns one row for each input row:
     the id, n_words, n_hit (words inside occurrences), items (names of the items found, sorted as strings), spans (start and
     length in words), contaminated (n_hit is positive and at least the share of n_words). With cleaned, also `cleaned`: the text
-    without the bytes from the first to the last word of every span.
+    without the bytes from the first to the last word of every span. With with_text the text comes last.
 
     NULL or empty texts have no words and are clean; NULL items never match; a NULL item id is named by the empty string; items
     of one id count once. Repeated rows each have their row. Empty tables on either side are allowed; other columns are not read.
@@ -171,10 +174,10 @@ def find_contamination(
     ship_package(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col, F.lit(None).cast("binary").alias("__hit"), F.array().cast("array<string>").alias("__found"))
-    shards = list(_shards(items, id_col=item_id, text_col=item_text)) if items is not None else [[]]
+    n, shards = _shards(items, item_id, item_text, window)
     for k, shard in enumerate(shards):
-        automaton = spark.sparkContext.broadcast(Automaton(shard, window))
-        last = k == len(shards) - 1
+        automaton = spark.sparkContext.broadcast(shard)
+        last = k == n - 1
 
         def scan(batches: Iterable[pa.RecordBatch], automaton=automaton, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -189,12 +192,13 @@ def find_contamination(
                             hit[first[i] : first[i + 1]] |= unbits(before, first[i + 1] - first[i])
                             found[i].update(batch.column(3)[lo + i].as_py())
                     piece = batch.slice(lo, hi - lo)
-                    yield _report(piece, own, bounds, starts, ends, first, hit, found, share, cleaned) if last else _state(piece, first, hit, found)
+                    yield _report(piece, own, bounds, starts, ends, first, hit, found, share, cleaned, with_text) if last else _state(piece, first, hit, found)
 
-        report = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,length:bigint>>, contaminated boolean" + ", cleaned string" * cleaned
+        report = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,length:bigint>>, contaminated boolean" + ", cleaned string" * cleaned + f", `{text_col}` string" * with_text
         rows = rows.mapInArrow(scan, report if last else f"`{id_col}` {kind}, `{text_col}` string, __hit binary, __found array<string>")
         if not last:
             rows = checkpointed(rows)
+            automaton.unpersist()
     return rows
 
 
@@ -204,7 +208,7 @@ def _state(piece: pa.RecordBatch, first: np.ndarray, hit: np.ndarray, found: lis
     return pa.RecordBatch.from_arrays(arrays, names=piece.schema.names)
 
 
-def _report(piece, data, bounds, starts, ends, first, hit, found, share, cleaned) -> pa.RecordBatch:
+def _report(piece, data, bounds, starts, ends, first, hit, found, share, cleaned, with_text) -> pa.RecordBatch:
     n_words = np.diff(first)
     total = np.concatenate(([0], np.cumsum(hit)))
     n_hit = total[first[1:]] - total[first[:-1]]
@@ -226,4 +230,5 @@ def _report(piece, data, bounds, starts, ends, first, hit, found, share, cleaned
         pa.array((n_hit > 0) & (n_hit * share[1] >= n_words * share[0])),
     ]
     names = [piece.schema.names[0], "n_words", "n_hit", "items", "spans", "contaminated"]
-    return pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary()).cast(pa.string())] * cleaned, names=names + ["cleaned"] * cleaned)
+    arrays += [pa.array(kept, pa.binary()).cast(pa.string())] * cleaned + [piece.column(1)] * with_text
+    return pa.RecordBatch.from_arrays(arrays, names=names + ["cleaned"] * cleaned + [piece.schema.names[1]] * with_text)

@@ -1,14 +1,15 @@
 """Token ids of whole texts with a file of the tokenizers library (byte-level or word-end BPE).
 
-A text is cut before every blank that a visible character follows: these tokenizers start a new piece there, so the ids of the
-parts, joined, are the ids of the text. A worker remembers the ids of parts it has seen, up to a bound. A new part of letters,
-with or without a closing run of stops and commas, goes to the library's BPE model directly, since its pieces are known; any other
-part goes through the library's whole encoder. Strings that look like special tokens are ordinary text.
+A text is cut before every blank or line break that a visible character follows: these tokenizers start a new piece there, so the
+ids of the parts, joined, are the ids of the text. A worker remembers the ids of parts it has seen, up to a bound. A new part of
+letters, with or without a closing run of stops and commas, goes to the library's BPE model directly, since its pieces are known;
+any other part goes through the library's whole encoder. Strings that look like special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from array import array
 
 #: First bytes after a blank at which a new part may start: visible ASCII, and lead bytes whose characters hold no white space.
@@ -29,14 +30,15 @@ def _alphabet() -> dict[int, str]:
 
 
 class _Parts(dict):
-    """Ids of blank plus word by word, found when first asked for."""
+    """Ids of parts, found when first asked for: a word with a blank before it, or a line break and a word. The older half is
+    dropped when `remembered` new parts have come."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
         self.encoder, self.older = encoder, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if not word or not _IS_SAFE[word[0]]:
+        if not word or not _IS_SAFE[word[0]] and (word[0] != 0x0A or len(word) == 1 or not _IS_SAFE[word[1]]):
             raise _Joined
         ids = self.older.get(word) or self.encoder.part(word)
         if len(word) <= 64:
@@ -48,18 +50,26 @@ class _Parts(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = 400_000) -> None:
+    """remembered: parts of each half, some 200 bytes each, so 64 MB for both halves."""
+
+    def __init__(self, path: str, remembered: int = 160_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remembered, self.known = remembered, _Parts(self)
+        self.remembered, self.known, self.stops = remembered, _Parts(self), {}
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.letters = _alphabet()
         pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(" ab.,"))]
         #: What stands for the blank before a word's letters; None if the pieces of such a part are not the letters and the stops.
         self.blank = {("Ġab", ".,"): "Ġ", ("ab", ".,"): ""}.get(tuple(pieces))
+        lines = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal("ab\ncd"))]
+        #: Ids of a line break before a visible character; None if it is no piece of its own.
+        self.line = {("ab", "Ċ", "cd"): self.whole(b"\n"), ("ab", "cd"): b""}.get(tuple(lines))
+        ascii_letters = string.ascii_letters
+        #: How ASCII letters come out of the normalizer: as they are, in lower case, or otherwise (None).
+        self.ascii = {ascii_letters: str, ascii_letters.lower(): str.lower}.get(self._normal(ascii_letters))
 
     def _normal(self, text: str) -> str:
         return self.normalizer.normalize_str(text) if self.normalizer else text
@@ -69,43 +79,67 @@ class Encoder:
         return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def part(self, word: bytes) -> bytes:
-        """Ids of a blank and a word."""
-        text = self._normal(word.decode("utf-8", "replace"))
+        """Ids of a blank and a word, or of a line break and a word."""
+        after_line = word[0] == 0x0A
+        text = word.decode("utf-8", "replace")
+        if after_line:
+            text = text[1:]
+        plain = text.isascii()
+        text = self.ascii(text) if plain and self.ascii else self._normal(text)
         core = text.rstrip(".,")
-        if self.blank is None or not core.isalpha():
-            return self.whole(b" " + word)
-        stops = text[len(core) :]
-        if not core.isascii():
+        if self.blank is None or not core.isalpha() or after_line and self.line is None:
+            return self.whole(word if after_line else b" " + word)
+        if after_line and not self.blank:
+            return self.line + self.known[text.encode()]
+        if len(core) < len(text):
+            stops = text[len(core) :]
+            if stops not in self.stops:
+                if len(self.stops) > 1000:
+                    self.stops.clear()
+                self.stops[stops] = self._ids(stops)
+            return self.known[(b"\n" if after_line else b"") + core.encode()] + self.stops[stops]
+        if not plain:
             core = core.encode().decode("latin-1").translate(self.letters)
-        found = self.model.tokenize(self.blank + core)
-        if stops:
-            found += self.model.tokenize(stops)
-        return array("I", [t.id for t in found]).tobytes()
+        return self.line + self._ids(core) if after_line else self._ids(self.blank + core)
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        head, *words = text.split(b" ")
+        head, *words = text.replace(b"\n", b" \n").split(b" ")
         try:
             rest = b"".join(map(self.known.__getitem__, words))
         except _Joined:
-            return self._encode_joined(head, words)
+            return self._encode_joined(text)
         return self.whole(head) + rest if head else rest
 
-    def _encode_joined(self, head: bytes, words: list[bytes]) -> bytes:
+    def _encode_joined(self, text: bytes) -> bytes:
         """Where white space runs stand: words that may not start a part stay with the part before."""
-        parts, own = [], [head]
+        head, *words = text.split(b" ")
+        out, own, joined = [], [head], True
         for w in words:
             if w and _IS_SAFE[w[0]]:
-                parts.append(b" ".join(own))
-                own = [b"", w]
+                out.append(self._joined_part(own, joined))
+                own, joined = [w], False
             else:
+                if not joined:
+                    own.insert(0, b"")
                 own.append(w)
-        parts.append(b" ".join(own))
-        return b"".join(map(self.whole, filter(None, parts)))
+                joined = True
+        out.append(self._joined_part(own, joined))
+        return b"".join(out)
+
+    def _joined_part(self, own: list[bytes], joined: bool) -> bytes:
+        """A run of text that is no single part goes to the library, a word that holds no line break is remembered."""
+        if joined or b"\n" in own[0]:
+            text = b" ".join(own if joined else [b"", *own])
+            return self.whole(text) if text else b""
+        return self.known[own[0]]
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for this file; what it remembers serves all tasks of the worker."""
+    """The worker's encoder for this file; what it remembers serves all tasks of the worker, up to its bound."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
     return _LOADED[path]

@@ -212,12 +212,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     return [np.frombuffer(r["weights"]) for r in sorted(fitted, key=lambda r: r["place"])]
 
 
-def score_chain(docs: DataFrame, models: list[np.ndarray], names: list[str], least: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_chain(docs: DataFrame, models: list[np.ndarray], names: list[str], least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Probability of every category for every row, and toxic: whether that of the last one is `least` or more.
 
     Words are runs of digits, letters and characters beyond ASCII; A-Z count as a-z. One row for each input row: the id, n_words,
     a column p_<name> for each category, toxic. A NULL or empty text has no words: its probabilities are the models' constants
-    and it is not toxic. NULL and repeated ids are kept; an empty table gives no rows. Other columns are not read.
+    and it is not toxic. NULL and repeated ids are kept; an empty table gives no rows. Other columns are not read. With with_text
+    the text comes last.
     """
     ship_package(docs.sparkSession)
     used = np.zeros(1 << BITS, bool)
@@ -235,11 +236,12 @@ def score_chain(docs: DataFrame, models: list[np.ndarray], names: list[str], lea
                 for w in models:
                     made = np.column_stack([made, probability(w, [(row, bucket)], made, hi - lo)])
                 arrays = [batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), *(pa.array(made[:, k]) for k in range(len(models)))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array((made[:, -1] >= least) & (n_words > 0))], names=[id_col, "n_words", *names, "toxic"])
+                own = [batch.column(1).slice(lo, hi - lo)] * with_text
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array((made[:, -1] >= least) & (n_words > 0)), *own], names=[id_col, "n_words", *names, "toxic", *[text_col] * with_text])
 
     names = [f"p_{n}" for n in names]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words bigint, " + ", ".join(f"`{n}` double" for n in names) + ", toxic boolean"
+    schema = f"`{id_col}` {kind}, n_words bigint, " + ", ".join(f"`{n}` double" for n in names) + ", toxic boolean" + f", `{text_col}` string" * with_text
     return docs.select(id_col, text_col).mapInArrow(judge, schema)
 
 

@@ -91,3 +91,15 @@ def test_packing(docs, rows):
             assert {r["doc_tokens"] for r in own} == {len(texts[0])}
         else:
             assert sum(r["length"] for r in own) == sum(map(len, texts))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_on_random_strings(name):
+    import random
+
+    draw, own = random.Random(5), Encoder(public_tokenizers.path(name), remembered=300)
+    pieces = ["a", "B", "the", "Élan", "ß", "é", "é", "İ", "Σ", "ς", "한", "中", "ก็", "́", " ", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", ".", ",", ".,", "...", "'s", "'S", "1", "23", "!", "?!"]
+    pieces += ["<|endoftext|>", " ", " ", "　", "\x85", "\x1c", "‍", "😀", "_", "ﬁ", "Å", "K", "ſ", "\x00"]
+    for _ in range(5000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 25))).encode()
+        assert own.encode(text) == own.whole(text), text
