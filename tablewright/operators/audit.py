@@ -13,6 +13,7 @@ from tablewright.functions.dates import standardize_date
 from tablewright.functions.text import canonical, same
 from tablewright.functions.tokens import AUDIT_TOKENS, DIFF_TOKENS, is_dirty
 from tablewright.operators.frames import TEMPORAL, field, melt
+from tablewright.operators.profile import distinct_counts
 from tablewright.operators.quantiles import exact_quantiles, quantile_grid
 from tablewright.operators.shape import AGE_RANGE, SALARY_FLOOR
 
@@ -114,15 +115,15 @@ def status_label(missing_before: Column, missing_after: Column, changed: Column)
 
 
 def _side_stats(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    aggregates, entries = [], []
+    aggregates, entries, distinct = [], [], distinct_counts(df, columns)
     for c in columns:
         number = isinstance(field(df, c), T.NumericType)
         value = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) if number else F.lit(None).cast("double")
         aggregates.append(F.struct(
-            F.count_if(is_dirty(F.col(c), field(df, c))).alias("missing"), F.count_distinct(c).alias("unique"), F.avg(value).alias("mean"),
+            F.count_if(is_dirty(F.col(c), field(df, c))).alias("missing"), F.avg(value).alias("mean"),
             F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")).alias(f"s_{c}"))
         entries.append((c, {
-            f"missing_{side}": F.col(f"s_{c}.missing"), f"unique_{side}": F.col(f"s_{c}.unique"),
+            f"missing_{side}": F.col(f"s_{c}.missing"), f"unique_{side}": F.lit(distinct[c]).cast("bigint"),
             **{f"{k}_{side}": F.bround(F.col(f"s_{c}.{k}"), 4) for k in ("mean", "std", "min", "max")},
         }))
     return melt(df.agg(*aggregates), entries)

@@ -11,6 +11,7 @@ from tablewright.functions.hashing import cell, draw
 from tablewright.operators.frames import string_columns, with_few
 from tablewright.operators.neighbours import nearest_rows
 from tablewright.operators.ordered import prefix_sums
+from tablewright.operators.profile import distinct_counts
 from tablewright.operators.quantiles import exact_quantiles, most_frequent
 from tablewright.session import checkpointed
 
@@ -67,7 +68,7 @@ def semantic_codes(df: DataFrame, positive: dict[str, object], skip: list[str] =
     texts = string_columns(df, skip)
     if not texts:
         return df
-    distinct = df.agg(*[F.count_distinct(c).alias(c) for c in texts]).first()
+    distinct = distinct_counts(df, texts)
     changed = {}
     for c in texts:
         if not 2 <= distinct[c] <= 10:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tablewright.functions.dates import standardize_date
 from tablewright.functions.hashing import unit
 from tablewright.operators.frames import TEMPORAL, cell_shares, field, is_integer, numeric_columns, string_columns
-from tablewright.operators.neighbours import BLOCK_ROWS, block_search
+from tablewright.operators.neighbours import BLOCK_ROWS, CELL_ROWS, cell_search
 from tablewright.operators.ordered import BUCKET, global_position, nearest_known, with_buckets
 from tablewright.operators.profile import column_counts
 from tablewright.operators.quantiles import exact_quantiles, modes, most_frequent
@@ -259,11 +259,13 @@ def encode_ordinal(df: DataFrame, texts: list[str]) -> tuple[DataFrame, dict[str
     return df, {c: list(m.labels) for c, m in models.items()}
 
 
-def fill_by_neighbours(df: DataFrame, row_id: str, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def fill_by_neighbours(
+    df: DataFrame, row_id: str, k: int = 5, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS, met: list[DataFrame] | None = None
+) -> DataFrame:
     """Average of the k nearest rows that know the cell; distance over the coordinates both rows know.
 
     Text columns take part as sorted codes and are decoded and clipped. Exact at any size: incomplete
-    rows meet all rows block by block and keep k donors per missing cell.
+    rows meet the cells of rows that can hold one of the k donors of a missing cell.
     """
     numbers, texts = numeric_columns(df, [row_id]), string_columns(df, [row_id])
     columns = [*numbers, *texts]
@@ -305,7 +307,7 @@ def fill_by_neighbours(df: DataFrame, row_id: str, k: int = 5, block_rows: int =
                 }))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
 
-    found = block_search(points.where(gap), points, row_id, row_id, kernel, schema, block_rows)
+    found = cell_search(points.where(gap), points, row_id, row_id, columns, kernel, schema, k, wanted=columns, block_rows=block_rows, cell_rows=cell_rows, met=met)
     best = Window.partitionBy("query", "column").orderBy("distance", "candidate")
     means = (
         found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)

@@ -32,31 +32,90 @@ KEY_NAME_PARTS = ["id", "key", "code", "num", "serial", "ref", "hash", "pk", "fk
 DATE_TEXT = r"^\d{4}[-/]\d{2}[-/]\d{2}"
 
 
-def _distinct(column: str, approx: bool) -> Column:
-    return F.approx_count_distinct(column) if approx else F.count_distinct(column)
+def cell_key(df: DataFrame, column: str) -> Column:
+    """Text that is equal for equal cells of a column only; NULL stays NULL."""
+    kind, value = field(df, column), F.col(column)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0).cast(kind)  # negative zero is zero
+    elif isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)  # clock times repeat when summer time ends
+    elif isinstance(kind, T.BinaryType):
+        value = F.hex(value)
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(value)))
+    return value.cast("string")
+
+
+def distinct_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(place, whole, number, text, n): how often each value stands in each column; place is the column's number in the list, and
+    the value is in the one column of its kind, in none for NULL.
+
+    One narrow row a cell, summed before the shuffle; nulls, distinct counts, tops and modes of all columns are aggregates of it.
+    """
+    cells = []
+    for k, c in enumerate(columns):
+        kind, value = field(df, c), F.col(c)
+        whole, number, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+            whole = value.cast("bigint")
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            number = value.cast("double")
+        else:
+            text = cell_key(df, c)
+        cells.append(F.struct(F.lit(k).alias("place"), whole.alias("whole"), number.alias("number"), text.alias("text")))
+    return df.select(F.inline(F.array(*cells))).groupBy("place", "whole", "number", "text").agg(F.count("*").alias("n"))
+
+
+#: True for cells of distinct_cells that are not NULL.
+IS_VALUE = "whole is not null or number is not null or text is not null"
+
+
+def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> dict[str, int]:
+    """Driver scalars: distinct non-NULL values of every column. With approx, from one sketch a column that combines before any shuffle."""
+    if not columns:
+        return {}
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).alias(f"d_{k}") for k, c in enumerate(columns)]).toDF(*columns).first().asDict()
+    found = distinct_cells(df, columns).groupBy("place").agg(F.count_if(F.expr(IS_VALUE)).alias("d"))
+    counts = {r["place"]: r["d"] for r in found.collect()}  # one row a column
+    return {c: counts.get(k, 0) for k, c in enumerate(columns)}
+
+
+def distinct_sketches(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, sketch): mergeable sketches of the distinct values, for tables that grow by parts: see merged_distinct."""
+    row = df.agg(*[F.hll_sketch_agg(cell_key(df, c)).alias(f"s_{k}") for k, c in enumerate(columns)])
+    return melt(row, [(c, {"sketch": F.col(f"s_{k}")}) for k, c in enumerate(columns)])
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """(column, distinct) of all parts together, from their sketches, with an error of some percent."""
+    return sketches.groupBy("column").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
 
 
 def column_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> dict[str, dict[str, int]]:
-    """Driver scalars {column: {nulls, distinct}, "*": {rows}} from one aggregation."""
+    """Driver scalars {column: {nulls, distinct}, "*": {rows}}."""
     columns = columns or df.columns
-    row = df.agg(
-        F.count("*").alias("__rows"),
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[_distinct(c, approx).alias(f"d_{c}") for c in columns],
-    ).first()
-    result = {c: {"nulls": row["__rows"] - row[f"n_{c}"], "distinct": row[f"d_{c}"]} for c in columns}
-    result["*"] = {"rows": row["__rows"]}
-    return result
+    if approx:
+        distinct = distinct_counts(df, columns, approx=True)
+        row = df.agg(F.count("*").alias("__rows"), *[F.count(c).alias(f"n_{c}") for c in columns]).first()
+        counts = {c: {"nulls": row["__rows"] - row[f"n_{c}"], "distinct": distinct[c]} for c in columns}
+        return counts | {"*": {"rows": row["__rows"]}}
+    found = distinct_cells(df, columns).groupBy("place").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.expr(IS_VALUE), 0).otherwise(F.col("n"))).alias("nulls"), F.count_if(F.expr(IS_VALUE)).alias("d")
+    )
+    rows = {r["place"]: r for r in found.collect()}  # one row a column
+    counts = {c: {"nulls": rows[k]["nulls"] if k in rows else 0, "distinct": rows[k]["d"] if k in rows else 0} for k, c in enumerate(columns)}
+    return counts | {"*": {"rows": rows[0]["rows"] if rows else 0}}
 
 
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: types, missing count and percent, unique values (NULL counts as one), min and max of numerics."""
     columns = df.columns
     numeric = set(numeric_columns(df))
+    distinct = distinct_counts(df, columns, approx)
     stats = df.agg(
         F.count("*").alias("__rows"),
         *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[_distinct(c, approx).alias(f"d_{c}") for c in columns],
         *[F.min(c).cast("double").alias(f"lo_{c}") for c in numeric],
         *[F.max(c).cast("double").alias(f"hi_{c}") for c in numeric],
     )
@@ -64,7 +123,7 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     for c in columns:
         kind = field(df, c)
         missing = F.col("__rows") - F.col(f"n_{c}")
-        unique = F.col(f"d_{c}") + (missing > 0).cast("bigint")
+        unique = F.lit(distinct[c]).cast("bigint") + (missing > 0).cast("bigint")
         if c in numeric:
             semantic = F.when(unique == 2, "Binary").otherwise("Numeric")
         elif isinstance(kind, TEMPORAL):
@@ -123,14 +182,13 @@ def typed_profile(df: DataFrame, row_id: str, samples: int = 5) -> DataFrame:
         else "Categorical (Low Cardinality Numeric)" if isinstance(field(df, c), T.NumericType) else "Categorical"
         for c in columns
     }
-    stats = df.agg(
-        F.count("*").alias("__rows"), *[F.count(c).alias(f"n_{c}") for c in columns], *[F.count_distinct(c).alias(f"d_{c}") for c in columns]
-    )
+    distinct = distinct_counts(df, columns)
+    stats = df.agg(F.count("*").alias("__rows"), *[F.count(c).alias(f"n_{c}") for c in columns])
     rows = melt(stats, [(c, {
         "inferred_type": F.lit(labels[c]),
         "missing_count": F.col("__rows") - F.col(f"n_{c}"),
         "missing_pct": (F.col("__rows") - F.col(f"n_{c}")) / F.col("__rows") * 100,
-        "unique_count": F.col(f"d_{c}"),
+        "unique_count": F.lit(distinct[c]).cast("bigint"),
     }) for c in columns])
     picked = first_values(df, row_id, columns, samples).groupBy("column").agg(  # at most `samples` rows per column
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "value"))), lambda s: s["value"]), "|").alias("sample_values")
@@ -552,9 +610,8 @@ def training_summary(df: DataFrame, target: str) -> DataFrame:
     numeric = numeric_columns(df)
     others = [c for c in df.columns if c not in numeric]
     wide = [c for c in others if c != target]
-    stats = df.agg(
-        F.count("*").alias("n_rows"), *[F.count(c).alias(f"n_{c}") for c in df.columns], *[F.count_distinct(c).alias(f"d_{c}") for c in wide]
-    )
+    distinct = distinct_counts(df, wide)
+    stats = df.agg(F.count("*").alias("n_rows"), *[F.count(c).alias(f"n_{c}") for c in df.columns])
     counts = df.where(F.col(target).isNotNull()).groupBy(target).count().agg(F.min("count").alias("least"), F.sum("count").alias("all"))
     least, total = counts.first()
     cells = F.col("n_rows") * len(df.columns)
@@ -563,7 +620,7 @@ def training_summary(df: DataFrame, target: str) -> DataFrame:
         "n_rows", F.lit(len(df.columns)).alias("n_cols"), F.lit(len(numeric)).alias("n_numeric"), F.lit(len(others)).alias("n_text"),
         F.bround((cells - filled) / cells * 100, 2).alias("missing_pct"),
         F.bround(F.lit((least or 0) / total * 100 if total else 0.0), 2).alias("minority_pct"),
-        _total([(F.col(f"d_{c}") > 50).cast("int") for c in wide]).alias("wide_columns"),
+        F.lit(sum(distinct[c] > 50 for c in wide)).alias("wide_columns"),
     )
 
 
@@ -612,16 +669,17 @@ def id_sequence(df: DataFrame, column: str) -> DataFrame:
 def key_like(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, is_key): by name part, or alphanumeric mix with over 70 % unique values."""
     text = {c: F.col(c).cast("string") for c in columns}
+    distinct = distinct_counts(df, columns)
     stats = df.agg(*[
         F.struct(
-            F.count(c).alias("n"), F.count_distinct(c).alias("d"), F.bool_and(text[c].rlike(r"^[A-Za-z0-9_-]+$")).alias("plain"),
+            F.count(c).alias("n"), F.bool_and(text[c].rlike(r"^[A-Za-z0-9_-]+$")).alias("plain"),
             F.bool_or(text[c].rlike("[A-Za-z]")).alias("letters"), F.bool_or(text[c].rlike(r"\d")).alias("digits"),
         ).alias(f"s_{c}") for c in columns
     ])
     entries = []
     for c in columns:
         s = f"s_{c}"
-        mixed = F.col(f"{s}.plain") & F.col(f"{s}.letters") & F.col(f"{s}.digits") & (F.col(f"{s}.d") / F.col(f"{s}.n") > 0.7)
+        mixed = F.col(f"{s}.plain") & F.col(f"{s}.letters") & F.col(f"{s}.digits") & (F.lit(distinct[c]) / F.col(f"{s}.n") > 0.7)
         named = any(k in c.lower() for k in KEY_NAME_PARTS)
         entries.append((c, {"is_key": F.lit(True) if named else F.coalesce(mixed, F.lit(False))}))
     return melt(stats, entries)

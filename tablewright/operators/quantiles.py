@@ -1,18 +1,21 @@
-"""Exact quantiles with linear interpolation, by narrowing brackets.
+"""Exact quantiles with linear interpolation, all columns and ranks at once.
 
 The built-in exact percentile keeps every distinct value of a column in one task. It is used only
-up to SMALL_COLUMN values. Above that, each wanted order statistic is bracketed by an approximate
-sketch, the bracket is narrowed with further sketches, and only the last bracket (at most
-SMALL_COLUMN values) is resolved exactly. Every pass is one map-side-combined aggregation.
+up to SMALL_COLUMN values. Above that, one pass of sketches brackets the wanted order statistics of
+all columns, one pass counts around all brackets, and one grouped pass resolves what lies in
+them (at most SMALL_COLUMN values each; larger ones are bracketed again). The number of jobs does
+not depend on the number of columns or ranks.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SMALL_COLUMN = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -31,49 +34,88 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int =
         row = clean.agg(*[F.percentile(c, [float(p) for p in wanted[c]]).alias(c) for c in light]).first()
         for c in light:
             result[c] = dict(zip(wanted[c], row[c]))
+    ranks = {c: sorted({r for p in wanted[c] for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))}) for c in columns if counts[c] > small}
+    found = _order_statistics(clean, ranks, counts, small)
     for c in columns:
         if counts[c] == 0:
             result[c] = {p: None for p in wanted[c]}
-        elif c not in light:
+        elif c in ranks:
             for p in wanted[c]:
                 exact = p * (counts[c] - 1)
-                low = _order_statistic(clean, c, math.floor(exact), small)
-                high = low if exact == math.floor(exact) else _order_statistic(clean, c, math.ceil(exact), small)
+                low, high = found[c, math.floor(exact)], found[c, math.ceil(exact)]
                 result[c][p] = low + (high - low) * (exact - math.floor(exact))
     return result
 
 
-def _order_statistic(df: DataFrame, column: str, rank: int, small: int) -> float:
-    """Value at a zero-based rank."""
-    value = F.col(column)
-    inside = df.where(value.isNotNull())
-    skipped = 0
-    total = inside.count()
-    while True:
-        if total <= small:
-            fraction = 0.0 if total == 1 else (rank - skipped) / (total - 1)
-            return inside.agg(F.percentile(value, fraction)).first()[0]
-        share = (rank - skipped) / total
+class _Bracket(NamedTuple):
+    """Values of a column between two bounds, both left out, that hold some wanted ranks; skipped values come before them."""
+
+    column: str
+    low: float | None
+    high: float | None
+    skipped: int
+    total: int
+    ranks: list[int]
+
+    def cell(self) -> Column:
+        """The value where it lies inside."""
+        value, inside = F.col(self.column), F.col(self.column).isNotNull()
+        if self.low is not None:
+            inside = inside & (value > self.low)
+        if self.high is not None:
+            inside = inside & (value < self.high)
+        return F.when(inside, value)
+
+    def around(self) -> list[float]:
+        """Shares whose sketched values stand on both sides of every wanted rank."""
         margin = 3.0 / SKETCH_ACCURACY
-        low, high = inside.agg(
-            F.percentile_approx(value, [max(0.0, share - margin), min(1.0, share + margin)], SKETCH_ACCURACY)
-        ).first()[0]
-        below, at_low, within, at_high = inside.agg(
-            F.count_if(value < low), F.count_if(value == low), F.count_if((value > low) & (value < high)), F.count_if(value == high)
-        ).first()
-        position = rank - skipped
-        if position < below:
-            inside, total = inside.where(value < low), below
-        elif position < below + at_low:
-            return low
-        elif position < below + at_low + within:
-            inside, total, skipped = inside.where((value > low) & (value < high)), within, skipped + below + at_low
-        elif position < below + at_low + within + (at_high if high != low else 0):
-            return high
-        else:
-            inside = inside.where(value > high)
-            skipped += below + at_low + within + (at_high if high != low else 0)
-            total = inside.count()
+        shares = [(r - self.skipped) / self.total for r in self.ranks]
+        return sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-margin, margin)})
+
+    def split(self, cuts: list[float], below: list[int], at: list[int]) -> tuple[dict[int, float], list[_Bracket]]:
+        """Ranks that are cuts, and the brackets between cuts that hold the others."""
+        found, inner = {}, {}
+        edges = [(self.low, 0), *((c, b + a) for c, b, a in zip(cuts, below, at, strict=True))]
+        for rank in self.ranks:
+            place = rank - self.skipped
+            k = sum(b + a <= place for b, a in zip(below, at, strict=True))
+            if k < len(cuts) and place >= below[k]:
+                found[rank] = cuts[k]
+            else:
+                high, end = (cuts[k], below[k]) if k < len(cuts) else (self.high, self.total)
+                low, start = edges[k]
+                inner.setdefault(k, _Bracket(self.column, low, high, self.skipped + start, end - start, [])).ranks.append(rank)
+        return found, list(inner.values())
+
+
+def _order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], small: int) -> dict[tuple[str, int], float]:
+    """Values at zero-based ranks of several columns."""
+    found: dict[tuple[str, int], float] = {}
+    brackets = [_Bracket(c, None, None, 0, counts[c], r) for c, r in ranks.items()]
+    while large := [b for b in brackets if b.total > small]:
+        rows = df.agg(*[F.percentile_approx(b.cell(), b.around(), SKETCH_ACCURACY).alias(f"c{k}") for k, b in enumerate(large)]).first()
+        cuts = [sorted(set(row)) for row in rows]
+        counted = df.agg(*[
+            F.array(*[n for c in own for n in (F.count_if(b.cell() < c), F.count_if(b.cell() == c))]).alias(f"c{k}") for k, (b, own) in enumerate(zip(large, cuts, strict=True))
+        ]).first()
+        brackets = [b for b in brackets if b.total <= small]
+        for b, own, row in zip(large, cuts, counted, strict=True):
+            known, inner = b.split(own, row[::2], row[1::2])
+            found.update({(b.column, r): v for r, v in known.items()})
+            brackets += inner
+    if brackets:
+        cells = F.array(*[F.struct(F.lit(k).alias("k"), b.cell().alias("v")) for k, b in enumerate(brackets)])
+        held = df.select(F.inline(cells)).where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
+        # at most `small` values a bracket
+        placed = held.withColumn("end", F.sum("n").over(Window.partitionBy("k").orderBy("v")))
+        hit = F.lit(False)
+        for k, b in enumerate(brackets):
+            for r in b.ranks:
+                hit = hit | ((F.col("k") == k) & (F.col("end") > r - b.skipped) & (F.col("end") - F.col("n") <= r - b.skipped))
+        for row in placed.where(hit).collect():
+            b = brackets[row["k"]]
+            found.update({(b.column, r): row["v"] for r in b.ranks if row["end"] - row["n"] <= r - b.skipped < row["end"]})
+    return found
 
 
 def most_frequent(df: DataFrame, column: str):

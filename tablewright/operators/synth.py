@@ -35,6 +35,8 @@ LAST_NAMES = ["Abbott", "Barlow", "Castle", "Dalton", "Easton", "Fowler", "Garne
 STREETS = ["Oak Street", "River Road", "Hill Avenue", "Garden Lane", "Station Road", "Market Square", "Lake Drive", "Mill Way"]
 WORDS = ["alpha", "bravo", "copper", "delta", "ember", "forest", "granite", "harbor", "indigo", "jasper", "kernel", "lumen", "meadow", "nectar"]
 COPULA_STEPS = 4096
+#: Rows of one category and one number each that are sent to all tasks; more are joined by a shuffle.
+CODES_SENT = 100_000
 
 
 def ground_truth(ids: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
@@ -436,8 +438,8 @@ def closest_records(
 ) -> DataFrame:
     """(row_id, dcr): distance of each checked synthetic row to its closest original row.
 
-    Both sides are scaled on the original's bounds and codes. Every synthetic row is checked, by block
-    pairs. With a `sample_size` only so many are: they are broadcast, and every task reduces its
+    Both sides are scaled on the original's bounds and codes. Every synthetic row is checked against the
+    cells of originals that can hold a closer one. With a `sample_size` only so many are: they are broadcast, and every task reduces its
     originals to one minimum per checked row before the shuffle.
     """
     bounds = original.agg(F.count("*"), *[F.struct(F.min(F.coalesce(c, F.lit(0))), F.max(F.coalesce(c, F.lit(0)))).alias(c) for c in numbers]).first()
@@ -445,7 +447,9 @@ def closest_records(
     codes = {}
     for c in texts:
         counts = original.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c)).agg(F.count("*").alias("n"))
-        codes[c] = _text_prefix(counts.withColumn("__n", F.lit(1)), c).select(c, F.col("__before").alias(f"__code_{c}"))
+        table = checkpointed(_text_prefix(counts.withColumn("__n", F.lit(1)), c).select(c, F.col("__before").alias(f"__code_{c}")))
+        # small tables are sent, so that a value most rows hold is not one task
+        codes[c] = F.broadcast(table) if table.count() <= CODES_SENT else table
 
     def scaled(df: DataFrame) -> DataFrame:
         out = df.select(row_id, *numbers, *[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in texts])
