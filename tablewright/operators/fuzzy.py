@@ -60,6 +60,24 @@ def _budget(short: Column, long: Column, ratio: float, scorer: str) -> Column:
     return F.floor(size * (1.0 - ratio) + 1e-9).cast("int")
 
 
+def _left_over(rows: DataFrame, value: str, scorer: str) -> DataFrame:
+    """Keys for lengths at which the budget leaves no whole segment of the shorter text.
+
+    Two texts within the budget keep some characters in common, in order; so what is left of both after deletions, one character
+    or two, is a key of both.
+    """
+    kept = F.col("__long") - F.col("__d") if scorer == "levenshtein" else F.ceil((F.col("__short") + F.col("__long") - F.col("__d")) / 2)
+    letters = F.split(F.col(value), "")
+    size = F.size("__letters")
+    pairs = F.flatten(F.transform(
+        F.sequence(F.lit(1), size - 1),
+        lambda i: F.transform(F.slice("__letters", i + 1, size), lambda b: F.concat(F.element_at("__letters", i), b)),
+    ))
+    keyed = rows.withColumn("__letters", letters).withColumn("__two", (kept >= 2) & (size >= 2))
+    keys = F.array_distinct(F.when(F.col("__two"), pairs).otherwise(F.col("__letters")))
+    return keyed.select(value, "__short", "__long", F.lit(-1).alias("__seg"), F.explode(keys).alias("__text"))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ratio: float, scorer: str, both_ways: bool = True) -> DataFrame:
     """Distinct (a, b) pairs of two value tables that can reach `ratio`; a superset of the true matches, without cross join.
 
@@ -76,8 +94,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ratio: fl
         frame = rows.where(own > 0).withColumn("__other", F.explode(other))
         short, long = (own, F.col("__other")) if value_is_short else (F.col("__other"), own)
         frame = frame.withColumns({"__short": short, "__long": long}).withColumn("__d", _budget(F.col("__short"), F.col("__long"), ratio, scorer))
-        frame = frame.where((F.col("__long") - F.col("__short") <= F.col("__d")) & (F.col("__d") < F.col("__short")))
-        frame = frame.withColumn("__seg", F.explode(F.sequence(F.lit(0), F.col("__d"))))
+        frame = frame.where(F.col("__long") - F.col("__short") <= F.col("__d"))
+        thin = frame.where(F.col("__d") >= F.col("__short"))
+        frame = frame.where(F.col("__d") < F.col("__short")).withColumn("__seg", F.explode(F.sequence(F.lit(0), F.col("__d"))))
         pieces = F.col("__d") + 1
         width = F.floor(F.col("__short") / pieces).cast("int")
         longer_from = pieces - F.col("__short") % pieces
@@ -91,7 +110,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ratio: fl
             last = F.least(F.col("__long") - F.col("__size"), F.col("__start") + F.col("__d"))
             frame = frame.where(first <= last).withColumn("__at", F.explode(F.sequence(first, last)))
         text = F.substring(F.col(value), F.col("__at") + 1, F.col("__size"))
-        return frame.select(value, "__short", "__long", "__seg", text.alias("__text")).distinct()
+        made = frame.select(value, "__short", "__long", "__seg", text.alias("__text"))
+        if ratio <= (0.5 if scorer == "levenshtein" else 2 / 3):  # above, the budget is always below the length of the shorter text
+            made = made.unionByName(_left_over(thin, value, scorer))
+        return made.distinct()
 
     keys = ["__short", "__long", "__seg", "__text"]
     one = cut(left, a, True).join(cut(right, b, False), keys).select(a, b)

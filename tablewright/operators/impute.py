@@ -13,16 +13,18 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewright.functions.dates import standardize_date
-from tablewright.functions.hashing import unit
+from tablewright.functions.hashing import RANGE, draw, unit
 from tablewright.operators.frames import TEMPORAL, cell_shares, field, is_integer, numeric_columns, string_columns
 from tablewright.operators.neighbours import BLOCK_ROWS, CELL_ROWS, cell_search
 from tablewright.operators.ordered import BUCKET, global_position, nearest_known, with_buckets
-from tablewright.operators.profile import column_counts
+from tablewright.operators.profile import column_counts, distinct_counts
 from tablewright.operators.quantiles import exact_quantiles, modes, most_frequent
-from tablewright.session import checkpointed
+from tablewright.session import checkpointed, partitions_hint
+
+#: Text predictors of more values than this enter models by target statistics, not by codes: split finding keeps a bin a code.
+CODED_CATEGORIES = 50
 
 # Limits of the imputing rules, and names never used as predictors.
-MAX_CATEGORIES = 50
 EXCLUDED_PREDICTORS = ["ID", "Name", "Email", "Phone", "Join_Date", "Date", "identifier"]
 DATE_NAME_PARTS = ["date", "timestamp", "time", "datetime"]
 GROUP_VARIANCE_LIMIT = 0.1
@@ -189,20 +191,53 @@ def expand_date_text(df: DataFrame, row_id: str, threshold: float = 0.7) -> Data
     return df
 
 
-def _model_features(df: DataFrame, target: str, skip: list[str]) -> tuple[list[str], list[str]]:
+def _model_features(df: DataFrame, target: str, skip: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Numeric predictors, text predictors with few values, and those with many."""
     usable = [c for c in df.columns if c != target and c not in skip and c not in EXCLUDED_PREDICTORS]
     numbers = [c for c in usable if isinstance(field(df, c), T.NumericType)]
     texts = [c for c in usable if isinstance(field(df, c), T.StringType)]
-    if texts:
-        counts = column_counts(df, texts)
-        texts = [c for c in texts if counts[c]["distinct"] <= MAX_CATEGORIES]
-    return numbers, texts
+    distinct = distinct_counts(df, texts)
+    return numbers, [c for c in texts if distinct[c] <= CODED_CATEGORIES], [c for c in texts if distinct[c] > CODED_CATEGORIES]
+
+
+def target_statistics(df: DataFrame, texts: list[str], value: Column, known: Column, row_id: str, seed: int = 42, weight: float = 1.0) -> DataFrame:
+    """Add `__t_<column>` for text columns of any number of values: the mean of `value` over the rows with the same text.
+
+    Ordered statistics: a row whose value is known sees only the known rows of its text that come before it in a keyed random order,
+    so a model trained on them does not read its own target; other rows see all known rows of their text. The overall mean
+    counts as `weight` more rows. NULL is a text of its own. A text that most rows hold is dealt to ranges of the order.
+    """
+    if not texts:
+        return df
+    rows = checkpointed(df.withColumns({"__value": F.when(known, value.cast("double")), "__at": draw(F.col(row_id), seed)}))
+    mean = rows.agg(F.avg("__value")).first()[0] or 0.0
+    parts = partitions_hint(df.sparkSession)
+    # keyed draws are even, so equal ranges of them hold equal shares of the rows of any text
+    ranged = rows.withColumn("__range", F.least(F.floor(F.col("__at") / F.lit(RANGE / parts)), F.lit(parts - 1)).cast("int"))
+    out = ranged
+    for c in texts:
+        sums = ranged.groupBy(c, "__range").agg(F.sum("__value").alias("__s"), F.count("__value").alias("__n"))
+        across = Window.partitionBy(c).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(c)
+        carried = sums.select(
+            F.col(c).alias("__key"), F.col("__range").alias("__of"),
+            F.coalesce(F.sum("__s").over(across), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__n").over(across), F.lit(0)).alias("__n0"),
+            F.sum("__s").over(whole).alias("__s1"), F.sum("__n").over(whole).alias("__n1"))
+        inside = Window.partitionBy(c, "__range").orderBy("__at", row_id).rowsBetween(Window.unboundedPreceding, -1)
+        local = out.withColumns({"__sl": F.coalesce(F.sum("__value").over(inside), F.lit(0.0)), "__nl": F.count("__value").over(inside)})
+        joined = local.join(carried, F.col(c).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
+        own = F.col("__value").isNotNull()
+        total = F.when(own, F.col("__s0") + F.col("__sl")).otherwise(F.coalesce("__s1", F.lit(0.0)))
+        count = F.when(own, F.col("__n0") + F.col("__nl")).otherwise(F.col("__n1"))
+        out = joined.withColumn(f"__t_{c}", (total + weight * mean) / (count + weight)).drop("__key", "__of", "__s0", "__n0", "__s1", "__n1", "__sl", "__nl")
+    return checkpointed(out.drop("__value", "__at", "__range"))
 
 
 def fill_by_model(df: DataFrame, target: str, row_id: str, iterations: int = 20, depth: int = 5, seed: int = 42, train_rows: int | None = None) -> DataFrame:
     """Group rule first, then boosted trees (numbers) or a random forest (text) trained on the known rows.
 
-    The model is applied to the rows with a gap only. `train_rows` bounds the training rows of the
+    Text predictors of many values enter by ordered target statistics (for a text target, of the share of its most frequent
+    value's rows). The model is applied to the rows with a gap only. `train_rows` bounds the training rows of the
     classifier (text) by a keyed draw; without it, and for numbers always, all known rows train.
     """
     df = fill_by_group(df, target, skip=[row_id])
@@ -212,9 +247,13 @@ def fill_by_model(df: DataFrame, target: str, row_id: str, iterations: int = 20,
     known_rows, gap_rows = df.agg(F.count_if(~missing), F.count_if(missing)).first()
     if gap_rows == 0:
         return df
-    numbers, texts = _model_features(df, target, [row_id])
-    if not numbers and not texts or known_rows == 0 or isinstance(kind, TEMPORAL):
+    numbers, texts, wide = _model_features(df, target, [row_id])
+    if not numbers and not texts and not wide or known_rows == 0 or isinstance(kind, TEMPORAL):
         return fill_simple(df, [target], "mean")
+    columns = df.columns
+    if wide:
+        top = None if numeric else most_frequent(df, target)
+        df = target_statistics(df, wide, _finite(target) if numeric else (F.col(target) == F.lit(top)).cast("double"), ~missing, row_id, seed)
 
     def clean(frame: DataFrame) -> DataFrame:
         return frame.withColumns({f"__f_{c}": F.coalesce(_finite(c), F.lit(0.0)) for c in numbers})
@@ -223,7 +262,7 @@ def fill_by_model(df: DataFrame, target: str, row_id: str, iterations: int = 20,
     if train_rows and not numeric and known_rows > train_rows:
         train = train.where(unit(F.col(row_id), seed) < train_rows / known_rows)
     indexers = [StringIndexer(inputCol=c, outputCol=f"__f_{c}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df.where(F.col(c).isNotNull())) for c in texts]
-    assembler = VectorAssembler(inputCols=[f"__f_{c}" for c in (*numbers, *texts)], outputCol="__x", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=[*[f"__f_{c}" for c in (*numbers, *texts)], *[f"__t_{c}" for c in wide]], outputCol="__x", handleInvalid="keep")
 
     def prepare(frame: DataFrame) -> DataFrame:
         frame = clean(frame)
@@ -240,12 +279,12 @@ def fill_by_model(df: DataFrame, target: str, row_id: str, iterations: int = 20,
     else:
         labels = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
         if len(labels.labels) < 2:
-            return fill_simple(df, [target])
+            return fill_simple(df.select(*columns), [target])
         forest = RandomForestClassifier(featuresCol="__x", labelCol="__y", predictionCol="__p", numTrees=40, maxDepth=8, maxBins=64, seed=seed)
         model = forest.fit(labels.transform(prepare(train)))
         filled = IndexToString(inputCol="__p", outputCol="__v", labels=labels.labels).transform(model.transform(prepare(df.where(missing))))
         value = F.col("__v")
-    return df.where(~missing).unionByName(filled.withColumn(target, value).select(*df.columns))
+    return df.where(~missing).select(*columns).unionByName(filled.withColumn(target, value).select(*columns))
 
 
 def encode_ordinal(df: DataFrame, texts: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:

@@ -586,8 +586,11 @@ def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFr
     return df.join(weights, label, "left")
 
 
-def feature_ranges(df: DataFrame, numeric: list[str], categorical: list[str], limit: int = 50) -> DataFrame:
-    """min / max / median of numerics and up to `limit` options of categoricals, as input-form hints."""
+def feature_ranges(df: DataFrame, numeric: list[str], categorical: list[str], limit: int | None = 50) -> DataFrame:
+    """min / max / median of numerics and the first `limit` options of categoricals (all without a limit), as input-form hints.
+
+    more_options says how many options a limit has left out.
+    """
     cuts = exact_quantiles(df, {c: [0.5] for c in numeric})
     ranges = melt(df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in numeric]), [(c, {
         "kind": F.lit("numerical"),
@@ -595,13 +598,17 @@ def feature_ranges(df: DataFrame, numeric: list[str], categorical: list[str], li
         "max": F.coalesce(F.col(f"{c}.hi").cast("double"), F.lit(100.0)),
         "median": F.lit(cuts[c][0.5] if cuts[c][0.5] is not None else 0.0),
         "options": F.lit(None).cast("string"),
+        "more_options": F.lit(0).cast("bigint"),
     }) for c in numeric])
+    distinct = distinct_counts(df, categorical)
     for c in categorical:
-        values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().orderBy("v").limit(limit)
-        options = values.agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("options"))  # at most `limit` values
+        values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().orderBy("v")
+        values = values if limit is None else values.limit(limit)
+        options = values.agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("options"))  # the options a form shows
+        left_out = 0 if limit is None else max(0, distinct[c] - limit)
         ranges = ranges.unionByName(options.select(
             F.lit(c).alias("column"), F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("min"),
-            F.lit(None).cast("double").alias("max"), F.lit(None).cast("double").alias("median"), "options"))
+            F.lit(None).cast("double").alias("max"), F.lit(None).cast("double").alias("median"), "options", F.lit(left_out).cast("bigint").alias("more_options")))
     return ranges
 
 

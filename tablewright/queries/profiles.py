@@ -228,9 +228,9 @@ def _(spark, sf):
     return rounded(profile.class_weights(read(spark, sf, "labels"), "quality"))
 
 
-@query("c23_feature_ranges", """SELECT 'o_totalprice' AS "column", 'numerical' AS kind, min(o_totalprice) AS min, max(o_totalprice) AS max, quantile_cont(o_totalprice, 0.5) AS median, NULL AS options FROM orders
-UNION ALL SELECT 'o_orderstatus', 'categorical', NULL, NULL, NULL, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT o_orderstatus AS v FROM orders ORDER BY v LIMIT 50))
-UNION ALL SELECT 'o_orderpriority', 'categorical', NULL, NULL, NULL, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT o_orderpriority AS v FROM orders ORDER BY v LIMIT 50))""")
+@query("c23_feature_ranges", """SELECT 'o_totalprice' AS "column", 'numerical' AS kind, min(o_totalprice) AS min, max(o_totalprice) AS max, quantile_cont(o_totalprice, 0.5) AS median, NULL AS options, 0 AS more_options FROM orders
+UNION ALL SELECT 'o_orderstatus', 'categorical', NULL, NULL, NULL, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT o_orderstatus AS v FROM orders ORDER BY v LIMIT 50)), (SELECT greatest(count(DISTINCT o_orderstatus) - 50, 0) FROM orders)
+UNION ALL SELECT 'o_orderpriority', 'categorical', NULL, NULL, NULL, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT o_orderpriority AS v FROM orders ORDER BY v LIMIT 50)), (SELECT greatest(count(DISTINCT o_orderpriority) - 50, 0) FROM orders)""")
 def _(spark, sf):
     return profile.feature_ranges(read(spark, sf, "orders"), ["o_totalprice"], ["o_orderstatus", "o_orderpriority"])
 

@@ -17,6 +17,16 @@ def event_stream(spark: SparkSession, sf: str, name: str = "events") -> DataFram
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def closed_stream(spark: SparkSession, sf: str, seconds: int) -> DataFrame:
+    """The events with a heartbeat behind the last one, so that the watermark passes all of them and every window ends."""
+    events = read(spark, sf, "events")
+    last = events.agg(F.max("ts")).first()[0]
+    target = scratch(spark, f"heartbeat-{uuid4().hex[:8]}")
+    beat = F.lit(last).cast("timestamp") + F.make_dt_interval(F.lit(1), F.lit(0), F.lit(0), F.lit(seconds))
+    spark.range(1).select(*[(beat if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(target)
+    return event_stream(spark, sf).unionByName(spark.readStream.schema(events.schema).parquet(target))
+
+
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain the source into a Parquet table with a checkpoint and read it back."""
     spark = stream.sparkSession
@@ -58,9 +68,15 @@ def run_stateful(stream: DataFrame) -> DataFrame:
         spark.conf.set(setting, before)
 
 
-@query("m1_rate_gate")
+_RECENT = "list_filter(s.h, lambda x: o.t - x < 3600000000)"
+
+
+@query("m1_rate_gate", f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+s AS (SELECT user_id, event_id, rn, true AS accepted, [t] AS h FROM o WHERE rn = 1
+UNION ALL SELECT o.user_id, o.event_id, o.rn, len({_RECENT}) < 3, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, o.t) ELSE {_RECENT} END FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1)
+SELECT user_id, event_id, accepted FROM s""")
 def _(spark, sf):
-    return run_stateful(streaming.rate_gate(event_stream(spark, sf), limit=3, seconds=3600))
+    return run_stateful(streaming.rate_gate(closed_stream(spark, sf, 3600), limit=3, seconds=3600))
 
 
 # a miss starts an hour of hits: each next miss of a key is its first event an hour or more after the last one
@@ -68,14 +84,14 @@ def _(spark, sf):
 UNION ALL SELECT m.user_id, m.event_type, (SELECT min(ts) FROM events e WHERE e.user_id = m.user_id AND e.event_type = m.event_type AND e.ts >= m.at + INTERVAL 1 HOUR) FROM m WHERE m.at IS NOT NULL)
 SELECT e.user_id, e.event_type, e.event_id, m.at IS NOT NULL AS miss FROM events e LEFT JOIN m ON m.user_id = e.user_id AND m.event_type = e.event_type AND m.at = e.ts""")
 def _(spark, sf):
-    return run_stateful(streaming.cache_gate(event_stream(spark, sf), ["user_id", "event_type"]))
+    return run_stateful(streaming.cache_gate(closed_stream(spark, sf, 3600), ["user_id", "event_type"]))
 
 
 @query("m2_cache_misses", """WITH RECURSIVE m AS (SELECT user_id, event_type, min(ts) AS at FROM events GROUP BY ALL
 UNION ALL SELECT m.user_id, m.event_type, (SELECT min(ts) FROM events e WHERE e.user_id = m.user_id AND e.event_type = m.event_type AND e.ts >= m.at + INTERVAL 1 HOUR) FROM m WHERE m.at IS NOT NULL)
 SELECT e.user_id, e.event_type, e.event_id FROM events e JOIN m ON m.user_id = e.user_id AND m.event_type = e.event_type AND m.at = e.ts""")
 def _(spark, sf):
-    return run_stateful(streaming.cache_misses(event_stream(spark, sf), ["user_id", "event_type"]))
+    return run_stateful(streaming.cache_misses(closed_stream(spark, sf, 3600), ["user_id", "event_type"]))
 
 
 @query("m3_daily_activity", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
@@ -97,3 +113,24 @@ def _(spark, sf):
     stream = event_stream(spark, sf).select("event_id", "user_id", "event_type", "value")
     stream.writeStream.foreachBatch(streaming.quality_appender(target)).option("checkpointLocation", target + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target)
+
+
+def arriving(spark: SparkSession, sf: str, batches: int) -> DataFrame:
+    """The events as a stream of several batches."""
+    target = scratch(spark, f"arriving-{uuid4().hex[:8]}")
+    rows = read(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    # a file each by event id: every batch has some of all times
+    rows.repartition(batches, F.pmod("event_id", F.lit(batches))).write.parquet(target)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(target)
+
+
+@query("m4_rolling_profile", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, {f'count({c})' if c != 'event_type' else '0'} AS n, """
+    + ", ".join(f"round({f}({c}), 4) AS {n}" if c != "event_type" else f"CAST(NULL AS DOUBLE) AS {n}" for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "low"), ("max", "high")))
+    + " FROM events" for c in ("event_id", "user_id", "event_type", "value")))
+def _(spark, sf):
+    target = scratch(spark, f"rolling-{uuid4().hex[:8]}")
+    arriving(spark, sf, 4).writeStream.foreachBatch(streaming.profile_appender(target)).option("checkpointLocation", target + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rolling = streaming.rolling_profile(spark.read.parquet(target))
+    last = rolling.join(rolling.agg(F.max("batch_id").alias("batch_id")), "batch_id")  # what all batches together say
+    return last.select("column", "rows", "n", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("mean", "std", "low", "high")])
