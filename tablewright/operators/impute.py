@@ -21,6 +21,8 @@ from tablewright.operators.profile import column_counts, distinct_counts
 from tablewright.operators.quantiles import exact_quantiles, modes, most_frequent
 from tablewright.session import checkpointed, partitions_hint
 
+#: Numbers of all patterns' matrices together that the driver holds, 16 MB a round; tables of more patterns are filled in passes.
+PATTERN_NUMBERS = 2_000_000
 #: Text predictors of more values than this enter models by target statistics, not by codes: split finding keeps a bin a code.
 CODED_CATEGORIES = 50
 
@@ -372,18 +374,49 @@ def _restore(coded: DataFrame, original: DataFrame, numbers: list[str], labels:
 
 
 def fill_iterative(df: DataFrame, row_id: str, rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
-    """Chained linear equations: each incomplete column is regressed on all others, round by round.
+    """Chained linear equations: each incomplete column is regressed on all others, round by round, until cells move less than
+    `tolerance` of the largest value.
 
-    One round is one moment aggregation per incomplete column (the normal equations are k × k, solved
-    on the driver) and a narrow projection; lineage is cut by a written table per round.
+    A filled cell is a linear function of its row's known cells, the same for all rows that lack the same columns. So one pass sums
+    the products of all columns for each pattern of missing cells, and all rounds run on these small matrices: after a
+    column's regression, the matrices of the patterns that lack it change in place. A second pass measures how far each round moved
+    any cell, a third one fills. The number of jobs depends neither on columns nor on rounds, as long as the patterns are not very many.
     """
     numbers, texts = numeric_columns(df, [row_id]), string_columns(df, [row_id])
     columns = [*numbers, *texts]
     coded, labels = encode_ordinal(df, texts)
-    counts = column_counts(coded, columns)
-    incomplete = sorted([c for c in columns if counts[c]["nulls"]], key=lambda c: counts[c]["nulls"])
+    stats = coded.agg(*[F.struct(
+        F.count_if(_finite(c).isNull()).alias("gaps"), F.avg(_finite(c)).alias("mean"), F.stddev_pop(_finite(c)).alias("spread"), F.max(F.abs(_finite(c))).alias("top")).alias(f"s{k}") for k, c in enumerate(columns)
+    ]).first()
+    incomplete = sorted([k for k in range(len(columns)) if stats[k]["gaps"]], key=lambda k: stats[k]["gaps"])
     if not incomplete:
         return df
+    middle = np.array([s["mean"] or 0.0 for s in stats])
+    spread = np.array([s["spread"] or 1.0 for s in stats])
+    scale = max([s["top"] or 0.0 for s in stats]) or 1.0
+    # columns around their means in units of their spread, a gap is 0; the constant comes first
+    units = [F.lit(1.0), *[F.coalesce((_finite(c) - F.lit(float(m))) / F.lit(float(s)), F.lit(0.0)) for c, m, s in zip(columns, middle, spread, strict=True)]]
+    pattern = F.concat(*[F.when(_finite(c).isNull(), "0").otherwise("1") for c in columns])
+    work = checkpointed(coded.withColumns({"__pattern": pattern, "__z": F.array(*units)}))
+    if work.select("__pattern").distinct().count() * (len(columns) + 1) ** 2 > PATTERN_NUMBERS:
+        filled = _in_passes(coded, columns, [columns[k] for k in incomplete], rounds, tolerance)
+        return _restore(filled, df, numbers, labels, {c: F.col(f"__w_{c}") for c in columns})
+    patterns, products = _products(work, len(columns) + 1)
+    maps = _chained(patterns, products, middle, spread, incomplete, rounds)
+    last = next((r for r, moved in enumerate(_moves(work, patterns, maps, spread)) if moved < tolerance * scale), len(maps) - 1)
+    # one row a pattern
+    table = [(p, *[[float(x) for x in maps[last][i][k + 1]] for k in incomplete]) for i, p in enumerate(patterns)]
+    weights = df.sparkSession.createDataFrame(table, "__pattern string, " + ", ".join(f"__k_{k} array<double>" for k in incomplete))
+    joined = work.join(F.broadcast(weights), "__pattern")
+    estimate = {c: F.lit(0.0) for c in columns}
+    for k in incomplete:
+        dot = F.aggregate(F.zip_with(f"__k_{k}", "__z", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+        estimate[columns[k]] = dot * float(spread[k]) + float(middle[k])
+    return _restore(joined, df, numbers, labels, estimate)
+
+
+def _in_passes(coded: DataFrame, columns: list[str], incomplete: list[str], rounds: int, tolerance: float) -> DataFrame:
+    """The same rounds as passes over the rows, `__w_<column>` beside each column: for tables of very many patterns."""
     means = coded.agg(*[F.avg(_finite(c)).alias(c) for c in columns]).first().asDict()
     work = coded.select("*", *[F.coalesce(_finite(c), F.lit(float(means[c] or 0.0))).alias(f"__w_{c}") for c in columns])
     scale = work.agg(F.max(F.greatest(*[F.abs(f"__w_{c}") for c in columns], F.lit(0.0)))).first()[0] or 1.0
@@ -391,7 +424,7 @@ def fill_iterative(df: DataFrame, row_id: str, rounds: int = 10, tolerance: floa
         before = {c: f"__b_{c}" for c in incomplete}
         work = work.withColumns({before[c]: F.col(f"__w_{c}") for c in incomplete})
         for target in incomplete:
-            weights = _ridge(work.where(_finite(target).isNotNull()), f"__w_{target}", [f"__w_{c}" for c in columns if c != target])
+            weights = _ridge_of(work.where(_finite(target).isNotNull()), f"__w_{target}", [f"__w_{c}" for c in columns if c != target])
             estimate = F.lit(weights[0])
             for c, w in zip([c for c in columns if c != target], weights[1:]):
                 estimate = estimate + F.col(f"__w_{c}") * w
@@ -401,10 +434,10 @@ def fill_iterative(df: DataFrame, row_id: str, rounds: int = 10, tolerance: floa
         work = work.drop(*before.values())
         if moved is None or moved < tolerance * scale:
             break
-    return _restore(work, df, numbers, labels, {c: F.col(f"__w_{c}") for c in columns})
+    return work
 
 
-def _ridge(df: DataFrame, target: str, features: list[str]) -> list[float]:
+def _ridge_of(df: DataFrame, target: str, features: list[str]) -> list[float]:
     """Intercept and weights of a lightly regularised least-squares fit from one aggregation of moments."""
     names = [*features, target]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
@@ -418,6 +451,81 @@ def _ridge(df: DataFrame, target: str, features: list[str]) -> list[float]:
     return [float(mean[-1] - weights @ mean[:-1]), *[float(w) for w in weights]]
 
 
+def _products(work: DataFrame, width: int) -> tuple[list[str], np.ndarray]:
+    """Patterns of known columns, and for each the sums of products of all columns of its rows: from one pass, a matrix a task and pattern."""
+    upper = np.triu_indices(width)
+
+    def add(frames):
+        sums: dict[str, np.ndarray] = {}
+        for frame in frames:
+            z = np.vstack(frame["__z"].to_list()) if len(frame) else np.zeros((0, width))
+            for name, rows in frame.groupby("__pattern").indices.items():
+                sums[name] = sums.get(name, 0) + z[rows].T @ z[rows]
+        if sums:
+            yield pd.concat([pd.DataFrame({"pattern": p, "place": np.arange(len(upper[0])), "total": m[upper]}) for p, m in sums.items()])
+
+    rows = work.select("__pattern", "__z").mapInPandas(add, "pattern string, place int, total double").groupBy("pattern", "place").agg(F.sum("total").alias("total")).toPandas()
+    patterns = sorted(set(rows["pattern"]))
+    made = np.zeros((len(patterns), width, width))
+    at = rows["pattern"].map({p: i for i, p in enumerate(patterns)}).to_numpy()
+    i, j = upper[0][rows["place"]], upper[1][rows["place"]]
+    made[at, i, j] = made[at, j, i] = rows["total"]
+    return patterns, made
+
+
+def _chained(patterns: list[str], products: np.ndarray, middle: np.ndarray, spread: np.ndarray, incomplete: list[int], rounds: int) -> list[np.ndarray]:
+    """After each round, for each pattern: the matrix that makes the filled row from the row with zeros in its gaps."""
+    maps, made = np.repeat(np.eye(products.shape[1])[None], len(patterns), 0), []
+    for _ in range(rounds):
+        for k in incomplete:
+            knows = np.array([p[k] == "1" for p in patterns])
+            row = _ridge(products[knows].sum(0), k, spread)
+            step = np.eye(products.shape[1])
+            step[k + 1] = row
+            for i in np.flatnonzero(~knows):
+                maps[i] = step @ maps[i]
+                products[i] = step @ products[i] @ step.T
+        made.append(maps.copy())
+    return made
+
+
+def _ridge(products: np.ndarray, target: int, spread: np.ndarray) -> np.ndarray:
+    """Weights of all columns, the constant first, of a lightly regularised least-squares fit; the target's own weight is 0."""
+    row, n = np.zeros(len(products)), products[0, 0]
+    others = [k for k in range(len(spread)) if k != target]
+    if n == 0:
+        return row
+    mean = products[0, 1:] / n
+    cov = (products[1:, 1:] / n - np.outer(mean, mean)) * np.outer(spread, spread)
+    left = cov[np.ix_(others, others)]
+    left = left + np.eye(len(others)) * 1e-6 * max(1.0, float(np.trace(left)) / max(1, len(others)))
+    weights = np.linalg.solve(left, cov[others, target]) * spread[others] / spread[target] if others else np.array([])
+    row[[k + 1 for k in others]] = weights
+    row[0] = mean[target] - weights @ mean[others]
+    return row
+
+
+def _moves(work: DataFrame, patterns: list[str], maps: list[np.ndarray], spread: np.ndarray) -> list[float]:
+    """How far each round moved any cell, for all rounds from one pass."""
+    width = len(spread) + 1
+    before = np.repeat(np.eye(width)[None], len(patterns), 0)
+    changes = {p: np.stack([(m[i] - b[i])[1:] * spread[:, None] for m, b in zip(maps, [before, *maps[:-1]], strict=True)]) for i, p in enumerate(patterns)}
+
+    def measure(frames):
+        top = np.zeros(len(maps))
+        for frame in frames:
+            z = np.vstack(frame["__z"].to_list()) if len(frame) else np.zeros((0, width))
+            for name, rows in frame.groupby("__pattern").indices.items():
+                if "0" in name:
+                    for r, change in enumerate(changes[name]):
+                        top[r] = max(top[r], np.abs(z[rows] @ change.T).max())
+        yield pd.DataFrame({"round": np.arange(len(maps)), "moved": top})
+
+    rows = work.select("__pattern", "__z").mapInPandas(measure, "round int, moved double").groupBy("round").agg(F.max("moved").alias("moved")).collect()
+    found = {r["round"]: r["moved"] for r in rows}
+    return [found.get(r, 0.0) for r in range(len(maps))]
+
+
 def advanced_impute(df: DataFrame, row_id: str, method: str = "auto") -> DataFrame:
     """Fill every gap: empty columns with 0 / Unknown, temporal columns by order, the rest by the chosen method."""
     counts = column_counts(df, [c for c in df.columns if c != row_id])

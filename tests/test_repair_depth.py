@@ -81,3 +81,30 @@ def test_options_left_out_are_counted(spark):
     cut, whole = (profile.feature_ranges(df, ["x"], ["c"], limit).where("kind = 'categorical'").first() for limit in (50, None))
     assert (len(cut["options"].split("|")), cut["more_options"]) == (50, 20)
     assert (len(whole["options"].split("|")), whole["more_options"]) == (70, 0)
+
+
+def chained_table(spark, rows=1500):
+    draw = random.Random(1)
+    made = []
+    for i in range(rows):
+        a = draw.gauss(50, 10)
+        b, k = 2 * a + draw.gauss(0, 3), "xyz"[int(a) % 3]
+        c = 1e5 + a * 100 - b * 30 + draw.gauss(0, 50)
+        gap = lambda v, p: None if draw.random() < p else v
+        made.append((i, gap(round(a, 2), 0.1), gap(round(b, 2), 0.2), gap(round(c, 1), 0.15), gap(k, 0.1), draw.random()))
+    return spark.createDataFrame(made, "row_id long, a double, b double, c double, k string, e double").repartition(4)
+
+
+def test_chained_fills_on_matrices_equal_passes_over_rows(spark, monkeypatch):
+    df = chained_table(spark)
+    group = f"chained {random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    by_matrices = sorted(map(tuple, impute.fill_iterative(df, "row_id", rounds=6, tolerance=0.0).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup(group + " fewer", group)
+    impute.fill_iterative(df, "row_id", rounds=2, tolerance=0.0).collect()
+    assert jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup(group + " fewer"))
+    spark.sparkContext.setJobGroup("other", "other")
+    monkeypatch.setattr(impute, "PATTERN_NUMBERS", 0)
+    assert by_matrices == sorted(map(tuple, impute.fill_iterative(df, "row_id", rounds=6, tolerance=0.0).collect()))
+    assert not any(None in r for r in by_matrices)
