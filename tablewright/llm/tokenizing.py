@@ -38,9 +38,18 @@ class _Parts(dict):
         self.encoder, self.older = encoder, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if not word or not _IS_SAFE[word[0]] and (word[0] != 0x0A or len(word) == 1 or not _IS_SAFE[word[1]]):
-            raise _Joined
-        ids = self.older.get(word) or self.encoder.part(word)
+        ids = self.older.get(word)
+        if ids is None:
+            encoder = self.encoder
+            # bytes are letters to isalpha() in ASCII only
+            if word.isalpha() and encoder.ascii:
+                ids = array("I", [t.id for t in encoder.tokenize(encoder.blank + encoder.ascii(word.decode()))]).tobytes()
+            elif word[-1:] in (b".", b",") and word[:-1].isalpha() and encoder.ascii:
+                return self[word[:-1]] + encoder.stop_ids(word[-1:].decode())  # the word alone is remembered
+            elif not word or not _IS_SAFE[word[0]] and (word[0] != 0x0A or len(word) == 1 or not _IS_SAFE[word[1]]):
+                raise _Joined
+            else:
+                ids = encoder.part(word)
         if len(word) <= 64:
             if len(self) >= self.encoder.remembered:
                 self.older = dict(self)
@@ -50,9 +59,9 @@ class _Parts(dict):
 
 
 class Encoder:
-    """remembered: parts of each half, some 200 bytes each, so 64 MB for both halves."""
+    """remembered: parts of each half, some 200 bytes each, so 96 MB for both halves."""
 
-    def __init__(self, path: str, remembered: int = 160_000) -> None:
+    def __init__(self, path: str, remembered: int = 240_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,6 +69,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.remembered, self.known, self.stops = remembered, _Parts(self), {}
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.tokenize = self.model.tokenize
         self.letters = _alphabet()
         pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(" ab.,"))]
         #: What stands for the blank before a word's letters; None if the pieces of such a part are not the letters and the stops.
@@ -69,7 +79,7 @@ class Encoder:
         self.line = {("ab", "Ċ", "cd"): self.whole(b"\n"), ("ab", "cd"): b""}.get(tuple(lines))
         ascii_letters = string.ascii_letters
         #: How ASCII letters come out of the normalizer: as they are, in lower case, or otherwise (None).
-        self.ascii = {ascii_letters: str, ascii_letters.lower(): str.lower}.get(self._normal(ascii_letters))
+        self.ascii = {ascii_letters: str, ascii_letters.lower(): str.lower}.get(self._normal(ascii_letters)) if self.blank is not None else None
 
     def _normal(self, text: str) -> str:
         return self.normalizer.normalize_str(text) if self.normalizer else text
@@ -92,18 +102,21 @@ class Encoder:
         if after_line and not self.blank:
             return self.line + self.known[text.encode()]
         if len(core) < len(text):
-            stops = text[len(core) :]
-            if stops not in self.stops:
-                if len(self.stops) > 1000:
-                    self.stops.clear()
-                self.stops[stops] = self._ids(stops)
-            return self.known[(b"\n" if after_line else b"") + core.encode()] + self.stops[stops]
+            return self.known[(b"\n" if after_line else b"") + core.encode()] + self.stop_ids(text[len(core) :])
         if not plain:
             core = core.encode().decode("latin-1").translate(self.letters)
         return self.line + self._ids(core) if after_line else self._ids(self.blank + core)
 
+    def stop_ids(self, stops: str) -> bytes:
+        """Ids of a run of stops and commas behind letters."""
+        if stops not in self.stops:
+            if len(self.stops) > 1000:
+                self.stops.clear()
+            self.stops[stops] = self._ids(stops)
+        return self.stops[stops]
+
     def _ids(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
