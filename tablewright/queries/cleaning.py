@@ -129,12 +129,16 @@ def sql_parse(source: str, column: str, blend: str = "(lo + hi) / 2.0", strict:
     body = "t" if strict else f"CASE WHEN regexp_extract(t, '{numbers.ACCOUNTING}', 1) <> '' THEN regexp_extract(t, '{numbers.ACCOUNTING}', 1) ELSE t END"
     negate = "false" if strict else f"regexp_extract(t, '{numbers.ACCOUNTING}', 1) <> ''"
     vocabulary = numbers.VOCABULARY if strict else numbers.SIGNED_VOCABULARY
-    extra = "" if strict else f" OR (regexp_matches(rest, '(?i)^[kmb]{{2}}$') AND regexp_matches(b, '{numbers.RANGE}'))"
+    extra = "" if strict else f" OR (regexp_matches(rest, '(?i)^[kmb]{{2}}$') AND lt <> '')"
+    signs, blanks = numbers.CURRENCY + numbers.BLANKS, numbers.BLANKS
     return f"""p0 AS (SELECT row_id, trim(translate({column}, '{numbers.ARABIC_DIGITS}', '{numbers.WESTERN_DIGITS}')) AS t FROM {source}),
 p1 AS (SELECT row_id, {body} AS b, {negate} AS neg FROM p0),
-p2 AS (SELECT *, regexp_replace(b, '{vocabulary}', '', 'g') AS rest, regexp_extract(b, '{numbers.RANGE}', 1) AS lt, regexp_extract(b, '{numbers.RANGE}', 2) AS ht FROM p1),
+s0 AS (SELECT *, replace(lower(b), 'to', '-') AS even FROM p1),
+s1 AS (SELECT *, rtrim(ltrim(split_part(even, '-', 1), '{signs}'), '{blanks}') AS l, CASE WHEN contains(even, '-') THEN regexp_extract(ltrim(substr(even, instr(even, '-') + 1), '{signs}'), '^[0-9.,]+[{numbers.MAGNITUDES}]?') ELSE '' END AS h FROM s0),
+s2 AS (SELECT *, h <> '' AND rtrim(l, '{numbers.MAGNITUDES}') <> '' AND translate(rtrim(l, '{numbers.MAGNITUDES}'), '0123456789.,', '') = '' AND length(l) - length(rtrim(l, '{numbers.MAGNITUDES}')) <= 1 AS two FROM s1),
+p2 AS (SELECT *, regexp_replace(b, '{vocabulary}', '', 'g') AS rest, CASE WHEN two THEN l ELSE '' END AS lt, CASE WHEN two THEN h ELSE '' END AS ht FROM s2),
 p3 AS (SELECT *, {_sql_plain('lt')} AS lo, {_sql_plain('ht')} AS hi, {_sql_plain('b')} AS one FROM p2),
-p4 AS (SELECT *, CASE WHEN regexp_matches(b, '{numbers.SCIENTIFIC}') THEN try_cast(b AS DOUBLE) WHEN regexp_matches(b, '{numbers.RANGE}') AND lo IS NOT NULL AND hi IS NOT NULL THEN {blend} ELSE one END AS v FROM p3),
+p4 AS (SELECT *, CASE WHEN regexp_matches(b, '{numbers.SCIENTIFIC}') THEN try_cast(b AS DOUBLE) WHEN lt <> '' AND lo IS NOT NULL AND hi IS NOT NULL THEN {blend} ELSE one END AS v FROM p3),
 parsed AS (SELECT row_id, CASE WHEN b <> '' AND (rest = '' OR regexp_matches(rest, '(?i)^[kmbe]$'){extra}) THEN CASE WHEN neg THEN -abs(v) ELSE v END END AS number FROM p4)"""
 
 

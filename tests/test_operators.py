@@ -19,6 +19,7 @@ def test_parse_numbers_documented_forms(spark):
     cases = {
         "$1,234.50": 1234.5, "12.5%": 0.125, "1.5K": 1500.0, "2M": 2e6, "3B": 3e9, "1.2e-4": 1.2e-4, "(500)": -500.0, "($1,200.50)": -1200.5, "10-20 USD": 15.0,
         "1.5K - 3K": 2250.0, "5000 EGP": 5000.0, "-7": -7.0, "٤٢": 42.0, "Room 404": None, "ID-2039": None, "": None, "abc": None, "1.2.3": 1.23, "007": 7.0,
+        "10 to 20": 15.0, "$10k-$20k": 15000.0, "€ 5 - 15 % next month": 10.0, "10-": 10.0, "3-4-5": 3.5, "1M TO 3M USD": 2e6,
     }
     df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
     got = {r["i"]: r["t"] for r in parse_numbers(df, ["t"]).collect()}
