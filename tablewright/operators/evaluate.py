@@ -190,7 +190,3 @@ def knn_predict(
     votes = near.groupBy("query", label).agg(F.count("*").alias("n"))
     best = votes.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("r"), F.col(label).alias("label"))).alias("top"))
     return best.select(F.col("query").alias(row_id), F.col("top.label").alias("prediction"))
-
-
-def is_numeric_label(df: DataFrame, label: str) -> bool:
-    return isinstance(df.schema[label].dataType, T.NumericType)

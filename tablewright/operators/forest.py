@@ -1,7 +1,6 @@
 """Isolation forest: trees grown on small keyed samples, one group per tree, scored by an Arrow UDF.
 
-Training reads one bounded sample (at most MAX_TRAIN rows before the per-tree draw of 256), so tree
-groups are bounded; scoring is a narrow pass over all rows with the trees broadcast.
+Every tree draws about TREE_ROWS rows of the whole table by key, so tree groups are bounded; scoring is a narrow pass over all rows with the trees broadcast.
 """
 
 from __future__ import annotations

@@ -580,12 +580,6 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Attach the class weight to every row (1.0 when balancing is not active)."""
-    weights = class_weights(df, label).select(label, F.when(F.col("active"), F.col("weight")).otherwise(F.lit(1.0)).alias(name))
-    return df.join(weights, label, "left")
-
-
 def feature_ranges(df: DataFrame, numeric: list[str], categorical: list[str], limit: int | None = 50) -> DataFrame:
     """min / max / median of numerics and the first `limit` options of categoricals (all without a limit), as input-form hints.
 
@@ -690,5 +684,3 @@ def key_like(df: DataFrame, columns: list[str]) -> DataFrame:
         named = any(k in c.lower() for k in KEY_NAME_PARTS)
         entries.append((c, {"is_key": F.lit(True) if named else F.coalesce(mixed, F.lit(False))}))
     return melt(stats, entries)
-
-

@@ -552,7 +552,3 @@ def best_generator(ids: DataFrame, row_id: str, source: DataFrame, seed: int = 4
     return source.sparkSession.createDataFrame(
         [(r["generator"], r["mean_fidelity"], r["generator"] == best["generator"]) for r in scores],
         "generator string, mean_fidelity double, chosen boolean")
-
-
-def generator_correlations(df: DataFrame, row_id: str) -> DataFrame:
-    return correlation_matrix(df, numeric_columns(df, [row_id]))
