@@ -6,8 +6,9 @@ similarity of at least t share a word among the first n - ceil(t n) + 1 of each
 parity bitmap of the whole set: its distance is at most the number of words that only one set has, another exact filter. What
 passes all filters is verified on whole sets.
 
-Groups of many similar lines would meet in all their pairs. So lines are first compared with the earliest line that has the same
-smallest, or the same largest, word hashes; lines removed by this need no more partners and only serve as earlier lines for others.
+Only an earlier line removes one, so a pair counts only if its later line is not removed yet. Groups of many similar lines would
+meet in all their pairs. So lines are first compared with the earliest line that has the same smallest, or the same largest, word
+hashes; what this removes only serves as earlier lines for others, and does not meet the lines before it again.
 
 Texts are not shuffled while the lists of repeated lines and of lines to verify are of a checked size; beyond it they are.
 """
@@ -17,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.quality import GAPS, WHITE
+from tablewright.llm.quality import WHITE
 from tablewright.operators.frames import settle, with_few
 from tablewright.session import checkpointed
 
 #: Word frequencies are counted in this many hash buckets, so that the table of ranks has the same size for any corpus.
 RANKS = 1 << 16
+#: White space of a line other than blanks.
+RARE_WHITE = "[\\t\\x0B\\f\\r]"
 #: Words that make a key of the first comparison.
 SMALLEST = 3
 #: Lists of line numbers of up to so many rows are sent to all tasks: 40 MB.
@@ -37,8 +40,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _hashed(line: Column) -> Column:
-    """Hashes of the distinct words of a line."""
-    return F.array_distinct(F.transform(F.filter(F.split(line, GAPS), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    """Hashes of the distinct words of a line. A blank as the only separator is split without a regular expression."""
+    plain = F.when(line.rlike(RARE_WHITE), F.regexp_replace(line, RARE_WHITE, " ")).otherwise(line)
+    return F.array_distinct(F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def _ordered(hashes: Column, ranks: Column) -> Column:
@@ -55,47 +59,56 @@ def _ranks(lines: DataFrame) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (x, y) of line numbers, the later line (a, b) of each whose word sets are similar."""
+    """Of candidate pairs (x, y), y the later line, the hashes (a, b) of each y whose word set is similar to that of its x."""
     pairs = checkpointed(pairs)
     wanted = checkpointed(pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct())
-    found = checkpointed(lines.join(with_few(wanted, SENT_LINES), "a", "left_semi"))
-    one = found.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("first").alias("xf"), F.col("line").alias("xl"))
-    two = found.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("first").alias("yf"), F.col("line").alias("yl"))
+    found = checkpointed(lines.select("a", "b", "line").join(with_few(wanted, SENT_LINES), "a", "left_semi"))
+    one = found.select(F.col("a").alias("x"), F.col("line").alias("xl"))
+    two = found.select(F.col("a").alias("y"), "b", F.col("line").alias("yl"))
     rows = pairs.join(one, "x").join(two, "y")
     rows = settle(rows.withColumns({"xs": _hashed(F.col("xl")), "ys": _hashed(F.col("yl"))}).drop("xl", "yl"), ["xs", "ys"])
     rows = settle(rows.withColumn("both", F.size(F.array_intersect("xs", "ys"))), ["both"])
     rows = rows.where(100 * F.col("both") >= percent * (F.size("xs") + F.size("ys") - F.col("both")))
-    later = F.when(F.col("xf") > F.col("yf"), F.struct(F.col("x").alias("a"), F.col("xb").alias("b"))).otherwise(F.struct(F.col("y").alias("a"), F.col("yb").alias("b")))
-    return rows.select(later.alias("later")).select("later.*").distinct()
+    return rows.select(F.col("y").alias("a"), "b").distinct()
+
+
+def _described(lines: DataFrame, percent: int) -> DataFrame:
+    """Of every distinct line: its hashes and place, the number of its words, their bitmap, the prefix, and two keys of the first
+    comparison. Written, so that words are split and hashed once for both comparisons."""
+    ranks = _ranks(lines)
+    rows = settle(lines.select("a", "b", "first", F.sort_array(_hashed(F.col("line"))).alias("hashes")), ["hashes"])
+    ends = [F.slice("hashes", 1, SMALLEST), F.slice("hashes", F.greatest(F.size("hashes") - (SMALLEST - 1), F.lit(1)), SMALLEST)]
+    keys = F.array(*[F.xxhash64(F.lit(k), e) for k, e in enumerate(ends)])
+    bitmap = F.aggregate("hashes", F.lit(0).cast("bigint"), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(w, 58).cast("int"))))
+    n = F.size("hashes")
+    prefix = F.slice(_ordered(F.col("hashes"), ranks), 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)
+    return checkpointed(rows.select("a", "b", "first.*", n.alias("n"), bitmap.alias("bitmap"), prefix.alias("prefix"), keys.alias("keys")))
 
 
 def _similar(lines: DataFrame, percent: int) -> DataFrame:
     """Lines (a, b) that are similar to an earlier line; lines: distinct ones with their first place."""
-    keyed = settle(lines.select("a", "first", F.sort_array(_hashed(F.col("line"))).alias("hashes")), ["hashes"])
-    ends = [F.slice("hashes", 1, SMALLEST), F.slice("hashes", F.greatest(F.size("hashes") - (SMALLEST - 1), F.lit(1)), SMALLEST)]
-    near = keyed.select("a", "first", F.explode(F.array(*[F.xxhash64(F.lit(k), e) for k, e in enumerate(ends)])).alias("key"))
-    heads = near.groupBy("key").agg(F.min(F.struct("first", "a")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", F.col("head.a").alias("x"))
-    pairs = near.select("key", F.col("a").alias("y")).join(heads, "key").where("x <> y").select("x", "y").distinct()
+    described = _described(lines, percent)
+    place = F.struct("id", "line_no")
+    near = described.select("a", place.alias("first"), F.explode("keys").alias("key"))
+    heads = near.groupBy("key").agg(F.min(F.struct("first", "a")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", F.col("head.a").alias("x"), F.col("head.first").alias("earliest"))
+    pairs = near.select("key", F.col("a").alias("y"), "first").join(heads, "key").where("earliest < first").select("x", "y").distinct()
     done = checkpointed(_verified(pairs, lines, percent))
 
-    ranks = _ranks(lines)
-    rows = settle(lines.select("a", "b", _ordered(_hashed(F.col("line")), ranks).alias("words")), ["words"])
-    bitmap = F.aggregate("words", F.lit(0).cast("bigint"), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63).cast("int"))))
-    n = F.size("words")
-    rows = rows.select("a", "b", n.alias("n"), bitmap.alias("bitmap"), F.slice("words", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1).alias("prefix"))
-    rows = settle(rows, ["bitmap", "prefix"]).join(with_few(done, SENT_LINES).withColumn("done", F.lit(1)), ["a", "b"], "left")
-    sent = rows.select("a", "bitmap", (F.col("n") * 2 + F.coalesce("done", F.lit(0))).alias("n2"), F.posexplode("prefix").alias("pos", "word"))
+    rows = described.drop("keys").join(with_few(done, SENT_LINES).withColumn("done", F.lit(1)), ["a", "b"], "left")
+    # one number holds the size, and whether the line is removed already
+    sent = rows.select("a", "id", "line_no", "bitmap", (F.col("n") * 2 + F.coalesce("done", F.lit(0))).alias("n2"), F.posexplode("prefix").alias("pos", "word"))
     x, y = sent.alias("x"), sent.alias("y")
     nx, ny = F.floor(F.col("x.n2") / 2), F.floor(F.col("y.n2") / 2)
     needed = F.ceil(percent * (nx + ny) / (100 + percent))
+    earlier = F.struct("x.id", "x.line_no") < F.struct("y.id", "y.line_no")
     # every condition names both sides, so that both sides are one shuffle
     wanted = (
         (F.col("x.word") == F.col("y.word"))
-        & (F.col("x.n2") % 2 < F.when((F.col("y.n2") % 2 == 1) | (F.col("x.a") < F.col("y.a")), 1).otherwise(0))
-        & (F.col("x.a") != F.col("y.a"))
-        & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+        & (F.col("y.n2") % 2 < F.when(F.col("x.a") == F.col("y.a"), 0).otherwise(1))
         & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= needed)
         & (F.bit_count(F.col("x.bitmap").bitwiseXOR(F.col("y.bitmap"))) <= nx + ny - 2 * needed)
+        & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+        & earlier
     )
     pairs = x.join(y, wanted).select(F.col("x.a").alias("x"), F.col("y.a").alias("y")).distinct()
     return done.union(_verified(pairs, lines, percent)).distinct()
@@ -117,9 +130,11 @@ def judge_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     place = F.struct("id", "line_no")
     distinct = lines.join(with_few(repeated, SENT_LINES), ["a", "b"], "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(place))
     distinct = distinct.select("a", "b", F.coalesce("first", place).alias("first"), "line")
-    similar = _similar(distinct, percent).withColumn("similar", F.lit(True))
-    rows = lines.select("id", "line_no", "a", "b").join(firsts.select("a", "b", "first"), ["a", "b"]).join(similar, ["a", "b"], "left")
-    again = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.line_no") == F.col("line_no")))
+    similar = checkpointed(_similar(distinct, percent)).withColumn("similar", F.lit(True))
+    # lines that are alone and similar to none need no mark, so the marks are few
+    marks = checkpointed(repeated.join(similar, ["a", "b"], "full"))
+    rows = lines.select("id", "line_no", "a", "b").join(with_few(marks, SENT_LINES), ["a", "b"], "left")
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)
     return rows.select(F.col("id").alias(id_col), "line_no", "a", "b", (F.coalesce("similar", F.lit(False)) | again).alias("removed"))
 
 
