@@ -53,32 +53,45 @@ def joined_hashes(hashes: Column, size: int) -> Column:
 def repeated_words(words: Column, grams: Column, size: int) -> Column:
     """Words inside runs of `size` that occur twice or more; words and the runs' hashes are columns.
 
-    Hash and position share one number, so that sorting brings equal runs together; the fewer bits positions need, the more are
-    left for hashes. Neighbours are compared by their words before they count.
+    Sorting by hash, then position, brings equal runs together; neighbours are compared by their words before they count. In texts
+    of fewer than 65,536 words hash and position share one number, which sorts faster: the fewer bits positions need, the more are
+    left for hashes. Longer texts sort pairs of the whole hash and the position.
     """
     n = F.size(words)
-    chosen = F.when(n < 1 << 12, _repeated(words, grams, size, 12)).when(n < 1 << 16, _repeated(words, grams, size, 16)).otherwise(_repeated(words, grams, size, 28))
+    short = F.when(n < 1 << 12, _repeated(words, size, _packed(grams, 12))).when(n < 1 << 16, _repeated(words, size, _packed(grams, 16)))
     # most texts repeat nothing
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(chosen).cast("bigint")
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(short.otherwise(_repeated(words, size, _paired(grams)))).cast("bigint")
 
 
-def _repeated(words: Column, grams: Column, size: int, place: int) -> Column:
+def _packed(grams: Column, place: int) -> tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]:
+    """Sorted numbers of hash and position, and how to read each of the two."""
     mask = (1 << place) - 1
-    packed = F.sort_array(F.transform(grams, lambda h, i: h.bitwiseAND(~mask).bitwiseOR(i.cast("bigint"))))
+    numbers = F.sort_array(F.transform(grams, lambda h, i: h.bitwiseAND(~mask).bitwiseOR(i.cast("bigint"))))
+    return numbers, lambda x: F.shiftright(x, place), lambda x: x.bitwiseAND(mask).cast("int")
+
+
+def _paired(grams: Column) -> tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]:
+    """Sorted pairs of hash and position, and how to read each of the two."""
+    pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("hash"), i.cast("int").alias("at"))))
+    return pairs, lambda x: x["hash"], lambda x: x["at"]
+
+
+def _repeated(words: Column, size: int, runs: tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]) -> Column:
+    ordered, hash_of, place_of = runs
 
     def same(x: Column, y: Column) -> Column:
-        at, other = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
+        at, other = place_of(x), place_of(y)
         equal = reduce(lambda a, b: a & b, [F.get(words, at + k) == F.get(words, other + k) for k in range(size)])
-        return F.coalesce((F.shiftright(x, place) == F.shiftright(y, place)) & equal, F.lit(False))
+        return F.coalesce((hash_of(x) == hash_of(y)) & equal, F.lit(False))
 
     def positions(p: Column) -> Column:
         twice = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), same)
         found = let(twice, lambda t: F.filter(p, lambda x, k: F.get(t, k) | F.coalesce(F.get(t, k - 1), F.lit(False))))
-        return F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask).cast("int")))
+        return F.sort_array(F.transform(found, place_of))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, p: F.struct((a["n"] + F.least(F.lit(size), p + size - a["end"])).alias("n"), (p + size).alias("end"))
-    return F.aggregate(let(packed, positions), start, step)["n"]
+    return F.aggregate(let(ordered, positions), start, step)["n"]
 
 
 def features(hashes: Column) -> Column:
