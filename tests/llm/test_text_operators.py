@@ -269,3 +269,40 @@ def test_line_counts_of_a_document_without_id(spark, tmp_path):
     spark.createDataFrame([(None, "one two three\nfour five six\none two three"), (4, "four five six"), (5, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {(None, 3, 1, "2"), (4, 1, 1, "0"), (5, 0, 0, "")}
+
+
+def test_repeated_words_of_texts_of_any_length(spark):
+    """Texts below and above the lengths at which runs are sorted in another way."""
+    from tablewright.llm.quality import joined_hashes, repeated_words, words_of
+    from tablewright.operators.frames import settle
+
+    draw = random.Random(5)
+    texts = [" ".join(str(draw.randrange(kinds)) for _ in range(n)) for n, kinds in [(0, 1), (2, 2), (40, 4), (5000, 25), (66_000, 60), (66_000, 100_000)]]
+
+    def plain(text):
+        w = text.split()
+        runs = Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = [False] * len(w)
+        for i, run in enumerate(zip(w, w[1:], w[2:], strict=False)):
+            if runs[run] > 1:
+                hit[i : i + 3] = [True] * 3
+        return sum(hit)
+
+    rows = settle(spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", words_of(F.col("text")).alias("words")), ["words"])
+    rows = settle(rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), ["hashes"])
+    rows = settle(rows.withColumn("grams", joined_hashes(F.col("hashes"), 3)), ["grams"])
+    assert dict(rows.select("i", repeated_words(F.col("words"), F.col("grams"), 3)).collect()) == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_similar_lines_in_any_order(spark):
+    """Only earlier lines remove: places of one document at one line number do not remove each other, white space of any kind
+    parts words, long lines and template lines are judged as short ones."""
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(None, "a\tb c\x0bd e\n\n \t"), (None, "a b c d f"), (3, " ".join(base))]
+    for i in range(40):
+        cut = draw.sample(base, 300 - draw.randrange(20, 90))
+        rows.append((10 + i, " ".join(cut) + "\n" + " ".join([*(f"t{k}" for k in range(8)), f"own{i}", f"other{i}"])))
+    rows += [(100, "e d c b a\nw1 w2 w3"), (100, "w1 w2 w3 w4\nw1 w2 w3 w4 w5"), (2, "k l m n o p q r s\nk l m n o p q r s t")]
+    got = {(brute.order(r["doc_id"]), r["line_no"], r["removed"]) for r in judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.lines(rows)
