@@ -306,3 +306,14 @@ def test_similar_lines_in_any_order(spark):
     rows += [(100, "e d c b a\nw1 w2 w3"), (100, "w1 w2 w3 w4\nw1 w2 w3 w4 w5"), (2, "k l m n o p q r s\nk l m n o p q r s t")]
     got = {(brute.order(r["doc_id"]), r["line_no"], r["removed"]) for r in judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.lines(rows)
+
+
+def test_lines_of_nothing_and_without_python(spark):
+    """Tables without rows or words, columns that carry the operator's own names, and a plan without Python."""
+    names = "doc_id long, text string, a string, line string, first int, hashes int, n int"
+    empty = spark.createDataFrame([], names)
+    assert judge_lines(empty).count() == 0 and remove_lines(empty).columns == empty.columns and remove_lines(empty).count() == 0
+    rows = spark.createDataFrame([(1, None, "a", "b", 1, 2, 3), (2, "", "a", "b", 1, 2, 3), (3, "x y\n \nx y", "a", "b", 1, 2, 3)], names)
+    left = remove_lines(rows)
+    assert {tuple(r) for r in left.collect()} == {(1, None, "a", "b", 1, 2, 3), (2, "", "a", "b", 1, 2, 3), (3, "x y\n ", "a", "b", 1, 2, 3)}
+    assert "Python" not in left._jdf.queryExecution().toString() and "Arrow" not in left._jdf.queryExecution().toString()
