@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,8 @@ HEADER_MARKS = "[#📌👥🌐🏆⚡📖🛠️]"
 OVERLAP_WEIGHT = 0.4
 SCORE_FLOOR = 0.05
 DUPLICATE_COSINE = 0.93
+#: Rows a table of terms may have to be sent to all tasks.
+TERMS_SENT = 1_000_000
 RANK_WEIGHTS = {"semantic": 0.40, "task": 0.20, "modality": 0.15, "language": 0.15, "size": 0.10}
 MODALITY_WORDS = {
     "tabular": ("tabular|csv|excel|regression|dataframe|columns", ["regression", "classification"]),
@@ -124,36 +128,68 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
     return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
 
 
-def near_duplicate_queries(df: DataFrame, query_id: str, tenant: str, text: str, cosine: float = DUPLICATE_COSINE) -> DataFrame:
+def near_duplicate_queries(df: DataFrame, query_id: str, tenant: str, text: str, cosine: float = DUPLICATE_COSINE, met: list[DataFrame] | None = None) -> DataFrame:
     """(query_id, match_id, score): for every query, its best earlier query of the same tenant with TF-IDF cosine above the limit.
 
-    Equal texts are one node whatever their number (an exact match scores 1). Between distinct texts
+    Equal texts (by SHA-256) are one node whatever their number (an exact match scores 1). Between distinct texts
     prefix filtering (Bayardo et al., WWW 2007) joins only on the rare terms that any pair above
-    the limit must share, then verifies exactly.
+    the limit must share, where the masses both texts have from that term on can still reach it, then verifies exactly.
+    Texts are shuffled once and stay one row of hashed terms (64 bits) and weights each; terms of one text need no idf row.
+    `met` takes the pairs that are verified, for tests and tuning.
     """
     clean = _strip(F.lower(F.col(text)))
     rows = df.select(F.col(query_id).alias("query"), F.col(tenant).alias("tenant"), clean.alias("body"))
+    marked = rows.select("query", "tenant", F.sha2("body", 256).alias("same"))
     nodes = rows.groupBy("tenant", "body").agg(F.min("query").alias("node"))
-    sizes = nodes.groupBy("tenant").agg(F.count("*").alias("n"))
-    tf = nodes.select("tenant", "node", F.explode(words(F.col("body"))).alias("term")).groupBy("tenant", "node", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("tenant", "term").agg(F.count("*").alias("df")).join(sizes, "tenant").select("tenant", "term", "df", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
-    weighted = tf.join(idf, ["tenant", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("tenant", "node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = checkpointed(weighted.join(norms, ["tenant", "node"]).select("tenant", "node", "term", "df", (F.col("w") / F.col("norm")).alias("w")))
+    names = marked.groupBy("tenant", "same").agg(F.min("query").alias("node"))
+    sizes = names.groupBy("tenant").agg(F.count("*").alias("n"))
+    # texts move to the task of their node once: terms are counted, packed and written there
+    split = nodes.repartition("tenant", "node").select("tenant", "node", F.explode(words(F.col("body"))).alias("term"))
+    counts = split.groupBy("tenant", "node", F.xxhash64("term").alias("term")).agg(F.count("*").alias("tf"))
+    packed = checkpointed(counts.groupBy("tenant", "node").agg(F.collect_list(F.struct("term", "tf")).alias("terms")))
+    tf = packed.select("tenant", "node", F.explode("terms").alias("t")).select("tenant", "node", "t.term", "t.tf")
+    common = checkpointed(tf.groupBy("tenant", "term").agg(F.count("*").alias("df")).where(F.col("df") > 1))
+    common = F.broadcast(common) if common.count() <= TERMS_SENT else common
+    weighted = tf.join(common, ["tenant", "term"], "left").withColumn("df", F.coalesce("df", F.lit(1))).join(sizes, "tenant")
+    weighted = weighted.withColumn("w", F.col("tf") * smooth_idf(F.col("n"), F.col("df"))).select("tenant", "node", "term", "tf", "df", "w")
     # rarest terms first; a term stays while the mass from it on could still reach the limit
-    rarest = Window.partitionBy("tenant", "node").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # one text's terms
-    left = F.lit(1.0) - F.coalesce(F.sum(F.col("w") * F.col("w")).over(rarest), F.lit(0.0))
-    postings = unit.withColumn("left", left).where(F.col("left") >= cosine * cosine - 1e-9).select("tenant", "node", "term")
+    text_terms = Window.partitionBy("tenant", "node")  # one text's terms
+    rarest = text_terms.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    square = F.col("w") * F.col("w")
+    unit = weighted.withColumns({"before": F.coalesce(F.sum(square).over(rarest), F.lit(0.0)), "all": F.sum(square).over(text_terms)}).select(
+        "tenant", "node", F.sqrt("all").alias("norm"), F.struct("term", "tf", "w", "df", (1 - F.col("before") / F.col("all")).alias("left")).alias("t"))
+    vectors = checkpointed(unit.groupBy("tenant", "node").agg(F.first("norm").alias("norm"), F.array_sort(F.collect_list("t")).alias("terms")))
+    limit = cosine * cosine - 1e-9
+    postings = vectors.where(F.col("node").isNotNull()).select("tenant", "node", F.explode(F.filter("terms", lambda t: (t["left"] >= limit) & (t["df"] > 1))).alias("t"))
+    postings = postings.select("tenant", "node", "t.term", "t.left")
+    # the product of what is left on both sides bounds the cosine at the first term a pair shares, so no pair is lost
     pairs = (
-        postings.withColumnRenamed("node", "later").join(postings.withColumnRenamed("node", "earlier"), ["tenant", "term"])
-        .where(F.col("earlier") < F.col("later")).select("tenant", "later", "earlier").distinct()
+        postings.withColumnsRenamed({"node": "later", "left": "__l"}).join(postings.withColumnsRenamed({"node": "earlier", "left": "__e"}), ["tenant", "term"])
+        .where((F.col("earlier") < F.col("later")) & (F.col("__l") * F.col("__e") >= limit)).select("tenant", "later", "earlier").distinct()
     )
-    mine = unit.select("tenant", F.col("node").alias("later"), "term", F.col("w").alias("lw"))
-    other = unit.select("tenant", F.col("node").alias("earlier"), "term", F.col("w").alias("ew"))
-    shared = pairs.join(mine, ["tenant", "later"]).join(other, ["tenant", "earlier", "term"])
-    hits = shared.groupBy("tenant", "later", "earlier").agg(F.sum(F.col("lw") * F.col("ew")).alias("score")).where(F.col("score") > cosine)
+    if met is not None:
+        met.append(pairs)
+
+    # what two texts can share; the later one moves once a pair and takes its weights from the earlier one
+    sharing = vectors.withColumn("terms", F.filter("terms", lambda t: t["df"] > 1))
+    later = sharing.select("tenant", F.col("node").alias("later"), F.col("norm").alias("later_norm"), F.col("terms.term").alias("later_term"), F.col("terms.tf").cast("array<int>").alias("later_tf"))
+    earlier = sharing.select(
+        "tenant", F.col("node").alias("earlier"), F.col("norm").alias("earlier_norm"), F.col("terms.term").alias("earlier_term"),
+        F.col("terms.w").alias("earlier_w"), F.transform("terms", lambda t: t["w"] / t["tf"]).alias("idf"))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            dots = np.zeros(len(frame))
+            for i, (a, n, b, w, idf) in enumerate(zip(frame["later_term"], frame["later_tf"], frame["earlier_term"], frame["earlier_w"], frame["idf"], strict=True)):
+                _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                dots[i] = (n[x] * idf[y]) @ w[y]
+            yield frame[["tenant", "later", "earlier"]].assign(score=dots / (frame["later_norm"] * frame["earlier_norm"]))
+
+    kind = dict(rows.dtypes)
+    sides = pairs.join(later, ["tenant", "later"]).join(earlier, ["tenant", "earlier"])
+    hits = sides.mapInPandas(score, f"tenant {kind['tenant']}, later {kind['query']}, earlier {kind['query']}, score double").where(F.col("score") > cosine)
     best = hits.groupBy("tenant", F.col("later").alias("node")).agg(F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("earlier").alias("match"))).alias("top"))
-    per_row = rows.join(nodes, ["tenant", "body"]).join(best, ["tenant", "node"], "left")
+    per_row = marked.join(names, ["tenant", "same"]).join(best, ["tenant", "node"], "left")
     exact = F.col("query") != F.col("node")
     return per_row.where(exact | F.col("top").isNotNull()).select(
         F.col("query").alias(query_id), F.when(exact, F.col("node")).otherwise(F.col("top.match")).alias("match_id"),
