@@ -70,6 +70,12 @@ def with_few(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by a key, for costly steps on tables of few files. The width is explicit: adaptive coalescing judges bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def settle(df: DataFrame, columns: list[str]) -> DataFrame:
     """Put expensive columns behind a one-row generator.
 

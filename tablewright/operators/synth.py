@@ -18,7 +18,7 @@ from tablewright.functions.hashing import chosen, draw, pick, unit
 from tablewright.functions.normal import normal_cdf, normal_quantile
 from tablewright.functions.patterns import guard_phone
 from tablewright.operators.corrupt import exactly
-from tablewright.operators.frames import field, is_integer, melt, numeric_columns, settle
+from tablewright.operators.frames import field, is_integer, melt, numeric_columns, settle, spread, with_few
 from tablewright.operators.ordered import prefix_sums, row_positions
 from tablewright.operators.profile import (column_counts, correlation_matrix, id_sequence, pattern_template, sensitive_types, value_counts)
 from tablewright.operators.quantiles import exact_quantiles, modes, quantile_grid
@@ -157,7 +157,7 @@ def sequence_value(prefix: str, start: int, index: Column, lead: str = "ID-") ->
 
 def generate_independent(ids: DataFrame, row_id: str, source: DataFrame, profile: dict[str, dict], seed: int = 42) -> DataFrame:
     """One row per id: every column from its own marginal, with the source's NULL rate."""
-    key, out = F.col(row_id), ids.select(row_id)
+    key, out = F.col(row_id), spread(ids.select(row_id), row_id)
     for i, (c, info) in enumerate(profile.items()):
         s, kind = seed + 37 * i, info["type"]
         if kind == "numerical":
@@ -190,7 +190,7 @@ class CopulaModel:
         key = F.col(row_id)
         lower = np.linalg.cholesky(self.cov)
         noise = [f"__e{j}" for j in range(len(self.columns))]
-        out = settle(ids.select(row_id, *[normal_draw(key, seed + 1009 * (j + 1)).alias(e) for j, e in enumerate(noise)]), noise)
+        out = settle(spread(ids.select(row_id), row_id).select(row_id, *[normal_draw(key, seed + 1009 * (j + 1)).alias(e) for j, e in enumerate(noise)]), noise)
         shares = {}
         for i, c in enumerate(self.columns):
             z = F.lit(float(self.mean[i]))
@@ -223,6 +223,7 @@ def fit_copula(df: DataFrame, row_id: str, columns: list[str] | None = None, ste
         row_id, *[F.coalesce(F.col(c).cast("double"), F.lit(middle[c][0.5] or 0.0)).alias(c) for c in numbers],
         *[F.coalesce(F.col(c).cast("string"), F.lit(common[c] or "missing")).alias(c) for c in texts],
     )
+    filled = checkpointed(spread(filled, row_id))  # each column's counts and the joins read this
     total = filled.count()
     grids, shares, scores = {}, {}, filled
     for c in columns:
@@ -236,7 +237,9 @@ def fit_copula(df: DataFrame, row_id: str, columns: list[str] | None = None, ste
             shares[c] = placed.select(c, (F.col("__before") / float(total)).alias("low"), ((F.col("__before") + F.col("__n")) / float(total)).alias("high"))
         u = (F.col("__before") + (F.col("__n") + 1) / 2 - 0.5) / float(total)
         clipped = settle(placed.select(c, F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), u)).alias("__u")), ["__u"])
-        scores = scores.join(clipped.select(c, normal_quantile(F.col("__u")).alias(f"__z_{c}")), c)
+        places = checkpointed(clipped.select(c, normal_quantile(F.col("__u")).alias(f"__z_{c}")))
+        # few values are sent, so that rows of one value are not one task
+        scores = scores.join(with_few(places, CODES_SENT), c)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = scores.agg(
         *[F.avg(f"__z_{c}").alias(f"m{i}") for i, c in enumerate(columns)],
