@@ -145,7 +145,7 @@ def _fill_rest(df: DataFrame, row_id: str, plan: CleaningPlan, allowed: dict[str
 
 def fast_clean(df: DataFrame, row_id: str) -> DataFrame:
     """Exact duplicates, number texts, fills (interpolation for time series, else median / mode), date features."""
-    df = drop_duplicates_first(df, row_id)
+    df = checkpointed(drop_duplicates_first(df, row_id))  # the checks below read this table, not the source again
     ordered = is_time_series(df, row_id)
     df, _ = coerce_hidden_numbers(df, 0.80, strictly_above=True)
     columns = [c for c in df.columns if c != row_id]
@@ -153,6 +153,7 @@ def fast_clean(df: DataFrame, row_id: str) -> DataFrame:
         df = fill_ordered(df, row_id, columns)
     else:
         df = fill_simple(df, columns)
+    df = checkpointed(df)  # dates are looked at in two passes and filled in a third
     return expand_date_text(df, row_id)
 
 
