@@ -8,6 +8,7 @@ any other part goes through the library's whole encoder. Strings that look like
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 from array import array
@@ -156,3 +157,11 @@ def encoder(path: str) -> Encoder:
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
+
+
+def release_encoders() -> None:
+    """Let the worker's encoders and what they remember go. Spark gives a worker that has encoded to the next job's steps; one that needs
+    memory of its own calls this first."""
+    if _LOADED:
+        _LOADED.clear()
+        gc.collect()  # an encoder and its parts know each other

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.arrays import byte_values, inside_table, parts, texts, word_bounds, word_hashes
+from tablewright.llm.tokenizing import release_encoders
 from tablewright.session import checkpointed, ship_package
 
 INSIDE = inside_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -46,17 +47,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(pieces: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, target: np.ndarray, use: np.ndarray, penalty: float = 2e-4) -> np.ndarray:
+def _rows(piece: tuple[int, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The row of every bucket of a piece."""
+    return np.repeat(np.arange(piece[0], piece[0] + len(piece[1]), dtype=np.int32), piece[1])
+
+
+def fit(pieces: list[tuple[int, np.ndarray, np.ndarray]], extra: np.ndarray, target: np.ndarray, use: np.ndarray, penalty: float = 2e-4) -> np.ndarray:
     """Weights of a penalised logistic model: buckets, then the extra inputs, then the constant; only rows in `use` count.
 
-    pieces: (row, bucket) pairs, those of a row in one piece. One piece at a time is widened for sums, so that all of them fit in memory.
+    pieces: the first of some rows that follow each other, the number of buckets of each, and the buckets. Only one piece at a time has
+    the row of every bucket beside it and is widened for sums, so that all of them fit in memory.
     """
     n = max(int(use.sum()), 1)
     # buckets that go with the target more than by chance: two deviations of their log odds
     hits, all_rows = np.full(1 << BITS, 0.5), np.full(1 << BITS, 1.0)
-    for row, bucket in pieces:
-        names = bucket[use[row]]
-        hits += np.bincount(names, target[row[use[row]]], 1 << BITS)
+    for piece in pieces:
+        row = _rows(piece)
+        row, names = row[use[row]], piece[2][use[row]]
+        hits += np.bincount(names, target[row], 1 << BITS)
         all_rows += np.bincount(names, minlength=1 << BITS)
     positive = target[use].sum() + 0.5
     odds = np.log(hits * (n + 1 - positive) / ((all_rows - hits) * positive))
@@ -65,7 +73,8 @@ def fit(pieces: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, target:
     place = np.zeros(1 << BITS, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
     kept = []
-    for row, bucket in pieces:
+    for piece in pieces:
+        row, bucket = _rows(piece), piece[2]
         keep = use[row] & telling[bucket]
         kept.append((row[keep], place[bucket[keep]]))
 
@@ -124,21 +133,22 @@ def _minimum(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarr
     return w
 
 
-def probability(w: np.ndarray, pieces: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, n: int) -> np.ndarray:
+def probability(w: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, n: int) -> np.ndarray:
     z = extra @ w[1 << BITS : -1] + w[-1]
-    for row, bucket in pieces:
+    for row, bucket in pairs:
         z += np.bincount(row, w[bucket], n)
     return _sigmoid(z)
 
 
-def fit_chain(pieces: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, fold: np.ndarray, folds: int, least_rows: int) -> list[np.ndarray]:
+def fit_chain(pieces: list[tuple[int, np.ndarray, np.ndarray]], targets: np.ndarray, fold: np.ndarray, folds: int, least_rows: int) -> list[np.ndarray]:
     """One model a category (columns of targets, NaN where unknown), in order. Buckets of fewer than least_rows rows are left out of pieces, in place."""
     rows_with = np.zeros(1 << BITS, np.int64)
-    for _, bucket in pieces:
+    for _, _, bucket in pieces:
         rows_with += np.bincount(bucket, minlength=1 << BITS)
-    for k, (row, bucket) in enumerate(pieces):
+    for k, (first, sizes, bucket) in enumerate(pieces):
         keep = rows_with[bucket] >= least_rows
-        pieces[k] = row[keep], bucket[keep]
+        left = np.bincount(_rows((0, sizes, bucket))[keep], minlength=len(sizes))
+        pieces[k] = first, left.astype(np.int32), bucket[keep]
     models, extra = [], np.zeros((len(targets), 0))
     for k in range(targets.shape[1]):
         known = ~np.isnan(targets[:, k])
@@ -148,7 +158,7 @@ def fit_chain(pieces: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray,
             unseen = np.zeros(len(targets))
             for f in range(folds):
                 w = fit(pieces, extra, target, known & (fold != f))
-                unseen = np.where(fold == f, probability(w, pieces, extra, len(targets)), unseen)
+                unseen = np.where(fold == f, probability(w, ((_rows(p), p[2]) for p in pieces), extra, len(targets)), unseen)
             extra = np.column_stack([extra, unseen])
     return models
 
@@ -170,6 +180,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     rows = given.withColumn("__hash", F.xxhash64("__text")).join(F.broadcast(chosen), ["__id", "__hash"]).select("__id", "__text", "__fold", *columns)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         seen = set()  # sample_rows ids at most
         for batch in batches:
             new = []
@@ -196,12 +207,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     sample, count = training_rows(docs, labels, categories, sample_rows, folds, id_col, text_col).drop("__id"), len(categories)
 
     def fit_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         pieces, fold, targets, n = [], [np.zeros(0, np.int32)], [np.zeros((0, count))], 0
         for batch in batches:
             bodies = [np.frombuffer(v.as_buffer(), np.int32) for v in batch.column(batch.num_columns - 1)]
             sizes = np.array([len(v) for v in bodies], np.int64)
             for lo, hi in parts(np.concatenate([[0], np.cumsum(sizes)]), PIECE_PAIRS):
-                pieces.append((np.repeat(np.arange(n + lo, n + hi, dtype=np.int32), sizes[lo:hi]), np.concatenate(bodies[lo:hi])))
+                pieces.append((n + lo, sizes[lo:hi].astype(np.int32), np.concatenate(bodies[lo:hi])))
             fold.append(batch.column(0).to_numpy(zero_copy_only=False))
             targets.append(np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(count)]).astype(float))
             n += batch.num_rows
@@ -227,6 +239,7 @@ def score_chain(docs: DataFrame, models: list[np.ndarray], names: list[str], lea
     held = docs.sparkSession.sparkContext.broadcast((models, used))  # BITS sets the size, not the data
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         models, used = held.value
         for batch in batches:
             data, offsets = texts(batch.column(1))

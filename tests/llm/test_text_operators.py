@@ -2,10 +2,12 @@ import inspect
 import math
 import random
 import sys
+import weakref
 import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from tablewright.llm import contamination as contamination_module  # noqa: E402
-from tablewright.llm import ctw, near, quality, toxicity  # noqa: E402
+from tablewright.llm import ctw, near, quality, tokenizing, toxicity  # noqa: E402
 from tablewright.llm.contamination import find_contamination  # noqa: E402
 from tablewright.llm.licenses import TEMPLATES, classes, scan_licenses  # noqa: E402
 from tablewright.llm.lines import judge_lines, remove_lines  # noqa: E402
@@ -317,3 +319,35 @@ def test_lines_of_nothing_and_without_python(spark):
     left = remove_lines(rows)
     assert {tuple(r) for r in left.collect()} == {(1, None, "a", "b", 1, 2, 3), (2, "", "a", "b", 1, 2, 3), (3, "x y\n ", "a", "b", 1, 2, 3)}
     assert "Python" not in left._jdf.queryExecution().toString() and "Arrow" not in left._jdf.queryExecution().toString()
+
+
+def test_toxicity_training_keeps_one_number_a_pair():
+    """Pieces hold the buckets and a count a row, not the row beside every bucket; models are those of the widened pairs."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 30, 400)
+    sizes[[0, 7, 399]] = 0
+    row, bucket = np.repeat(np.arange(400), sizes), rng.integers(0, 60, sizes.sum()).astype(np.int32)
+    target = np.bincount(row, bucket < 6, 400) > 0
+    targets = np.column_stack([np.where(rng.random(400) < 0.1, np.nan, target), target]).astype(float)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+
+    def pieces(*cuts):
+        return [(a, sizes[a:b].astype(np.int32), bucket[edges[a] : edges[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    cut = pieces(0, 1, 150, 399, 400)
+    many, one = (toxicity.fit_chain(p, targets, np.arange(400) % 3, 3, 5) for p in (cut, pieces(0, 400)))
+    assert sum(a.nbytes for _, *arrays in cut for a in arrays) <= 4 * (len(bucket) + 400)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(many, one, strict=True))
+    said = toxicity.probability(one[0], [(row, bucket)], np.zeros((400, 0)), 400)
+    assert said[target].mean() > said[~target].mean() + 0.3
+
+
+def test_encoders_are_let_go():
+    import public_tokenizers
+
+    own = tokenizing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    own.encode(b"some words, and more")
+    gone = weakref.ref(own.known)
+    del own
+    tokenizing.release_encoders()
+    assert gone() is None and not tokenizing._LOADED
