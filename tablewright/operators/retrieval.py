@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions.text import has_high_script, words
+from tablewright.operators.frames import with_few
 from tablewright.operators.neighbours import block_search
 from tablewright.session import checkpointed
 
@@ -22,6 +23,8 @@ SCORE_FLOOR = 0.05
 DUPLICATE_COSINE = 0.93
 #: Rows a table of terms may have to be sent to all tasks.
 TERMS_SENT = 1_000_000
+#: Scores of documents and queries that a task holds at once: 16 MB.
+SCORES_HELD = 2_000_000
 RANK_WEIGHTS = {"semantic": 0.40, "task": 0.20, "modality": 0.15, "language": 0.15, "size": 0.10}
 MODALITY_WORDS = {
     "tabular": ("tabular|csv|excel|regression|dataframe|columns", ["regression", "classification"]),
@@ -59,41 +62,50 @@ def smooth_idf(n: Column, df: Column) -> Column:
 def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, top_k: int = 3, block_rows: int = 1024) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of TF-IDF vectors plus 0.4 × word overlap, top k above 0.05.
 
-    Only terms of the queries are kept after the norms are known. Blocks of documents meet blocks of
+    Texts move to the task of their document once; there their terms are counted and written as 64-bit hashes. Terms of one document
+    need no idf row, the others' are sent to all tasks up to a checked size. The queries' weights hold the square of the idf, so that
+    documents hold plain counts over their norm, and only of features that are asked for. Blocks of documents meet blocks of
     queries and return k rows per query, so no (query, document) pair list is shuffled.
     """
     n_docs = docs.count()
-    tf = checkpointed(term_counts(docs, [doc_id], text))  # tokenised once; read for the idf and again for the weights
-    idf = tf.groupBy("term").agg(smooth_idf(F.lit(float(n_docs)), F.count("*")).alias("idf"))
-    q_tf = term_counts(queries, [query_id], query_text).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+
+    def hashed(kind: str, word: str) -> Column:
+        return F.xxhash64(F.concat(F.lit(kind), word))
+
+    def space_words(column: str) -> Column:
+        return F.array_distinct(F.filter(F.split(F.lower(column), r"\s+"), lambda s: s != ""))
+
+    q_words = queries.select(query_id, space_words(query_text).alias("parts"))
+    q_words = q_words.select(query_id, F.explode("parts").alias("word"), (F.lit(OVERLAP_WEIGHT) / (F.size("parts") + 1)).alias("w"))
+    q_words = q_words.select(query_id, hashed("w:", "word").alias("feature"), "w")
+    q_tf = checkpointed(term_counts(queries, [query_id], query_text).select(query_id, hashed("t:", "term").alias("feature"), "tf"))
+    asked = checkpointed(q_tf.select("feature").union(q_words.select("feature")).distinct().withColumn("asked", F.lit(True)))
+
+    # a word counts once a row of docs, a term as often as it occurs
+    split = docs.repartition(F.col(doc_id)).select(doc_id, words(F.col(text)).alias("terms"), space_words(text).alias("parts"))
+    both = F.array(F.struct(F.lit("t:").alias("kind"), F.col("terms").alias("all")), F.struct(F.lit("w:").alias("kind"), F.col("parts").alias("all")))
+    split = split.select(doc_id, F.explode(both).alias("side")).select(doc_id, "side.kind", F.explode("side.all").alias("word"))
+    counts = split.groupBy(doc_id, (F.col("kind") == "t:").alias("is_term"), F.xxhash64(F.concat("kind", "word")).alias("feature")).agg(F.count("*").alias("tf"))
+    counts = counts.join(with_few(asked, TERMS_SENT), "feature", "left").where(F.col("is_term") | F.col("asked"))
+    tf = checkpointed(counts.select(doc_id, "feature", "is_term", F.coalesce("asked", F.lit(False)).alias("asked"), "tf"))
+
+    held = tf.where("is_term").groupBy("feature").agg(F.count("*").alias("df"), F.first("asked").alias("asked"))
+    known = checkpointed(held.where((F.col("df") > 1) | F.col("asked")).select("feature", "asked", smooth_idf(F.lit(float(n_docs)), F.col("df")).alias("idf")))
+    idf = known.select("feature", "idf")
+    alone = smooth_idf(F.lit(float(n_docs)), F.lit(1))
+    w = F.col("tf") * F.coalesce("idf", alone)
+    norms = tf.where("is_term").join(with_few(idf, TERMS_SENT), "feature", "left").groupBy(doc_id).agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    # terms and words of rows without an id are not one document
+    side = F.when(F.col(doc_id).isNull(), F.col("is_term"))
+    d_packed = tf.where("asked").groupBy(doc_id, side.alias("side")).agg(
+        F.collect_list(F.struct("feature", "is_term", "tf")).alias("held")).join(norms.withColumnRenamed(doc_id, "__id"), F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+    value = F.transform("held", lambda x: F.when(x["is_term"], x["tf"] / F.col("norm")).otherwise(x["tf"].cast("double")))
+    d_packed = d_packed.select(doc_id, F.col("held.feature").alias("f"), value.alias("v"))
+
+    q_tf = q_tf.join(known.where("asked").select("feature", "idf"), "feature").withColumn("w", F.col("tf") * F.col("idf"))
     q_norm = q_tf.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q_terms = q_tf.join(q_norm, query_id).select(query_id, F.concat(F.lit("t:"), "term").alias("feature"), (F.col("w") / F.col("norm")).alias("w"))
-
-    def space_words(df: DataFrame, key: str, column: str) -> DataFrame:
-        parts = F.array_distinct(F.filter(F.split(F.lower(column), r"\s+"), lambda s: s != ""))
-        return df.select(key, parts.alias("parts"))
-
-    q_words = space_words(queries, query_id, query_text).select(
-        query_id, F.explode("parts").alias("word"), (F.lit(OVERLAP_WEIGHT) / (F.size("parts") + 1)).alias("w"))
-    q_all = q_terms.unionByName(q_words.select(query_id, F.concat(F.lit("w:"), "word").alias("feature"), "w"))
-    q_packed = q_all.groupBy(query_id).agg(F.collect_list(F.xxhash64("feature")).alias("f"), F.collect_list("w").alias("v"))
-
-    # one pass per document: its norm over all terms, and only the weights the queries ask for
-    asked = q_terms.select(F.substring("feature", F.lit(3), F.length("feature")).alias("term")).distinct().withColumn("asked", F.lit(True))
-    weighted = tf.join(idf.join(asked, "term", "left"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    kept = F.when(F.col("asked"), F.struct(F.xxhash64(F.concat(F.lit("t:"), "term")).alias("f"), F.col("w").alias("w")))
-    d_terms = weighted.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(kept).alias("terms"))
-    asked_words = q_words.select("word").distinct()
-    d_words = space_words(docs, doc_id, text).select(doc_id, F.explode("parts").alias("word")).join(asked_words, "word", "left_semi")
-    d_words = d_words.groupBy(doc_id).agg(F.collect_list(F.xxhash64(F.concat(F.lit("w:"), "word"))).alias("words"))
-    none = F.array().cast("array<bigint>")
-    both = d_terms.join(d_words, doc_id, "full_outer").select(
-        doc_id, F.coalesce("words", none).alias("words"), F.coalesce(F.transform("terms", lambda x: x["f"]), none).alias("tf"),
-        F.coalesce(F.transform("terms", lambda x: x["w"] / F.col("norm")), F.array().cast("array<double>")).alias("tv"),
-    )
-    d_packed = both.select(
-        doc_id, F.concat("tf", "words").alias("f"), F.concat("tv", F.transform("words", lambda x: F.lit(1.0))).alias("v")
-    ).where(F.size("f") > 0)
+    q_terms = q_tf.join(q_norm, query_id).select(query_id, "feature", (F.col("w") * F.col("idf") / F.col("norm")).alias("w"))
+    q_packed = q_terms.unionByName(q_words).groupBy(query_id).agg(F.collect_list("feature").alias("f"), F.collect_list("w").alias("v"))
 
     schema = f"query {dict(queries.dtypes)[query_id]}, doc {dict(docs.dtypes)[doc_id]}, score double"
 
@@ -101,26 +113,38 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
         if q.empty or d.empty:
             return pd.DataFrame(columns=["query", "doc", "score"])
         q, d = q.sort_values(query_id), d.sort_values(doc_id)
-        vocabulary, columns = np.unique(np.concatenate(q["f"].to_list()), return_inverse=True)
-        sizes = [len(x) for x in q["f"]]
-        matrix = np.zeros((len(vocabulary), len(q)))
-        matrix[columns, np.repeat(np.arange(len(q)), sizes)] = np.concatenate(q["v"].to_list())
+        vocabulary, rows = np.unique(np.concatenate(q["f"].to_list()), return_inverse=True)
+        # the queries of each feature lie together
+        by_feature = np.argsort(rows, kind="stable")
+        asking = np.repeat(np.arange(len(q)), [len(x) for x in q["f"]])[by_feature]
+        asked_weight = np.concatenate(q["v"].to_list())[by_feature]
+        starts = np.searchsorted(rows[by_feature], np.arange(len(vocabulary) + 1))
+        lengths = [len(x) for x in d["f"]]
         features, weights = np.concatenate(d["f"].to_list()), np.concatenate(d["v"].to_list())
-        owner = np.repeat(np.arange(len(d)), [len(x) for x in d["f"]])
+        owner = np.repeat(np.arange(len(d)), lengths)
         place = np.minimum(np.searchsorted(vocabulary, features), len(vocabulary) - 1)
         known = vocabulary[place] == features
         place, weights, owner = place[known], weights[known], owner[known]
-        scores = np.zeros((len(d), len(q)))
         edges = np.searchsorted(owner, np.arange(len(d) + 1))
-        for i in range(len(d)):
-            part = slice(edges[i], edges[i + 1])
-            scores[i] = weights[part] @ matrix[place[part]]
-        order = np.lexsort((np.broadcast_to(np.arange(len(d))[:, None], scores.shape), -np.round(scores, 12)), axis=0)[:top_k]
-        hits = np.take_along_axis(scores, order, 0)
-        ranked = pd.DataFrame({
-            "query": np.tile(q[query_id].to_numpy(), len(order)), "doc": d[doc_id].to_numpy()[order].ravel(), "score": hits.ravel(),
-        })
-        return ranked[ranked["score"] > SCORE_FLOOR]
+        step = max(1, SCORES_HELD // len(q))
+        parts = []
+        for low in range(0, len(d), step):
+            high = min(len(d), low + step)
+            own = slice(edges[low], edges[high])
+            times = starts[place[own] + 1] - starts[place[own]]
+            met = np.repeat(starts[place[own]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            cell = np.repeat(owner[own] - low, times) * len(q) + asking[met]
+            scores = np.bincount(cell, np.repeat(weights[own], times) * asked_weight[met], (high - low) * len(q)).reshape(high - low, len(q))
+            order = -np.round(scores, 12)
+            last = min(top_k, high - low) - 1
+            # all rows that tie with the last one stay until ids decide
+            doc, query = np.nonzero((order <= np.partition(order, last, axis=0)[last]) & (scores > SCORE_FLOOR))
+            sorted_rows = np.lexsort((doc, order[doc, query], query))
+            doc, query = doc[sorted_rows], query[sorted_rows]
+            first = np.arange(len(query)) - np.searchsorted(query, query) < top_k
+            doc, query = doc[first], query[first]
+            parts.append(pd.DataFrame({"query": q[query_id].to_numpy()[query], "doc": d[doc_id].to_numpy()[low + doc], "score": scores[doc, query]}))
+        return pd.concat(parts, ignore_index=True)
 
     found = block_search(q_packed, d_packed, query_id, doc_id, kernel, schema, block_rows, (queries.count(), n_docs))
     best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "doc")
