@@ -340,11 +340,15 @@ def fill_by_neighbours(
                 usable = np.flatnonzero(known[:, j])
                 if len(needy) == 0 or len(usable) == 0:
                     continue
-                near = np.lexsort((np.broadcast_to(ids[usable], (len(needy), len(usable))), distance[np.ix_(needy, usable)]), axis=1)[:, :k]
-                donor = usable[near]
+                apart = distance[np.ix_(needy, usable)]
+                last = min(k, len(usable)) - 1
+                # all donors that tie with the last one stay until ids, the order of the columns, decide
+                row, near = np.nonzero(apart <= np.partition(apart, last, axis=1)[:, last, None])
+                order = np.lexsort((near, apart[row, near], row))
+                order = order[np.arange(len(row)) - np.searchsorted(row, row) <= last]
+                row, donor = row[order], usable[near[order]]
                 parts.append(pd.DataFrame({
-                    "query": np.repeat(queries[needy], donor.shape[1]), "column": c,
-                    "distance": distance[needy[:, None], donor].ravel(), "candidate": ids[donor].ravel(), "value": donors[donor, j].ravel(),
+                    "query": queries[needy[row]], "column": c, "distance": distance[needy[row], donor], "candidate": ids[donor], "value": donors[donor, j],
                 }))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
 
