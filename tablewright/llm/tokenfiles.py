@@ -22,7 +22,7 @@ from tablewright.session import ship_package
 
 #: Writer options: row groups and pages of bounded size, dictionary pages large enough for a whole vocabulary.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "20000", "parquet.dictionary.page.size": str(2 << 20), "parquet.enable.dictionary": "true", "compression": "zstd"}
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def lists(values: bytes, lengths: np.ndarray) -> pa.ListArray:
@@ -33,10 +33,10 @@ def lists(values: bytes, lengths: np.ndarray) -> pa.ListArray:
 
 def encoded(batch: pa.RecordBatch, text_at: int, tokenizer: str, end_id: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """Row ranges of a batch with the ids of every row, the end id included."""
-    encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+    own, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
     data, offsets = texts(batch.column(text_at))
     for lo, hi in parts(offsets, SLICE_BYTES):
-        yield lo, hi, [encode(data[offsets[i] : offsets[i + 1]].tobytes()) + end for i in range(lo, hi)]
+        yield lo, hi, [ids + end for ids in own.encode_rows(data, offsets[lo : hi + 1])]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -1,8 +1,8 @@
 """Token ids of whole texts with a file of the tokenizers library (byte-level or word-end BPE).
 
 A text is cut before every blank or line break that a visible character follows: these tokenizers start a new piece there, so the
-ids of the parts, joined, are the ids of the text. A worker remembers the ids of parts it has seen, up to a bound. A new part of
-letters, with or without a closing run of stops and commas, goes to the library's BPE model directly, since its pieces are known;
+ids of the parts, joined, are the ids of the text. Texts are cut together, so that equal parts of a batch are asked for once. A worker remembers the ids of parts it has seen, up to a bound. A new part of
+letters, with or without a closing run of stops, goes to the library's BPE model directly, since its pieces are known;
 any other part goes through the library's whole encoder. Strings that look like special tokens are ordinary text.
 """
 
@@ -13,9 +13,15 @@ import os
 import string
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
 #: First bytes after a blank at which a new part may start: visible ASCII, and lead bytes whose characters hold no white space.
 SAFE = bytes([*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)])
 _IS_SAFE = [b in SAFE for b in range(256)]
+_IS_MARK = np.isin(np.arange(256), [0x20, 0x0A])
+#: A run of these behind letters is one piece.
+STOPS = ".,!?;:%&*$#"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -72,15 +78,17 @@ class Encoder:
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.tokenize = self.model.tokenize
         self.letters = _alphabet()
-        pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(" ab.,"))]
+        pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(" ab" + STOPS))]
         #: What stands for the blank before a word's letters; None if the pieces of such a part are not the letters and the stops.
-        self.blank = {("Ġab", ".,"): "Ġ", ("ab", ".,"): ""}.get(tuple(pieces))
+        self.blank = {("Ġab", STOPS): "Ġ", ("ab", STOPS): ""}.get(tuple(pieces))
         lines = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal("ab\ncd"))]
         #: Ids of a line break before a visible character; None if it is no piece of its own.
         self.line = {("ab", "Ċ", "cd"): self.whole(b"\n"), ("ab", "cd"): b""}.get(tuple(lines))
         ascii_letters = string.ascii_letters
         #: How ASCII letters come out of the normalizer: as they are, in lower case, or otherwise (None).
         self.ascii = {ascii_letters: str, ascii_letters.lower(): str.lower}.get(self._normal(ascii_letters)) if self.blank is not None else None
+        #: Letters that meet no other when normalised (no marks, no Hangul), each as it comes out of the normalizer.
+        self.alone = {c: self._normal(chr(c)) for c in range(0x250) if chr(c).isalpha()}
 
     def _normal(self, text: str) -> str:
         return self.normalizer.normalize_str(text) if self.normalizer else text
@@ -96,9 +104,15 @@ class Encoder:
         if after_line:
             text = text[1:]
         plain = text.isascii()
-        text = self.ascii(text) if plain and self.ascii else self._normal(text)
-        core = text.rstrip(".,")
-        if self.blank is None or not core.isalpha() or after_line and self.line is None:
+        core = text.rstrip(STOPS)
+        if plain and self.ascii:
+            text = self.ascii(text)
+        elif core.isalpha() and max(core) < "\u0250":
+            text = text.translate(self.alone)
+        else:
+            text = self._normal(text)
+        core = text.rstrip(STOPS)
+        if self.blank is None or not core.isalpha() or not _IS_SAFE[core.encode()[0]] or after_line and self.line is None:
             return self.whole(word if after_line else b" " + word)
         if after_line and not self.blank:
             return self.line + self.known[text.encode()]
@@ -109,7 +123,7 @@ class Encoder:
         return self.line + self._ids(core) if after_line else self._ids(self.blank + core)
 
     def stop_ids(self, stops: str) -> bytes:
-        """Ids of a run of stops and commas behind letters."""
+        """Ids of a run of stops behind letters."""
         if stops not in self.stops:
             if len(self.stops) > 1000:
                 self.stops.clear()
@@ -120,13 +134,38 @@ class Encoder:
         return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        head, *words = text.replace(b"\n", b" \n").split(b" ")
-        try:
-            rest = b"".join(map(self.known.__getitem__, words))
-        except _Joined:
-            return self._encode_joined(text)
-        return self.whole(head) + rest if head else rest
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of texts that lie end to end, offsets[0] to offsets[-1]: equal parts of all texts are asked for once."""
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        marks = np.flatnonzero(_IS_MARK[data]).astype(np.int32)
+        # a row's parts: what stands before its first mark, then each mark and what follows it
+        starts = np.sort(np.concatenate((offsets[:-1].astype(np.int32), marks)), kind="stable")
+        first = np.arange(len(offsets)) + np.searchsorted(marks, offsets)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        del marks
+        cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        del starts, bounds
+        ids, joined = [], []
+        known, whole = self.known, self.whole
+        for k, part in enumerate(cut.dictionary.to_pylist()):
+            mark = part[:1]
+            try:
+                ids.append(known[part[1:]] if mark == b" " else known[part] if mark == b"\n" else whole(part) if part else b"")
+            except _Joined:
+                ids.append(b"")
+                joined.append(k)
+        found = pa.array(ids, pa.large_binary()).take(cut.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[first] if len(found) else np.zeros(len(offsets), np.int64)
+        values = memoryview(found.buffers()[2] or b"")
+        out = [bytes(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        if joined:
+            at = np.flatnonzero(np.isin(cut.indices.to_numpy(), joined))
+            for i in np.unique(np.searchsorted(first, at, "right") - 1).tolist():
+                out[i] = self._encode_joined(data[offsets[i] : offsets[i + 1]].tobytes())
+        return out
 
     def _encode_joined(self, text: bytes) -> bytes:
         """Where white space runs stand: words that may not start a part stay with the part before."""

@@ -103,3 +103,27 @@ def test_encoder_equals_library_on_random_strings(name):
     for _ in range(5000):
         text = "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 25))).encode()
         assert own.encode(text) == own.whole(text), text
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_encoded_together_ask_for_a_part_once(name):
+    import random
+
+    import numpy as np
+
+    draw, own = random.Random(9), Encoder(public_tokenizers.path(name), remembered=300)
+    pieces = ["a", "B", "the", "Élan", "Ⱥb", "ǆ", "İ", "Σ", "한", "́", " ", " ", "  ", "\n", " \n", "\t", ".", "%%%", "&.", "?!", "'s", "%'s", "_", "7", "　", "\xa0", "ŉ", "<|endoftext|>"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(25))).encode() for _ in range(3000)]
+    offsets = np.cumsum([3] + [len(t) for t in texts])
+    data = np.frombuffer(b"xyz" + b"".join(texts) + b"behind", np.uint8)
+    assert own.encode_rows(data, offsets) == [own.whole(t) if t else b"" for t in texts]
+    assert own.encode_rows(data, offsets[:1]) == []
+
+    asked, tokenize = [], own.tokenize
+    own.tokenize = lambda piece: asked.append(piece) or tokenize(piece)
+    # more new parts than are remembered come between the same two, and again in every text
+    new = [b"x" + bytes(draw.choices(b"abcdefghij", k=9)) for _ in range(2000)]
+    text = b" ".join([b"a", *new, b"same%%%"])
+    offsets = np.arange(4) * len(text)
+    assert own.encode_rows(np.frombuffer(text * 3, np.uint8), offsets) == [own.whole(text)] * 3
+    assert len(asked) <= len(set(new)) + 2
