@@ -74,7 +74,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2**k ids, 2048 at most."""
-    return pack(docs, None, tokenizer("word_bpe_49k.json"), end_id=1, longest=2048)
+    # small slices: workers still hold memory of the stages before
+    return pack(docs, None, tokenizer("word_bpe_49k.json"), end_id=1, longest=2048, slice_bytes=2 << 20)
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]

@@ -20,7 +20,8 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, path: str | None, tokenizer: str, end_id: int, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None, tokenizer: str, end_id: int, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+         slice_bytes: int = 8 << 20) -> DataFrame:
     """Sequences of tokens, none of which holds two documents or any padding.
 
     Every whole text is encoded and end_id appended; a document of n tokens becomes n // longest pieces of `longest` tokens (a
@@ -29,7 +30,8 @@ def pack(docs: DataFrame, path: str | None, tokenizer: str, end_id: int, longest
 
     The sequences are written to `path` (a new folder below the shared one if None) and read back. Columns: the id, start, length,
     ids, doc_tokens, sequence_id, offset (always 0). NULL text is empty: one piece with the end id. NULL ids are kept; repeated
-    rows are packed as often as they come; an empty table gives no rows. Other columns are not read.
+    rows are packed as often as they come; an empty table gives no rows. Other columns are not read. slice_bytes: text that a worker
+    encodes at a time; larger slices ask for fewer parts and take more memory.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -40,7 +42,7 @@ def pack(docs: DataFrame, path: str | None, tokenizer: str, end_id: int, longest
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            for lo, _, rows in encoded(batch, 1, tokenizer, end_id):
+            for lo, _, rows in encoded(batch, 1, tokenizer, end_id, slice_bytes):
                 doc, start, length, total, number = [], [], [], [], []
                 for i, ids in enumerate(rows):
                     at = 0

@@ -31,11 +31,11 @@ def lists(values: bytes, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(values, "<u4").astype(np.int32)))
 
 
-def encoded(batch: pa.RecordBatch, text_at: int, tokenizer: str, end_id: int) -> Iterator[tuple[int, int, list[bytes]]]:
+def encoded(batch: pa.RecordBatch, text_at: int, tokenizer: str, end_id: int, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """Row ranges of a batch with the ids of every row, the end id included."""
     own, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
     data, offsets = texts(batch.column(text_at))
-    for lo, hi in parts(offsets, SLICE_BYTES):
+    for lo, hi in parts(offsets, slice_bytes):
         yield lo, hi, [ids + end for ids in own.encode_rows(data, offsets[lo : hi + 1])]
 
 
