@@ -6,6 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,10 @@ SCORE_FLOOR = 0.05
 DUPLICATE_COSINE = 0.93
 #: Rows a table of terms may have to be sent to all tasks.
 TERMS_SENT = 1_000_000
+#: Words of a block of texts (8 MB), terms that a range of hashes is asked for at once, and terms of texts that meet in one group (32 MB).
+BLOCK_TERMS = 1_000_000
+RANGE_TERMS = 4_000_000
+GROUP_TERMS = 2_000_000
 #: Scores of documents and queries that a task holds at once: 16 MB.
 SCORES_HELD = 2_000_000
 RANK_WEIGHTS = {"semantic": 0.40, "task": 0.20, "modality": 0.15, "language": 0.15, "size": 0.10}
@@ -152,74 +159,236 @@ def tfidf_search(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, qu
     return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
 
 
-def near_duplicate_queries(df: DataFrame, query_id: str, tenant: str, text: str, cosine: float = DUPLICATE_COSINE, met: list[DataFrame] | None = None) -> DataFrame:
+def near_duplicate_queries(
+    df: DataFrame, query_id: str, tenant: str, text: str, cosine: float = DUPLICATE_COSINE, met: list[DataFrame] | None = None,
+    block_terms: int = BLOCK_TERMS, group_terms: int = GROUP_TERMS,
+) -> DataFrame:
     """(query_id, match_id, score): for every query, its best earlier query of the same tenant with TF-IDF cosine above the limit.
 
     Equal texts (by SHA-256) are one node whatever their number (an exact match scores 1). Between distinct texts
     prefix filtering (Bayardo et al., WWW 2007) joins only on the rare terms that any pair above
-    the limit must share, where the masses both texts have from that term on can still reach it, then verifies exactly.
-    Texts are shuffled once and stay one row of hashed terms (64 bits) and weights each; terms of one text need no idf row.
+    the limit must share. What a pair shares in its prefixes,
+    and what both have beyond the one that ends first, bound its cosine; pairs that the bound leaves are verified exactly.
+    Texts are shuffled once and become blocks of hashed terms (64 bits, of tenant and word). Pairs of texts that are alike
+    meet in one group, so a text moves once a group and not once a pair.
     `met` takes the pairs that are verified, for tests and tuning.
     """
     clean = _strip(F.lower(F.col(text)))
-    rows = df.select(F.col(query_id).alias("query"), F.col(tenant).alias("tenant"), clean.alias("body"))
-    marked = rows.select("query", "tenant", F.sha2("body", 256).alias("same"))
-    nodes = rows.groupBy("tenant", "body").agg(F.min("query").alias("node"))
+    rows = df.repartition(_width(df)).select(F.col(query_id).alias("query"), F.col(tenant).alias("tenant"), clean.alias("body"))
+    marked = checkpointed(rows.withColumn("same", F.sha2("body", 256)))
+    kind = dict(rows.dtypes)
     names = marked.groupBy("tenant", "same").agg(F.min("query").alias("node"))
-    sizes = names.groupBy("tenant").agg(F.count("*").alias("n"))
-    # texts move to the task of their node once: terms are counted, packed and written there
-    split = nodes.repartition("tenant", "node").select("tenant", "node", F.explode(words(F.col("body"))).alias("term"))
-    counts = split.groupBy("tenant", "node", F.xxhash64("term").alias("term")).agg(F.count("*").alias("tf"))
-    packed = checkpointed(counts.groupBy("tenant", "node").agg(F.collect_list(F.struct("term", "tf")).alias("terms")))
-    tf = packed.select("tenant", "node", F.explode("terms").alias("t")).select("tenant", "node", "t.term", "t.tf")
-    common = checkpointed(tf.groupBy("tenant", "term").agg(F.count("*").alias("df")).where(F.col("df") > 1))
-    common = F.broadcast(common) if common.count() <= TERMS_SENT else common
-    weighted = tf.join(common, ["tenant", "term"], "left").withColumn("df", F.coalesce("df", F.lit(1))).join(sizes, "tenant")
-    weighted = weighted.withColumn("w", F.col("tf") * smooth_idf(F.col("n"), F.col("df"))).select("tenant", "node", "term", "tf", "df", "w")
-    # rarest terms first; a term stays while the mass from it on could still reach the limit
-    text_terms = Window.partitionBy("tenant", "node")  # one text's terms
-    rarest = text_terms.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    square = F.col("w") * F.col("w")
-    unit = weighted.withColumns({"before": F.coalesce(F.sum(square).over(rarest), F.lit(0.0)), "all": F.sum(square).over(text_terms)}).select(
-        "tenant", "node", F.sqrt("all").alias("norm"), F.struct("term", "tf", "w", "df", (1 - F.col("before") / F.col("all")).alias("left")).alias("t"))
-    vectors = checkpointed(unit.groupBy("tenant", "node").agg(F.first("norm").alias("norm"), F.array_sort(F.collect_list("t")).alias("terms")))
-    limit = cosine * cosine - 1e-9
-    postings = vectors.where(F.col("node").isNotNull()).select("tenant", "node", F.explode(F.filter("terms", lambda t: (t["left"] >= limit) & (t["df"] > 1))).alias("t"))
-    postings = postings.select("tenant", "node", "t.term", "t.left")
-    # the product of what is left on both sides bounds the cosine at the first term a pair shares, so no pair is lost
-    pairs = (
-        postings.withColumnsRenamed({"node": "later", "left": "__l"}).join(postings.withColumnsRenamed({"node": "earlier", "left": "__e"}), ["tenant", "term"])
-        .where((F.col("earlier") < F.col("later")) & (F.col("__l") * F.col("__e") >= limit)).select("tenant", "later", "earlier").distinct()
-    )
+    sizes = checkpointed(names.groupBy("tenant").agg(F.count("*").cast("double").alias("n")))
+    nodes = marked.where(F.col("tenant").isNotNull()).groupBy("tenant", "same").agg(F.min("query").alias("node"), F.first("body").alias("body"))
+    # texts of one repeated id are one node
+    several = checkpointed(names.where(F.col("node").isNotNull()).groupBy("tenant", "node").agg(F.count("*").alias("k")).where(F.col("k") > 1).drop("k"))
+    if several.limit(1).count():
+        merged = nodes.join(several, ["tenant", "node"], "left_semi").groupBy("tenant", "node").agg(F.concat_ws("\n", F.collect_list("body")).alias("body"))
+        nodes = nodes.join(several, ["tenant", "node"], "left_anti").select("tenant", "node", "body").unionByName(merged)
+    hashed = nodes.select("tenant", "node", F.transform(words(F.col("body")), lambda w: F.xxhash64("tenant", w)).alias("words"))
+    blocks = _term_blocks(hashed.join(with_few(sizes, TERMS_SENT), "tenant"), kind["tenant"], kind["query"], block_terms)
+    # slack for the rounding of running sums
+    limit = cosine * cosine - 1e-5
+    vectors = checkpointed(_weighted_texts(blocks, kind["tenant"], kind["query"], limit))
+
+    posted = vectors.select("doc", "node", "end_df", "end_term", "end_left", F.explode(F.arrays_zip("term", "left", "weight")).alias("t"))
+    posted = posted.select("doc", "node", "end_df", "end_term", "end_left", "t.term", "t.left", "t.weight")
+    later, earlier = (posted.select("term", *[F.col(c).alias(f"{side}_{c}") for c in posted.columns if c != "term"]) for side in "le")
+    # all that is shared in both prefixes counts; what is shared besides is beyond the end of the prefix that ends first
+    ends_first = (F.col("l_end_df") < F.col("e_end_df")) | ((F.col("l_end_df") == F.col("e_end_df")) & (F.col("l_end_term") <= F.col("e_end_term")))
+    l_after, e_after = (F.col(f"{s}_left") - F.col(f"{s}_weight") * F.col(f"{s}_weight") for s in "le")
+    beyond = F.when(ends_first, F.col("l_end_left") * e_after).otherwise(F.col("e_end_left") * l_after)
+    shared = later.join(earlier, "term").where(F.col("e_node") < F.col("l_node"))
+    pairs = shared.groupBy(F.col("l_doc").alias("later"), F.col("e_doc").alias("earlier")).agg(F.sum(F.col("l_weight") * F.col("e_weight")).alias("dot"), F.min(beyond).alias("beyond"))
+    pairs = checkpointed(pairs.where(F.col("dot") + F.sqrt(F.greatest("beyond", F.lit(0.0))) >= cosine - 1e-5).select("later", "earlier"))
     if met is not None:
         met.append(pairs)
 
-    # what two texts can share; the later one moves once a pair and takes its weights from the earlier one
-    sharing = vectors.withColumn("terms", F.filter("terms", lambda t: t["df"] > 1))
-    later = sharing.select("tenant", F.col("node").alias("later"), F.col("norm").alias("later_norm"), F.col("terms.term").alias("later_term"), F.col("terms.tf").cast("array<int>").alias("later_tf"))
-    earlier = sharing.select(
-        "tenant", F.col("node").alias("earlier"), F.col("norm").alias("earlier_norm"), F.col("terms.term").alias("earlier_term"),
-        F.col("terms.w").alias("earlier_w"), F.transform("terms", lambda t: t["w"] / t["tf"]).alias("idf"))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            dots = np.zeros(len(frame))
-            for i, (a, n, b, w, idf) in enumerate(zip(frame["later_term"], frame["later_tf"], frame["earlier_term"], frame["earlier_w"], frame["idf"], strict=True)):
-                _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                dots[i] = (n[x] * idf[y]) @ w[y]
-            yield frame[["tenant", "later", "earlier"]].assign(score=dots / (frame["later_norm"] * frame["earlier_norm"]))
-
-    kind = dict(rows.dtypes)
-    sides = pairs.join(later, ["tenant", "later"]).join(earlier, ["tenant", "earlier"])
-    hits = sides.mapInPandas(score, f"tenant {kind['tenant']}, later {kind['query']}, earlier {kind['query']}, score double").where(F.col("score") > cosine)
+    hits = _verified(pairs, vectors, kind["tenant"], kind["query"], group_terms).where(F.col("score") > cosine)
     best = hits.groupBy("tenant", F.col("later").alias("node")).agg(F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("earlier").alias("match"))).alias("top"))
-    per_row = marked.join(names, ["tenant", "same"]).join(best, ["tenant", "node"], "left")
+    per_row = marked.select("query", "tenant", "same").join(names, ["tenant", "same"]).join(best, ["tenant", "node"], "left")
     exact = F.col("query") != F.col("node")
     return per_row.where(exact | F.col("top").isNotNull()).select(
         F.col("query").alias(query_id), F.when(exact, F.col("node")).otherwise(F.col("top.match")).alias("match_id"),
         F.when(exact, F.lit(1.0)).otherwise(-F.col("top.s")).alias("score"))
 
 
+def _width(df: DataFrame) -> int:
+    """Tasks for costly steps. Explicit: adaptive coalescing judges bytes."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _term_blocks(texts: DataFrame, tenant: str, node: str, block_terms: int) -> DataFrame:
+    """Texts (tenant, node, words as hashes, n) as written blocks of about block_terms words: sorted distinct terms and counts of each text.
+
+    Texts without an id are in blocks of their own (`known` false).
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            known = np.asarray(batch.column("node").is_valid())
+            for side in (True, False):
+                own = batch.filter(pa.array(known == side)) if known.all() != known.any() else batch if known.all() == side else batch.slice(0, 0)
+                lengths = pc.fill_null(pc.list_value_length(own.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                # a piece ends where the next text would pass the size; a longer text is a piece of its own
+                edges, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+                while at < len(lengths):
+                    end = max(at + 1, int(np.searchsorted(edges, edges[at] + block_terms, "right")) - 1)
+                    piece = own.slice(at, end - at)
+                    words, owner = piece.column("words").flatten().to_numpy().copy(), np.repeat(np.arange(end - at), lengths[at:end])
+                    for a, b in zip(edges[at:end] - edges[at], edges[at + 1 : end + 1] - edges[at], strict=True):
+                        words[a:b].sort()
+                    first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])])[: len(words)])
+                    if len(first):
+                        lists = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), c) for c in (
+                            piece.column("tenant"), piece.column("node"), piece.column("n"), pa.array(np.bincount(owner[first], minlength=end - at).astype(np.int32)))]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([number]), pa.array([side]), pa.array([len(first)]), *lists, pa.array([words[first].tobytes()], pa.binary()),
+                            pa.array([np.diff(first, append=len(words)).astype(np.int32).tobytes()], pa.binary())],
+                            names=["block", "known", "terms", "tenant", "node", "n", "size", "term", "tf"])
+                        number += 1
+                    at = end
+
+    return checkpointed(texts.select("tenant", "node", "n", "words").mapInArrow(
+        pack, f"block bigint, known boolean, terms bigint, tenant array<{tenant}>, node array<{node}>, n array<double>, size array<int>, term binary, tf binary"))
+
+
+def _weighted_texts(blocks: DataFrame, tenant: str, node: str, limit: float) -> DataFrame:
+    """One row a text that can have a near one: its terms that others hold too with weights of length one, and its prefix.
+
+    A block asks each range of hashes once for the texts that hold its distinct terms, as one sorted value, and gets the counts back in the same order.
+    """
+    n_ranges = max(_width(blocks), -(-(blocks.agg(F.sum("terms")).first()[0] or 0) // RANGE_TERMS))
+
+    def split(term: np.ndarray) -> np.ndarray:
+        """Range by the upper 32 bits: sorted terms are sorted ranges."""
+        return ((((term.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, known, term in zip(*(batch.column(c) for c in ("block", "known", "term")), strict=True):
+                keys, held = np.unique(np.frombuffer(term.as_buffer(), np.int64), return_counts=True)
+                found, start = np.unique(split(keys), return_index=True)
+                edges = [*start, len(keys)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(found), pa.array(np.full(len(found), block.as_py())), pa.array([known.as_py()] * len(found)),
+                    *[pa.array([a[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for a in (keys, held.astype(np.int32))]],
+                    names=["range", "block", "known", "term", "held"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        known = np.asarray(asked.column("known"))
+        terms, held = ([np.frombuffer(x.as_buffer(), kind) for x in asked.column(c)] for c, kind in (("term", np.int64), ("held", np.int32)))
+        named, rest = np.flatnonzero(known), np.flatnonzero(~known)
+        keys = np.unique(np.concatenate([np.zeros(0, np.int64), *[terms[i] for i in named]]))
+        places, count = [np.searchsorted(keys, terms[i]) for i in named], np.zeros(len(keys), np.int64)
+        for i, place in zip(named, places, strict=True):
+            count[place] += held[i]
+        if len(rest):
+            # texts without an id are one node
+            count += np.isin(keys, np.concatenate([terms[i] for i in rest]))
+        given = [count[place].tobytes() for place in places]
+        return pa.table({
+            "block": pa.array(np.asarray(asked.column("block"))[named], pa.int64()), "range": pa.array(np.asarray(asked.column("range"))[named], pa.int64()), "df": pa.array(given, pa.binary())})
+
+    asked = blocks.select("block", "known", "term").mapInArrow(ask, "range bigint, block bigint, known boolean, term binary, held binary")
+    answers = asked.repartition(min(n_ranges, 4 * _width(blocks)), "range").groupBy("range").applyInArrow(answer, "block bigint, range bigint, df binary")
+    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "df"))).alias("df"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {c: batch.column(c)[i] for c in batch.schema.names}
+                term, tf = np.frombuffer(cell["term"].as_buffer(), np.int64), np.frombuffer(cell["tf"].as_buffer(), np.int32)
+                n, size = cell["n"].values.to_numpy(), cell["size"].values.to_numpy()
+                held = np.concatenate([np.frombuffer(x["df"].as_buffer(), np.int64) for x in cell["df"]])
+                df = held[np.searchsorted(np.unique(term), term)]
+                own = np.repeat(np.arange(len(size)), size)
+                w = tf * (np.log((n[own] + 1) / (df + 1)) + 1)
+                w /= np.sqrt(np.bincount(own, w * w, len(size)))[own]
+                # rarest terms first, of equal ones in their order; a term stays while the mass from it on could still reach the limit
+                order, starts = df << 32 | np.arange(len(df)), np.cumsum(size) - size
+                for a, b in zip(starts, starts + size, strict=True):
+                    order[a:b].sort()
+                order &= (1 << 32) - 1
+                mass = (w * w)[order]
+                before = np.cumsum(mass) - mass
+                filled = np.flatnonzero(size)
+                base = np.zeros(len(size))
+                base[filled] = before[starts[filled]]
+                left = 1 - (before - base[own])
+                prefix = left >= limit
+                # the prefix is the start of a text's terms: its last one, and what is left after that
+                last = starts + np.bincount(own, prefix, len(size)).astype(np.int64) - 1
+                posted, common = prefix & (df[order] > 1), df > 1
+                n_posted, n_common = (np.bincount(own, x, len(size)).astype(np.int64) for x in (posted, common))
+                texts = np.flatnonzero(n_posted)
+                if not len(texts):
+                    continue
+                at_posted, at_common = np.flatnonzero(posted), np.flatnonzero(common)
+                lists = [pa.array(x) for x in (term[order][at_posted], left[at_posted], w[order][at_posted])]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n_posted[texts])]).astype(np.int32))
+                ends = np.cumsum(n_common)
+                cut = [(ends[t] - n_common[t], ends[t]) for t in texts]
+                terms, weights = term[at_common], w[at_common]
+                at_end = order[last[texts]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((cell["block"].as_py() << 24) + texts), cell["tenant"].values.take(pa.array(texts)), cell["node"].values.take(pa.array(texts)),
+                    pa.array(n_common[texts]), *[pa.ListArray.from_arrays(offsets, x) for x in lists],
+                    pa.array(df[at_end]), pa.array(term[at_end]), pa.array(left[last[texts]] - mass[last[texts]]),
+                    *[pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (terms, weights)]],
+                    names=["doc", "tenant", "node", "size", "term", "left", "weight", "end_df", "end_term", "end_left", "terms", "weights"])
+
+    return blocks.where("known").drop("known", "terms").join(answers, "block").repartition(_width(blocks), "block").mapInArrow(
+        weigh, f"doc bigint, tenant {tenant}, node {node}, size bigint, term array<bigint>, left array<double>, weight array<double>, "
+        "end_df bigint, end_term bigint, end_left double, terms binary, weights binary")
+
+
+def _verified(pairs: DataFrame, vectors: DataFrame, tenant: str, node: str, group_terms: int) -> DataFrame:
+    """(tenant, later, earlier, score) of all pairs. Texts with the same least neighbour meet in one group; large groups are dealt by both sides."""
+    both = pairs.select(F.col("later").alias("doc"), F.col("earlier").alias("other")).union(pairs.select(F.col("earlier").alias("doc"), F.col("later").alias("other")))
+    label = both.groupBy("doc").agg(F.least("doc", F.min("other")).alias("label"))
+    labelled = checkpointed(pairs.join(label.withColumnRenamed("doc", "earlier"), "earlier"))
+    members = labelled.select("label", F.col("later").alias("doc")).union(labelled.select("label", F.col("earlier").alias("doc"))).distinct()
+    held = checkpointed(members.join(vectors.select("doc", "size"), "doc").groupBy("label").agg(F.ceil(F.sum("size") / group_terms).alias("parts"), F.sum("size").alias("terms")))
+    # small groups share one
+    n_groups = max(_width(pairs), -(-2 * (held.agg(F.sum("terms")).first()[0] or 0) // group_terms))
+    slot = F.when(F.col("parts") <= 1, F.pmod(F.xxhash64("label"), F.lit(n_groups))).otherwise(F.col("label") + n_groups)
+
+    def part(side: str):
+        return F.pmod(F.xxhash64(side), F.greatest("parts", F.lit(1)))
+
+    dealt = checkpointed(labelled.join(held, "label").select(slot.alias("slot"), part("later").alias("a"), part("earlier").alias("b"), "later", "earlier"))
+    keys = ["slot", "a", "b"]
+    needed = dealt.select(*keys, F.col("later").alias("doc")).union(dealt.select(*keys, F.col("earlier").alias("doc"))).distinct()
+    texts = needed.join(vectors.select("doc", "tenant", "node", "terms", "weights"), "doc")
+    texts = texts.select(*[F.col(c).alias(c) for c in texts.columns])  # fresh column ids: both sides come from one table
+
+    def score(asked: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values("doc")
+        names = texts["doc"].to_numpy()
+        _, term = np.unique(np.frombuffer(b"".join(texts["terms"]), np.int64), return_inverse=True)
+        weight = np.frombuffer(b"".join(texts["weights"]), float)
+        edges = np.concatenate([[0], np.cumsum([len(x) // 8 for x in texts["terms"]])])
+        asked = asked.sort_values(["earlier", "later"])
+        a, b = np.searchsorted(names, asked["later"].to_numpy()), np.searchsorted(names, asked["earlier"].to_numpy())
+        spread, scores, now = np.zeros(int(term.max(initial=-1)) + 1), np.zeros(len(asked)), -1
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            if y != now:
+                if now >= 0:
+                    spread[term[edges[now] : edges[now + 1]]] = 0
+                spread[term[edges[y] : edges[y + 1]]] = weight[edges[y] : edges[y + 1]]
+                now = y
+            scores[i] = spread[term[edges[x] : edges[x + 1]]] @ weight[edges[x] : edges[x + 1]]
+        node = texts["node"].to_numpy()
+        return pd.DataFrame({"tenant": texts["tenant"].to_numpy()[a], "later": node[a], "earlier": node[b], "score": scores})
+
+    width = min(n_groups, 4 * _width(pairs))
+    dealt, texts = dealt.repartition(width, *keys), texts.repartition(width, *keys)
+    return dealt.groupBy(*keys).cogroup(texts.groupBy(*keys)).applyInPandas(score, f"tenant {tenant}, later {node}, earlier {node}, score double")
+
+
 def dot_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

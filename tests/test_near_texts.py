@@ -3,9 +3,12 @@
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 
 from tablewright.operators.retrieval import DUPLICATE_COSINE, near_duplicate_queries
+from tablewright.queries import ORACLES
 
 
 def weights(rows):
@@ -83,3 +86,37 @@ def test_near_duplicates_with_missing_values_and_repeated_ids(spark):
     rows = [(1, "a", "red green blue"), (1, "a", "red green blue"), (2, "a", "red green blue"), (None, "a", "red green blue"), (3, None, "red green blue"), (4, "a", None)]
     got = near_duplicate_queries(spark.createDataFrame(rows, "q long, t string, body string"), "q", "t", "body")
     assert sorted(map(tuple, got.collect())) == [(2, 1, 1.0)]
+
+
+def near_copies(seed):
+    """Texts that share rare words but little else, and groups of near copies."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i:03d}" for i in range(300)]
+    texts = [" ".join([f"rare{i % 30}", f"odd{i % 25}", *rng.choice(words, 40)]) for i in range(300)]
+    for i in range(120):
+        text = texts[i % 6].split()
+        text[int(rng.integers(5, 40))] = f"new{i}"
+        texts.append(" ".join(text))
+    return texts
+
+
+def test_pairs_that_share_a_rare_word_alone_are_not_verified(spark):
+    rows, met = [(i, "ab"[i % 2], text) for i, text in enumerate(near_copies(5))], []
+    got = near_duplicate_queries(spark.createDataFrame(rows, "q long, t string, body string"), "q", "t", "body", met=met)
+    assert {r["q"]: (r["match_id"], round(r["score"], 6)) for r in got.collect()} == {q: (m, round(s, 6)) for q, (m, s) in brute(rows).items()}
+    alike = 0
+    for vectors, _ in weights(rows)[1].values():
+        unit = [{w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for _, v in vectors]
+        alike += sum(sum(x * u.get(w, 0) for w, x in v.items()) > 0.85 for i, v in enumerate(unit) for u in unit[:i])
+    assert met[0].count() <= 1.2 * alike
+
+
+def test_near_duplicates_in_small_blocks_and_groups_with_odd_rows_equal_sql(spark):
+    texts = near_copies(6)
+    rows = [(None if i % 17 == 0 else i // 2 if i % 13 == 0 else i, [None, "a", "b", "c"][min(i % 7, 3)], None if i % 23 == 0 else text) for i, text in enumerate(texts)]
+    rows += [*rows[40:60], (9001, "a", ""), (9002, "b", " - "), (9003, "a", texts[0].upper() + "  ")]
+    got = near_duplicate_queries(spark.createDataFrame(rows, "doc_id long, lang string, text string"), "doc_id", "lang", "text", block_terms=900, group_terms=400)
+    with duckdb.connect() as con:
+        con.register("documents", pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "lang": [r[1] for r in rows], "text": [r[2] for r in rows]}))
+        want = con.sql(ORACLES["n3_near_duplicate_documents"]).fetchall()
+    assert want and sorted((*r[:2], round(r[2], 6)) for r in got.collect()) == sorted(want)
