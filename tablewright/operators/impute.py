@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tablewright.functions.dates import standardize_date
 from tablewright.functions.hashing import RANGE, draw, unit
 from tablewright.operators.frames import TEMPORAL, cell_shares, field, is_integer, numeric_columns, string_columns
-from tablewright.operators.neighbours import BLOCK_ROWS, CELL_ROWS, cell_search
+from tablewright.operators.neighbours import BLOCK_ROWS, CELL_ROWS, fill_search
 from tablewright.operators.ordered import BUCKET, global_position, nearest_known, with_buckets
 from tablewright.operators.profile import column_counts, distinct_counts
 from tablewright.operators.quantiles import exact_quantiles, modes, most_frequent
@@ -352,7 +352,8 @@ def fill_by_neighbours(
                 }))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
 
-    found = cell_search(points.where(gap), points, row_id, row_id, columns, kernel, schema, k, wanted=columns, block_rows=block_rows, cell_rows=cell_rows, met=met)
+    points = checkpointed(points)  # read by every search
+    found = fill_search(points.where(gap), points, row_id, row_id, columns, kernel, schema, k, block_rows=block_rows, cell_rows=cell_rows, met=met)
     best = Window.partitionBy("query", "column").orderBy("distance", "candidate")
     means = (
         found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)

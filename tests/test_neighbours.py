@@ -67,3 +67,16 @@ def test_neighbour_fill_in_cells_equals_one_block(spark):
     whole = sorted(map(tuple, fill_by_neighbours(df, "row").collect()))
     assert sorted(map(tuple, fill_by_neighbours(df, "row", block_rows=150, cell_rows=60, met=met).collect())) == whole
     assert met_share(met, len(points) * asked) < 0.25
+
+
+def test_rows_that_lack_the_telling_column_do_not_meet_all_rows(spark):
+    draw = np.random.default_rng(7)
+    points = np.column_stack([np.round(draw.uniform(0, 1000, 4000), 2), draw.integers(0, 6, 4000), draw.integers(0, 4, 4000)]).astype(float)
+    gaps = draw.random(points.shape) < [0.3, 0.02, 0.02]
+    points[gaps] = np.nan
+    points[:3] = [[np.nan, np.nan, 2], [np.nan, 3, np.nan], [np.nan, np.nan, np.nan]]
+    asked, met = int(np.isnan(points).any(1).sum()), []
+    df = table(spark, points, "row")
+    whole = sorted(map(tuple, fill_by_neighbours(df, "row").collect()))
+    assert sorted(map(tuple, fill_by_neighbours(df, "row", block_rows=400, cell_rows=40, met=met).collect())) == whole
+    assert met_share(met, len(points) * asked) < 0.1
